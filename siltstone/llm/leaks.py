@@ -19,6 +19,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 WORD = regex.compile(r"[\p{L}\p{N}]+")
 #: The consecutive words that make a leak, and the words of items in one automaton.
@@ -226,5 +227,5 @@ def without_leaks(documents: DataFrame, items: DataFrame, text: str = "text", le
             columns = [pa.array(kept, b.schema.field(at).type) if i == at else c for i, c in enumerate(b.columns)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), pa.array(dropped, pa.bool_())], [*b.schema.names, "leaked_words", "leak_dropped"])
 
-    schema = documents.schema.add("leaked_words", "bigint").add("leak_dropped", "boolean")
+    schema = T.StructType(list(documents.schema)).add("leaked_words", "long").add("leak_dropped", "boolean")
     return documents.mapInArrow(batches, schema)

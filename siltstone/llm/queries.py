@@ -6,12 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import leaks, repeats, tokens
+from siltstone.llm import boilerplate, leaks, repeats, tokens
 from siltstone.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boilerplate.template_lines(table(spark, sf_dir, "html_docs"), table(spark, sf_dir, "validated_urls"))
+
+
+def p2_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boilerplate.main_bodies(table(spark, sf_dir, "html_docs"), table(spark, sf_dir, "validated_urls"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.repeated_entries(table(spark, sf_dir, "html_docs"), table(spark, sf_dir, "validated_urls"))
 
@@ -25,4 +33,4 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p7_found, p8_ids, p9_found)}
+    return {f.__name__: f for f in (p2_found, p2_bodies, p7_found, p8_ids, p9_found)}
