@@ -6,12 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import boilerplate, leaks, repeats, tokens
+from siltstone.llm import boilerplate, leaks, quality, repeats, residue, tokens
 from siltstone.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.no_prose(table(spark, sf_dir, "html_docs"))
+
+
+def p1_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.statistics(table(spark, sf_dir, "html_docs"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boilerplate.template_lines(table(spark, sf_dir, "html_docs"), table(spark, sf_dir, "validated_urls"))
 
@@ -20,6 +28,10 @@ def p2_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boilerplate.main_bodies(table(spark, sf_dir, "html_docs"), table(spark, sf_dir, "validated_urls"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.residue_pages(table(spark, sf_dir, "html_docs"), table(spark, sf_dir, "validated_urls"), table(spark, sf_dir, "fetch_results"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.repeated_entries(table(spark, sf_dir, "html_docs"), table(spark, sf_dir, "validated_urls"))
 
@@ -33,4 +45,4 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p2_found, p2_bodies, p7_found, p8_ids, p9_found)}
+    return {f.__name__: f for f in (p1_found, p1_statistics, p2_found, p2_bodies, p5_found, p7_found, p8_ids, p9_found)}
