@@ -47,7 +47,7 @@ class Training:
     #: a line's pages have error statuses this many times as often as all pages, on two pages at least
     status_lift: float = 8.0
     bits: int = 18
-    epochs: int = 12
+    epochs: int = 25
     rate: float = 0.3
     decay: float = 1e-5
     seed: int = 5
