@@ -31,7 +31,9 @@ WORDS = sorted({w for words in COMMON_WORDS.values() for w in words.split()}, ke
 # Text that only fills a space is neither prose nor rubbish.
 FILLER_WORDS = "lorem ipsum consectetur pariatur fugiat blah placeholder"
 UNFILLED = r"\{\{|\}\}|\$\{|\{\$|\{%|<%|%>|#\{|\{[0-9]\}|\[\[|\]\]|@@[A-Z]|\*\||\|\*|__[A-Z]|%[A-Z]{3,}%|\[object |\[(?:insert|your|tbd|todo)\b|<<[a-z]|\bundefined\b|\bxxx-|sample text|goes here|^todo:"
-COMMON = r"(?<!\p{L})(?:" + "|".join(WORDS) + r")(?!\p{L})"
+# words are tried by first letter, so that a word costs its letter's few alternatives and not all
+_BY_LETTER = {w[0]: [x[1:] for x in WORDS if x[0] == w[0]] for w in WORDS}
+COMMON = r"(?<!\p{L})(?:" + "|".join(f"{a}(?:{'|'.join(rest)})" for a, rest in sorted(_BY_LETTER.items())) + r")(?!\p{L})"
 FILLER = r"(?<!\p{L})(?:" + FILLER_WORDS.replace(" ", "|") + r")(?!\p{L})|(?i:" + UNFILLED + ")"
 CLOSING = r"[.!?…。！？][\"'”’»)\]]*$"
 BULLET = r"^\s*(?:[-*•‣▪◦·»–]|\d{1,3}[.)])\s"
@@ -74,7 +76,7 @@ def line_features(line: Column) -> Column:
 
 def line_kind(f: Column) -> Column:
     """'sentence', 'filler' or 'other' of a line's features."""
-    plain = f["letters"] >= 0.7 * f["visible"]
+    plain = (f["letters"] >= 0.7 * f["visible"]) & (f["visible"] <= 12 * f["words"])
     many = (f["words"] >= 5) & (f["common"] >= 2) & (f["common"] >= 0.08 * f["words"])
     closed = (f["words"] >= 4) & (f["common"] >= 1) & f["closed"]
     return F.when(f["filler"], "filler").when(plain & (many | closed), "sentence").otherwise("other")
@@ -97,8 +99,10 @@ def statistics(df: DataFrame, key: str = "page_id", text: str = "main_text", par
 
     zero_names = ["lines", "words", "letters", "visible", "common", "alphabetic", "symbols", "closed", "bullet", "ellipsis", "short", "sentence_words", "filler_words"]
     words_of = lambda c: F.aggregate(F.coalesce(c, F.array().cast("array<string>")), F.lit(0).cast("bigint"), lambda n, e: n + F.size(F.filter(F.split(F.coalesce(e, F.lit("")), r"\s+"), lambda w: w != "")))
-    rows = df.select(key, F.aggregate(kinds, zero, add).alias("s"), F.coalesce(F.array_size(paragraphs), F.lit(0)).alias("n_paragraphs"), F.coalesce(F.array_size(items), F.lit(0)).alias("n_list_items"), words_of(F.col(paragraphs)).alias("paragraph_words"), words_of(F.col(items)).alias("list_words"))
-    s = lambda n: F.col(f"s.{n}")
+    # inline() keeps the optimiser from repeating the sums in each of the many columns read from them
+    rows = df.select(key, F.inline(F.array(F.aggregate(kinds, zero, add))), F.coalesce(F.array_size(paragraphs), F.lit(0)).alias("n_paragraphs"), F.coalesce(F.array_size(items), F.lit(0)).alias("n_list_items"), words_of(F.col(paragraphs)).alias("paragraph_words"), words_of(F.col(items)).alias("list_words"))
+    rows = rows.withColumnsRenamed({n: f"s_{n}" for n in zero_names})
+    s = lambda n: F.col(f"s_{n}")
     rate = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
     other = s("words") - s("sentence_words") - s("filler_words")
     rows = rows.select(

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import boilerplate, leaks, quality, repeats, residue, tokens
+from siltstone.llm import boilerplate, language, leaks, quality, repeats, residue, tokens
 from siltstone.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,10 @@ def p2_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boilerplate.main_bodies(table(spark, sf_dir, "html_docs"), table(spark, sf_dir, "validated_urls"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.unnamed_languages(table(spark, sf_dir, "html_docs"), table(spark, sf_dir, "validated_urls"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.residue_pages(table(spark, sf_dir, "html_docs"), table(spark, sf_dir, "validated_urls"), table(spark, sf_dir, "fetch_results"))
 
@@ -45,4 +49,4 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_statistics, p2_found, p2_bodies, p5_found, p7_found, p8_ids, p9_found)}
+    return {f.__name__: f for f in (p1_found, p1_statistics, p2_found, p2_bodies, p3_found, p5_found, p7_found, p8_ids, p9_found)}
