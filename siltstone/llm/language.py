@@ -191,7 +191,7 @@ def train(texts: list[str], labels: np.ndarray, t: Training = Training()) -> Net
     return network
 
 
-def pooled(network: Network, texts: list[str], rows: int = 1024) -> np.ndarray:
+def pooled(network: Network, texts: list[str], cells: int = 40_000) -> np.ndarray:
     """(texts, languages) of probabilities, the means over each text's positions."""
     pieces, owner = [], []
     for i, t in enumerate(texts):
@@ -206,8 +206,12 @@ def pooled(network: Network, texts: list[str], rows: int = 1024) -> np.ndarray:
     sums, weights = np.zeros((len(texts), len(LANGUAGES))), np.zeros(len(texts))
     owner = np.array(owner)
     order = np.argsort(sizes, kind="stable")
-    for first in range(0, len(order), rows):
-        part = order[first : first + rows]
+    first = 0
+    while first < len(order):
+        # rows of about equal length, as many as keep the batch's positions within cells
+        part = order[first : first + 256]
+        part = order[first : first + max(1, cells * STEP // max(1, int(sizes[part[-1]])))]
+        first += len(part)
         x, mask = _padded([pieces[i] for i in part])
         p = network.probabilities(x, mask)
         np.add.at(sums, owner[part], (p * mask[:, :, None]).sum(0))

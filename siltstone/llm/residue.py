@@ -35,6 +35,8 @@ ERROR_PHRASES = (
 SCRIPT_PHRASES = r"\bjavascript\b|\bscripting\b|(?:turn on|support|enable|allow) scripts|scripts activ|scripts ativ|script attiv|eingeschalteten skripten|scripts ingeschakeld"
 UNFILLED = quality.UNFILLED + r"|\bnan\b|your own words|edit it in"
 PHRASES = f"{ERROR_PHRASES}|{SCRIPT_PHRASES}|{UNFILLED}"
+#: pages scored at a time, and token hashes kept by a task
+ROWS, KEPT_TOKENS = 1_000, 200_000
 TOKEN = regex.compile(r"\p{L}+|\p{N}+|[^\s\p{L}\p{N}]{1,3}")
 
 
@@ -67,7 +69,7 @@ class Features:
         self.seen: dict[str, int] = {}
 
     def _token(self, t: str) -> int:
-        if len(self.seen) > 500_000:
+        if len(self.seen) > KEPT_TOKENS:
             self.seen.clear()
         h = self.seen.get(t)
         if h is None:
@@ -214,7 +216,7 @@ def _score(own: DataFrame, model: Classifier) -> DataFrame:
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         features = Features(m.bits)
-        for b in it:
+        for b in (whole.slice(at, ROWS) for whole in it for at in range(0, len(whole), ROWS)):
             index: dict[tuple[str, bool, bool], int] = {}
             uses, empty = [], []
             for title, lines in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
