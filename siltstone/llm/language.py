@@ -53,7 +53,7 @@ class Training:
     hidden: int = 20
     embedding: int = 8
     batch: int = 128
-    rounds: tuple[int, int] = (500, 400)
+    rounds: tuple[int, int] = (700, 500)
     bytes: int = 96
     rate: float = 0.01
     seed: int = 3
@@ -223,12 +223,14 @@ def _usable(line: Column) -> Column:
     """Sentences of content in main_text: no list, table, rubbish, filler, error or script notice."""
     # through a one-element array, so that each feature is computed once
     prose = F.get(F.transform(F.array(quality.line_features(line)), quality.line_kind), F.lit(0)) == "sentence"
-    notice = F.lower(line).rlike(residue.PHRASES) & (F.size(F.split(F.trim(line), r"\s+")) <= residue.Training.short_words)
-    return F.array_contains(F.split("main_text", "\n"), line) & prose & ~notice
+    notice = (F.size(F.split(F.trim(line), r"\s+")) <= residue.Training.short_words) & F.lower(line).rlike(residue.PHRASES)
+    return F.array_contains("_main", line) & ~notice & prose
 
 
 def content_lines(html: DataFrame, urls: DataFrame) -> DataFrame:
     """(page_id, label, lines): the sentences' lines of each page's own main body."""
+    # inline() keeps main_text from being split again for each line
+    html = html.select("page_id", "title", "text", "lang", F.inline(F.array(F.struct(F.split("main_text", "\n").alias("_main")))))
     marked = boilerplate.marked(boilerplate.pages(html, urls, ("lang",), _usable))
     kept = F.transform(F.filter("marks", lambda m: ~m["template"] & F.coalesce(m["use"], F.lit(False))), lambda m: m["line"])
     return marked.select("page_id", named(F.col("lang")).alias("label"), F.coalesce(kept, F.array().cast("array<string>")).alias("lines"))
@@ -240,7 +242,7 @@ def fit(lines: DataFrame, t: Training = Training()) -> Network:
     texts, labels = [], []
     for code in LANGUAGES:
         for row in line.where(F.col("label") == code).orderBy(F.xxhash64("line")).limit(t.each).collect():
-            for s in sentences(row.line)[:2]:
+            for s in sentences(row.line):
                 texts.append(s)
                 labels.append(LANGUAGES.index(code))
     return train(texts, np.array(labels, np.int64), t)
@@ -281,10 +283,18 @@ def segments(lines: DataFrame, network: Network) -> DataFrame:
     return lines.mapInArrow(batches, f"page_id {kind}, label string, document_lang string, document_confidence double, segments array<struct<first:int,sentences:int,lang:string,confidence:double>>")
 
 
-def unnamed_languages(html: DataFrame, urls: DataFrame, least: float = 0.8, t: Training = Training()) -> DataFrame:
-    """(page_id, lang): languages of at least one sentence, with that confidence, that the label does not name."""
+def unnamed_languages(html: DataFrame, urls: DataFrame, least: float = 0.93, least_document: float = 0.6, t: Training = Training()) -> DataFrame:
+    """(page_id, lang): languages of at least one sentence that the label does not name. The language of
+    the document needs the confidence least_document, one within it needs a sentence of the confidence least."""
     lines = written(content_lines(html, urls))
     found = segments(lines, fit(lines, t))
-    sure = F.array_distinct(F.transform(F.filter("segments", lambda s: s["confidence"] >= least), lambda s: s["lang"]))
-    each = found.select("page_id", "label", F.explode(sure).alias("lang"))
+    sure = F.transform(F.filter("segments", lambda s: s["confidence"] >= least), lambda s: s["lang"])
+    whole = F.filter(F.array(F.when(F.col("document_confidence") >= least_document, F.col("document_lang"))), lambda x: x.isNotNull())
+    each = found.select("page_id", "label", F.explode(F.array_distinct(F.concat(whole, sure))).alias("lang"))
     return each.where(F.col("label").isNull() | (F.col("label") != F.col("lang"))).select("page_id", "lang")
+
+
+def page_segments(html: DataFrame, urls: DataFrame, t: Training = Training()) -> DataFrame:
+    """Every page's language and segments; see `segments`."""
+    lines = written(content_lines(html, urls))
+    return segments(lines, fit(lines, t))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from siltstone.llm import boilerplate, language, leaks, quality, repeats, residue, tokens
 from siltstone.session import table
@@ -32,6 +33,11 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.unnamed_languages(table(spark, sf_dir, "html_docs"), table(spark, sf_dir, "validated_urls"))
 
 
+def p3_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language.page_segments(table(spark, sf_dir, "html_docs"), table(spark, sf_dir, "validated_urls"))
+    return found.select("page_id", "document_lang", "document_confidence", F.inline_outer("segments"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.residue_pages(table(spark, sf_dir, "html_docs"), table(spark, sf_dir, "validated_urls"), table(spark, sf_dir, "fetch_results"))
 
@@ -49,4 +55,4 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_statistics, p2_found, p2_bodies, p3_found, p5_found, p7_found, p8_ids, p9_found)}
+    return {f.__name__: f for f in (p1_found, p1_statistics, p2_found, p2_bodies, p3_found, p3_segments, p5_found, p7_found, p8_ids, p9_found)}
