@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import boilerplate, language, leaks, quality, repeats, residue, tokens
+from siltstone.llm import boilerplate, language, leaks, quality, repeats, residue, tokens, topics
 from siltstone.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,5 +54,10 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = topics.accepted(table(spark, sf_dir, "documents"), table(spark, sf_dir, "subject_labels"), table(spark, sf_dir, "subjects"))
+    return found.select("doc_id", "subject")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_statistics, p2_found, p2_bodies, p3_found, p3_segments, p5_found, p7_found, p8_ids, p9_found)}
+    return {f.__name__: f for f in (p1_found, p1_statistics, p2_found, p2_bodies, p3_found, p3_segments, p5_found, p7_found, p8_ids, p9_found, p10_found)}
