@@ -1,7 +1,7 @@
 """robots.txt as tables: rules of each group, the group of each agent, and the verdict for each path.
 
-Rule matching is a theta join decided by the longest match: rules become LIKE patterns, which match in
-linear time, and each (agent, path) keeps the greatest (length, is_allow) by a map-side aggregate.
+Rule matching is a theta join decided by the longest match: a rule's pieces are sought one after the
+other, and each (agent, path) keeps the greatest (length, is_allow) by a map-side aggregate.
 """
 
 from __future__ import annotations
@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from siltstone.session import small
+
 
 def lines(files: DataFrame, site: str = "site", text: str = "text") -> DataFrame:
     """(site, line, field, value, group_no) of each directive. Consecutive User-agent lines open one
@@ -47,26 +49,37 @@ def agent_groups(directives: DataFrame, agents: DataFrame) -> DataFrame:
     short list of crawlers, joined to the tokens of each site."""
     tokens = directives.where("field = 'user-agent'").select("site", "group_no", "line", F.lower("value").alias("token"))
     name = F.lower(F.col("agent"))
-    pairs = tokens.join(F.broadcast(agents.select("agent").distinct().limit(10_000)), (F.col("token") == "*") | F.startswith(name, F.col("token")))
+    pairs = tokens.join(small(agents.select("agent").distinct()), (F.col("token") == "*") | F.startswith(name, F.col("token")))
     order = F.struct((F.col("token") != "*").cast("int"), F.when(F.col("token") != "*", F.length("token")).otherwise(0), -F.col("group_no"), -F.col("line"))
     best = pairs.groupBy("site", "agent").agg(F.max_by(F.struct("group_no", (F.col("token") != "*").alias("explicitly_named")), order).alias("g"))
     return best.select("site", "agent", "g.group_no", "g.explicitly_named")
 
 
-def like_pattern(rule: Column) -> Column:
-    """The rule as a LIKE pattern: '*' is '%', a last '$' anchors, all else stands for itself."""
+def matches(rule: Column, path: Column) -> Column:
+    """Whether a rule with '*' for any text and a last '$' for the path's end matches. Each literal piece
+    is sought once, at its leftmost place after the one before, so no rule takes long; a regular
+    expression or LIKE would try all places."""
     anchored = F.endswith(rule, F.lit("$"))
     bare = F.when(anchored, F.left(rule, F.length(rule) - 1)).otherwise(rule)
-    escaped = F.regexp_replace(bare, r"([\\%_])", r"\\$1")
-    return F.concat(F.replace(escaped, F.lit("*"), F.lit("%")), F.when(anchored, "").otherwise("%"))
+    pieces = F.split(bare, "[*]")
+    n, tail = F.size(pieces), F.element_at(pieces, -1)
+    start = F.when(F.startswith(path, F.get(pieces, F.lit(0))), F.length(F.get(pieces, F.lit(0)))).otherwise(-1)
+    between = F.slice(pieces, 2, F.greatest(F.lit(0), n - F.when(anchored, 2).otherwise(1)))
+
+    def seek(at: Column, piece: Column) -> Column:
+        found = F.position(piece, path, at + 1)
+        return F.when(at < 0, -1).when(piece == "", at).when(found > 0, found - 1 + F.length(piece)).otherwise(-1)
+
+    end = F.aggregate(between, start, seek)
+    at_end = F.when(n == 1, F.length(path) == end).otherwise((tail == "") | ((F.length(path) - F.length(tail) >= end) & F.endswith(path, tail)))
+    return (rule != "") & (end >= 0) & (~anchored | at_end)
 
 
 def verdicts(rule_table: DataFrame, groups: DataFrame, paths: DataFrame) -> DataFrame:
     """(site, agent, path, allowed) of each agent of groups and each (site, path). The longest matching
     rule decides, its length counted as written; Allow wins ties; no matching rule allows."""
     asked = groups.join(paths.select("site", "path").distinct(), "site")
-    named = rule_table.where("rule <> ''").withColumn("pattern", like_pattern(F.col("rule")))
-    found = asked.join(named, ["site", "group_no"], "left").withColumn("matches", F.expr("path like pattern"))
+    found = asked.join(rule_table.where("rule <> ''"), ["site", "group_no"], "left").withColumn("matches", matches(F.col("rule"), F.col("path")))
     decided = found.groupBy("site", "agent", "path").agg(F.max(F.when(F.col("matches"), F.struct(F.length("rule").alias("size"), F.col("is_allow").alias("is_allow")))).alias("best"))
     return decided.select("site", "agent", "path", F.coalesce("best.is_allow", F.lit(True)).alias("allowed"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siltstone.functions import fixed, scores
+from siltstone.session import small
 
 # The corpus's thin-page threshold and its bounds by site.
 THIN_WORDS, MOST_THIN, LEAST_SAMPLE = 170, 600, 3
@@ -86,5 +87,5 @@ def first_seen(df: DataFrame, key: Column, *order: str) -> DataFrame:
 
 def bins(df: DataFrame, value: str, table: DataFrame) -> DataFrame:
     """(band, n) of a range join to a short table of (band, low, high); empty bins count 0."""
-    found = df.select(value).join(F.broadcast(table.limit(10_000)), F.col(value).between(F.col("low"), F.col("high"))).groupBy("band").agg(F.count(F.lit(1)).alias("n"))
+    found = df.select(value).join(small(table), F.col(value).between(F.col("low"), F.col("high"))).groupBy("band").agg(F.count(F.lit(1)).alias("n"))
     return table.select("band").join(found, "band", "left").select("band", F.coalesce("n", F.lit(0)).alias("n"))

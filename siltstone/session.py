@@ -9,6 +9,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 PACKAGE = Path(__file__).resolve().parent
 
@@ -32,6 +33,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small(df: DataFrame, most: int = 10_000) -> DataFrame:
+    """The frame with a broadcast hint if it has at most so many rows; else as it is, for Spark to choose."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """A fresh path in the folder that all executors share.
 
