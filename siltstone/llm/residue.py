@@ -158,14 +158,14 @@ def own_lines(html: DataFrame, urls: DataFrame, fetches: DataFrame) -> DataFrame
 def weak_labels(own: DataFrame, t: Training = Training()) -> DataFrame:
     """(line, site, alone, is_title, residue) of distinct lines of a site with what they are taken as."""
     bad = F.coalesce(F.col("status") >= 400, F.lit(False))
-    base = own.agg(F.avg(bad.cast("int")).alias("base"))
+    base = own.agg(F.avg(bad.cast("int"))).first()[0] or 0.0
     body = F.filter("lines", lambda x: x != F.col("title"))
     line = own.select("site", "title", bad.alias("bad"), (F.size(body) <= 2).alias("alone"), F.explode("lines").alias("line"))
     line = line.groupBy("site", "line").agg(F.max(F.col("line") == F.col("title")).alias("is_title"), F.max("alone").alias("alone"), F.count(F.lit(1)).alias("n"), F.sum(F.col("bad").cast("int")).alias("bad"))
     form = F.xxhash64(F.regexp_replace(F.lower("line"), r"[^\p{L}]+", ""))
     line = line.withColumn("form", form)
-    rates = line.groupBy("form").agg(F.sum("n").alias("all"), F.sum("bad").alias("all_bad")).where("all_bad > 0").crossJoin(F.broadcast(base))  # one row
-    lifted = rates.where((F.col("all") > 1) & (F.col("all_bad") > F.col("all") * F.col("base") * t.status_lift)).select("form", F.lit(True).alias("lifted"))
+    rates = line.groupBy("form").agg(F.sum("n").alias("all"), F.sum("bad").alias("all_bad")).where("all_bad > 0")
+    lifted = rates.where((F.col("all") > 1) & (F.col("all_bad") > F.col("all") * (base * t.status_lift))).select("form", F.lit(True).alias("lifted"))
     line = line.join(lifted, "form", "left")
     words = F.size(F.split(F.trim("line"), r"\s+"))
     letters = F.length(F.regexp_replace("line", r"[^\p{L}]+", "")) / F.greatest(F.lit(1), F.length(F.regexp_replace("line", r"\s+", "")))
