@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import dates, fixed, hosts, markup, scores, text, urls
 from siltstone.operators import findings, html, jsonnodes, render, robots, sitemaps, sites
-from siltstone.session import table
+from siltstone.session import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: The moment that ages are counted to.
@@ -48,12 +48,12 @@ def page_type_mix(spark: SparkSession, d: str) -> DataFrame:
 
 
 def genre_profile(spark: SparkSession, d: str) -> DataFrame:
-    counted = table(spark, d, "documents").select("doc_id", *text.genre_counts(F.col("text")))
+    counted = spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", *text.genre_counts(F.col("text")))
     return counted.withColumn("genre_count", F.size(text.genres(fixed.POSITIVE_GENRES)))
 
 
 def genre_matrix(spark: SparkSession, d: str) -> DataFrame:
-    counted = table(spark, d, "documents").select("source", *text.genre_counts(F.col("text")))
+    counted = spread(table(spark, d, "documents").select("source", "text")).select("source", *text.genre_counts(F.col("text")))
     return counted.groupBy("source").agg(*(F.count_if(F.col(f"n_{g}") >= n).alias(g) for g, (_, n) in fixed.GENRES.items()), F.count(F.lit(1)).alias("documents"))
 
 
@@ -64,7 +64,7 @@ def word_bins(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
-    h = table(spark, d, "html_docs").select("page_id", text.word_count(F.col("main_text")).alias("words"), F.coalesce(F.array_size("headings"), F.lit(0)).alias("headings"), *text.genre_counts(F.col("main_text")))
+    h = spread(table(spark, d, "html_docs").select("page_id", "main_text", "headings")).select("page_id", text.word_count(F.col("main_text")).alias("words"), F.coalesce(F.array_size("headings"), F.lit(0)).alias("headings"), *text.genre_counts(F.col("main_text")))
     site = table(spark, d, "validated_urls").select("page_id", F.col("registrable_domain").alias("site"))
     return h.join(site, "page_id").withColumn("score", scores.readiness(F.col("words"), F.col("headings"), F.col("n_definition"), F.col("n_numeric"), F.col("n_comparison")))
 
@@ -84,7 +84,7 @@ def site_thresholds(spark: SparkSession, d: str) -> DataFrame:
 
 
 def claim_sentences(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "documents").select("doc_id", F.posexplode(text.claims(F.col("text"))).alias("no", "claim"))
+    c = spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(text.claims(F.col("text"))).alias("no", "claim"))
     return c.select("doc_id", "no", "claim.kind", "claim.sentence")
 
 
@@ -94,24 +94,24 @@ def text_dates(spark: SparkSession, d: str) -> DataFrame:
 
 def raw_signals(spark: SparkSession, d: str) -> DataFrame:
     b = F.col("body")
-    f = table(spark, d, "fetch_results").where("body is not null")
+    f = spread(table(spark, d, "fetch_results").where("body is not null").select("page_id", "body"))
     return f.select("page_id", F.array_join(markup.frameworks(b), ",").alias("frameworks"), F.array_join(markup.state_blobs(b), ",").alias("state_blobs"), markup.empty_mount(b).alias("empty_mount"), markup.skeletons(b).alias("skeletons"), markup.lazy_markers(b).alias("lazy_markers"), markup.client_routing(b).alias("client_routing"), markup.image_counts(b)["images"].alias("images"), markup.head_counts(b)["stylesheets"].alias("stylesheets"))
 
 
 def html_structure(spark: SparkSession, d: str) -> DataFrame:
-    f = table(spark, d, "fetch_results").where("body is not null").select("page_id", "body", "final_url")
+    f = spread(table(spark, d, "fetch_results").where("body is not null").select("page_id", "body", "final_url"))
     p = html.parsed(f).select("page_id", html.structure(F.col("doc")).alias("s"), F.size("doc.meta").alias("meta_keys"), F.col("doc.lang").alias("lang"))
     return p.select("page_id", "s.total_word_count", "s.heading_count", "s.paragraph_count", "s.list_item_count", "meta_keys", F.coalesce("lang", F.lit("")).alias("lang"))
 
 
 def html_main_text(spark: SparkSession, d: str) -> DataFrame:
-    f = table(spark, d, "fetch_results").where("body is not null").select("page_id", "body", "final_url")
+    f = spread(table(spark, d, "fetch_results").where("body is not null").select("page_id", "body", "final_url"))
     p = html.parsed(f)
     return p.select("page_id", F.col("doc.title").alias("title"), F.length("doc.main_text").alias("main_chars"), html.heading_skips(F.col("doc.headings")).alias("heading_skips"), F.size("doc.links").alias("links"), F.size("doc.json_ld").alias("json_ld"), F.size("doc.json_ld_errors").alias("json_ld_errors"))
 
 
 def render_faults(spark: SparkSession, d: str) -> DataFrame:
-    f = table(spark, d, "fetch_results").where("body is not null").select("page_id", "body", render.trapped_chars("body").alias("trapped"), F.inline(F.array(render.signals(F.col("body")))))
+    f = spread(table(spark, d, "fetch_results").where("body is not null").select("page_id", "body")).select("page_id", "body", render.trapped_chars("body").alias("trapped"), F.inline(F.array(render.signals(F.col("body")))))
     h = table(spark, d, "html_docs").select("page_id", text.word_count(F.col("text")).alias("words"), F.length("text").alias("text_chars"), "inline_script_chars", "noscript_chars", "title", F.col("meta")["description"].alias("description"), F.coalesce(F.array_size("paragraphs"), F.lit(0)).alias("paragraphs"), "images", "images_missing_alt")
     return render.faults(f.drop("body").join(h, "page_id")).select("page_id", F.inline("faults"))
 

@@ -33,6 +33,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The frame over all cores, where a source is read in fewer parts than there are (small files);
+    sources of more parts than cores, as any large one, are left alone and not shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def small(df: DataFrame, most: int = 10_000) -> DataFrame:
     """The frame with a broadcast hint if it has at most so many rows; else as it is, for Spark to choose."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
