@@ -2,6 +2,23 @@
 
 from __future__ import annotations
 
+from siltstone.llm import quality
+
+
+def _list(words: list[str]) -> str:
+    return "[" + ", ".join("'" + w + "'" for w in words) + "]"
+
+
+P1_FOUND = f"""
+WITH line AS (SELECT page_id, unnest(string_split(coalesce(main_text, ''), '\n')) AS l FROM html_docs),
+f AS (SELECT page_id, l, len(list_filter(regexp_split_to_array(l, '\\s+'), lambda w: w <> '')) AS words, length(regexp_replace(l, '[^\\p{{L}}]+', '', 'g')) AS letters, length(regexp_replace(l, '\\s+', '', 'g')) AS visible,
+  regexp_extract_all(lower(l), '\\p{{L}}+') AS runs, regexp_matches(rtrim(l, ' '), '[.!?…。！？]["''”’»)\\]]*$') AS closed, regexp_matches(lower(l), '(?i){quality.UNFILLED}') AS unfilled FROM line),
+c AS (SELECT *, len(list_filter(runs, lambda w: list_contains({_list(quality.WORDS)}, w))) AS common, unfilled OR list_has_any(runs, {_list(quality.FILLER_WORDS.split())}) AS filler FROM f WHERE words > 0),
+k AS (SELECT page_id, words, CASE WHEN filler THEN 'filler' WHEN letters >= 0.7 * visible AND visible <= 12 * words AND ((words >= 5 AND common >= 2 AND common >= 0.08 * words) OR (words >= 4 AND common >= 1 AND closed)) THEN 'sentence' ELSE 'other' END AS kind FROM c),
+s AS (SELECT page_id, sum(words) AS words, coalesce(sum(words) FILTER (WHERE kind = 'other'), 0) AS other FROM k GROUP BY page_id)
+SELECT page_id FROM s WHERE other > {quality.Rules.no_sentence} * words AND other >= {quality.Rules.least_no_sentence}
+"""
+
 P7_FOUND = """
 WITH entry AS (
   SELECT page_id, registrable_domain AS source, CAST(i - 1 AS INTEGER) AS para_no,
@@ -24,4 +41,4 @@ SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p7_found": P7_FOUND, "p9_found": P9_FOUND}
+    return {"p1_found": P1_FOUND, "p7_found": P7_FOUND, "p9_found": P9_FOUND}
