@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame
 TOKENIZER_DIR = "/opt/tokenizers"
 # Fixed value: the public pattern that cuts text into words for byte_bpe_50k.
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Words kept between batches of one task, and bytes of text encoded at a time.
-KEPT_WORDS, BLOCK = 1_000_000, 8_000_000
+#: Words and judged pairs kept between batches of one task, and bytes of text encoded at a time.
+KEPT_WORDS, KEPT_PAIRS, BLOCK = 300_000, 500_000, 8_000_000
 
 
 class Vocabulary:
@@ -133,8 +133,7 @@ class Encoder:
         self.vocabulary, self.find, self.ids = vocabulary, regex.compile(pattern).findall, {}
 
     def learn(self, words: set[str]) -> None:
-        if len(self.ids) > KEPT_WORDS:
-            self.ids.clear()
+        if len(self.vocabulary.fits) > KEPT_PAIRS:
             self.vocabulary.fits.clear()
         new = sorted((w.encode("utf-8", "replace"), w) for w in words if w not in self.ids)
         keys = [k for i, (k, _) in enumerate(new) if not i or k != new[i - 1][0]]
