@@ -222,7 +222,7 @@ def pooled(network: Network, texts: list[str], cells: int = 40_000) -> np.ndarra
 def _usable(line: Column) -> Column:
     """Sentences of content in main_text: no list, table, rubbish, filler, error or script notice."""
     # through a one-element array, so that each feature is computed once
-    prose = F.get(F.transform(F.array(quality.line_features(line)), quality.line_kind), F.lit(0)) == "sentence"
+    prose = F.get(F.transform(F.array(quality.kind_features(line)), quality.line_kind), F.lit(0)) == "sentence"
     notice = (F.size(F.split(F.trim(line), r"\s+")) <= residue.Training.short_words) & F.lower(line).rlike(residue.PHRASES)
     return F.array_contains("_main", line) & ~notice & prose
 

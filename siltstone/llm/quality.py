@@ -34,7 +34,7 @@ UNFILLED = r"\{\{|\}\}|\$\{|\{\$|\{%|<%|%>|#\{|\{[0-9]\}|\[\[|\]\]|@@[A-Z]|\*\||
 # words are tried by first letter, so that a word costs its letter's few alternatives and not all
 _BY_LETTER = {w[0]: [x[1:] for x in WORDS if x[0] == w[0]] for w in WORDS}
 COMMON = r"(?<!\p{L})(?:" + "|".join(f"{a}(?:{'|'.join(rest)})" for a, rest in sorted(_BY_LETTER.items())) + r")(?!\p{L})"
-FILLER = r"(?<!\p{L})(?:" + FILLER_WORDS.replace(" ", "|") + r")(?!\p{L})|(?i:" + UNFILLED + ")"
+FILLER = r"(?<!\p{L})(?:" + FILLER_WORDS.replace(" ", "|") + r")(?!\p{L})"
 CLOSING = r"[.!?…。！？][\"'”’»)\]]*$"
 BULLET = r"^\s*(?:[-*•‣▪◦·»–]|\d{1,3}[.)])\s"
 
@@ -57,6 +57,27 @@ class Rules:
     least_no_sentence: int = 12
 
 
+def is_filler(line: Column) -> Column:
+    """Filler words, or marks of unfilled templates; the costly pattern runs only where it can match."""
+    low = F.lower(line)
+    can = low.rlike(r"[{}\[\]@#%|_*<>]")
+    for word in ("undefined", "xxx-", "sample text", "goes here", "todo:"):
+        can = can | F.contains(low, F.lit(word))
+    return low.rlike(FILLER) | (can & low.rlike(f"(?i){UNFILLED}"))
+
+
+def kind_features(line: Column) -> Column:
+    """What `line_kind` needs of a line."""
+    return F.struct(
+        F.size(F.filter(F.split(line, r"\s+"), lambda w: w != "")).alias("words"),
+        F.length(F.regexp_replace(line, r"[^\p{L}]+", "")).alias("letters"),
+        F.length(F.regexp_replace(line, r"\s+", "")).alias("visible"),
+        F.regexp_count(F.lower(line), F.lit(COMMON)).alias("common"),
+        F.rtrim(line).rlike(CLOSING).alias("closed"),
+        is_filler(line).alias("filler"),
+    )
+
+
 def line_features(line: Column) -> Column:
     low = F.lower(line)
     return F.struct(
@@ -70,7 +91,7 @@ def line_features(line: Column) -> Column:
         F.rtrim(line).rlike(CLOSING).alias("closed"),
         line.rlike(BULLET).alias("bullet"),
         F.rtrim(line).rlike(r"(?:…|\.\.\.)$").alias("ellipsis"),
-        low.rlike(FILLER).alias("filler"),
+        is_filler(line).alias("filler"),
     )
 
 
