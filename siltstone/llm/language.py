@@ -239,12 +239,19 @@ def content_lines(html: DataFrame, urls: DataFrame) -> DataFrame:
 def fit(lines: DataFrame, t: Training = Training()) -> Network:
     """The network, trained on the driver on a sample of at most t.each lines a language."""
     line = lines.where("label is not null").select("label", F.explode("lines").alias("line")).distinct()
-    texts, labels = [], []
-    for code in LANGUAGES:
-        for row in line.where(F.col("label") == code).orderBy(F.xxhash64("line")).limit(t.each).collect():
+    line = written(line.withColumn("order", F.pmod(F.xxhash64("line"), F.lit(1 << 40))))
+    counts = {r[0]: r[1] for r in line.groupBy("label").agg(F.count(F.lit(1))).collect()}
+    # about twice the sample by hash, in one job, so that no task sends the driver more than its part
+    share = F.lit(0)
+    for code, n in counts.items():
+        share = F.when(F.col("label") == code, F.lit(int((1 << 40) * min(1.0, 2.0 * t.each / n)))).otherwise(share)
+    texts, labels, taken = [], [], dict.fromkeys(LANGUAGES, 0)
+    for row in sorted(line.where(F.col("order") < share).collect(), key=lambda r: (r.order, r.line)):
+        if taken[row.label] < t.each:
+            taken[row.label] += 1
             for s in sentences(row.line):
                 texts.append(s)
-                labels.append(LANGUAGES.index(code))
+                labels.append(LANGUAGES.index(row.label))
     return train(texts, np.array(labels, np.int64), t)
 
 
