@@ -1,12 +1,13 @@
 """The main body of web pages, told from their template by a weighted line-block distribution.
 
-Markup is stripped and the text lies before us line by line. In the plain form of the method each line
-weighs its length, the weights are summed over sliding windows of lines, and the text between the surge
-and the dive of these sums is kept. Short content and long template lines defeat lengths alone, so a
-line's weight is taken from the corpus: a line that the site's pages share weighs nothing, and neither
-does anything from the first shared line on after which the site's pages hold no long line any more
-(where footers and side columns begin). Surge and dive are the ends of the windows with any weight;
-lines of no weight between them (bylines, share prompts, disclaimers) are the template's, too.
+Markup is stripped and the text lies before us line by line. Each line weighs its length, the weights
+are summed over sliding windows of lines, and the text between the surge and the dive of these sums is
+kept: from the first window that reaches a threshold, or the page's own title before it, to the last. A
+page without a long line of its own has nothing that its windows could be held against; there the threshold is
+any weight at all. Lengths alone can't tell long template lines from content, so the corpus is asked as
+well: a line that the site's pages share weighs nothing, and neither does anything from the first shared
+line on after which the site's pages hold no long line any more (where footers and side columns begin).
+Lines of no weight between surge and dive (bylines, share prompts, disclaimers) are the template's, too.
 
 What a site shares is counted over all its pages: a line's key is its letters, without regard to case
 and with the site's own name replaced by a mark. Equal pages of a site count once. The counts are
@@ -14,7 +15,8 @@ sums by (site, key) and by key with map-side aggregation, so neither a site with
 nor a line on all pages lies in one task; no rate is taken from a sample.
 
 Defined results: null and empty texts have no lines; a page without a known site has no template lines
-except breadcrumbs; repeated rows are repeated; very long lines and texts are handled whole.
+except breadcrumbs and those outside surge and dive; repeated rows are repeated; very long lines and
+texts are handled whole.
 """
 
 from __future__ import annotations
@@ -45,6 +47,7 @@ class Shares:
     long_line: int = 150  #: characters of a line that only an author's paragraph has
     long_key: int = 20  #: letters from which a line is no menu entry, table cell or list item
     window: int = 3  #: lines in a block
+    surge: int = 100  #: characters of a block from which it is the body's, on pages with a long line
     menu_share: float = 0.3
     line_share: float = 0.08
     pooled_line_share: float = 0.05
@@ -133,10 +136,10 @@ def _sums(weights: np.ndarray, window: int) -> np.ndarray:
     return total[np.minimum(np.arange(n) + window, n)] - total[:n]
 
 
-def body_range(weights: np.ndarray, window: int) -> tuple[int, int]:
+def body_range(weights: np.ndarray, window: int, surge: int = 1) -> tuple[int, int]:
     """Surge and dive: the first line and the one after the last of the text between the first and the
-    last window of any weight; (0, 0) if there is none."""
-    heavy = np.flatnonzero(_sums(weights, window) > 0)
+    last window of so much weight; (0, 0) if there is none."""
+    heavy = np.flatnonzero(_sums(weights, window) >= surge)
     if not len(heavy):
         return 0, 0
     first, last = heavy[0], min(heavy[-1] + window, len(weights))
@@ -144,9 +147,10 @@ def body_range(weights: np.ndarray, window: int) -> tuple[int, int]:
     return int(inside[0]), int(inside[-1]) + 1
 
 
-def template_flags(lines: list[str], keys: list[str], kinds: list[int], title_key: str, window: int = 3) -> list[bool]:
+def template_flags(lines: list[str], keys: list[str], kinds: list[int], title_key: str, p: Shares = Shares()) -> list[bool]:
     """Of each line, whether it is the template's. kinds: 0 not shared, 1 shared, 2 shared and ends the body."""
-    weights = np.array([0 if kind else len(line.strip()) for line, kind in zip(lines, kinds, strict=True)], np.int64)
+    lengths = np.array([len(line.strip()) for line in lines], np.int64)
+    weights = np.where(np.array(kinds, np.int64) > 0, 0, lengths)
     for i, line in enumerate(lines):
         # a breadcrumb leads, over separators, to the page's own title, below nothing but template lines
         if weights[i] and CRUMB.search(line) and (i == 0 or not weights[i - 1]):
@@ -155,7 +159,13 @@ def template_flags(lines: list[str], keys: list[str], kinds: list[int], title_ke
                 weights[i] = 0
     if 2 in kinds:
         weights[kinds.index(2) :] = 0
-    surge, dive = body_range(weights, window)
+    surge, dive = body_range(lengths, p.window, p.surge if weights.max(initial=0) > p.long_line else 1)
+    # short lines may part a page's title from its first block, or a heading if the title isn't there
+    own = np.flatnonzero(weights[:surge]).tolist()
+    if not title_key or title_key not in keys:
+        surge = own[-1] if own else surge
+    else:
+        surge = next((i for i in own if keys[i] == title_key), surge)
     return [not (surge <= i < dive and w > 0) for i, w in enumerate(weights.tolist())]
 
 
@@ -165,7 +175,6 @@ def marked(table: DataFrame, p: Shares = Shares()) -> DataFrame:
     rows = table.join(shared_lines(table, p).withColumnRenamed("site", "_site"), kind("site") == F.col("_site"), "left").drop("_site")
     rows = rows.withColumn("hashes", F.transform("lines", lambda x: kind(x["key"])))
     kept = [c for c in table.columns if c not in ("lines", "title_key")]
-    window = p.window
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (whole.slice(at, ROWS) for whole in it for at in range(0, len(whole), ROWS)):
@@ -178,7 +187,7 @@ def marked(table: DataFrame, p: Shares = Shares()) -> DataFrame:
                 texts, keys = [x["line"] for x in lines], [x["key"] for x in lines]
                 last, other = set(ends or ()), set(others or ())
                 kinds = [0 if not k else 2 if h in last else 1 if h in other else 0 for k, h in zip(keys, hashes, strict=True)]
-                marks.append([{"line": x["line"], "template": f, "use": x["use"]} for x, f in zip(lines, template_flags(texts, keys, kinds, title, window), strict=True)])
+                marks.append([{"line": x["line"], "template": f, "use": x["use"]} for x, f in zip(lines, template_flags(texts, keys, kinds, title, p), strict=True)])
             out = pa.array(marks, pa.list_(pa.struct([("line", pa.string()), ("template", pa.bool_()), ("use", pa.bool_())])))
             yield pa.RecordBatch.from_arrays([*(get[c] for c in kept), out], [*kept, "marks"])
 

@@ -74,6 +74,16 @@ def test_line_blocks():
     assert got == [True, True, False, False, True, False, True, True, True]
 
 
+def test_line_blocks_by_length():
+    lines = ["Home", "Docs", "Title", "By me", "A body line. " * 13, "short", "Last words. " * 9, "Teaser", "Privacy", "Terms"]
+    keys = [boilerplate.re.sub("[^a-z]", "", x.lower()) for x in lines]
+    flags = lambda **k: boilerplate.template_flags(lines, keys, [0] * len(lines), "title", boilerplate.Shares(**k))
+    want = lambda *own: [i not in own for i in range(len(lines))]
+    # nothing is shared here, so lengths decide: from the title to the last block
+    assert flags(window=1) == want(2, 3, 4, 5, 6) and flags() == want(2, 3, 4, 5, 6, 7, 8)
+    assert flags(window=1, surge=150) == want(2, 3, 4) and flags(long_line=1_000) == want(*range(len(lines)))
+
+
 def test_network_gradients():
     n = language.Network(language.Training(hidden=5, embedding=3, seed=1))
     x, mask = language._padded([b"hello world this", b"abc", b"the quick brown fox"])
