@@ -12,7 +12,9 @@ Lines of no weight between surge and dive (bylines, share prompts, disclaimers)
 What a site shares is counted over all its pages: a line's key is its letters, without regard to case
 and with the site's own name replaced by a mark. Equal pages of a site count once. The counts are
 sums by (site, key) and by key with map-side aggregation, so neither a site with a third of all pages
-nor a line on all pages lies in one task; no rate is taken from a sample.
+nor a line on all pages lies in one task; no rate is taken from a sample. A site's frequent keys meet its
+pages as one array; keys on a smaller share of them, of which a large site may have any number, are
+joined to the lines themselves, so that no array grows with the site and no key is left out.
 
 Defined results: null and empty texts have no lines; a page without a known site has no template lines
 except breadcrumbs and those outside surge and dive; repeated rows are repeated; very long lines and
@@ -31,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.session import written
+from siltstone.session import small, written
 
 OWN = "§"
 #: pages marked at a time
@@ -51,7 +53,7 @@ class Shares:
     menu_share: float = 0.3
     line_share: float = 0.08
     pooled_line_share: float = 0.05
-    least_share: float = 0.002
+    least_share: float = 0.002  #: keys on a smaller share of a site's pages stay out of its arrays; they are joined to lines
     least_pages: int = 3
     least_sites: int = 3
     #: at most so much of a line's pages may have it as their title, or again and again, or be without a long line
@@ -106,9 +108,9 @@ def _counts(table: DataFrame, p: Shares) -> DataFrame:
     return each.join(whole, "site")
 
 
-def shared_lines(table: DataFrame, p: Shares = Shares()) -> DataFrame:
-    """(site, ends, others) of hashes: per site the keys of its template's lines, those that end bodies
-    apart. A site's arrays are bounded: a line must be on a share of the site's or its line's pages."""
+def _kinds(table: DataFrame, p: Shares) -> DataFrame:
+    """(site, key, ends, rare) of the template's lines, as a written table: whether the key ends bodies, and
+    whether it is too rare on its site for the site's arrays."""
     each = written(_counts(table, p)).repartition("key")
     pooled = each.groupBy("key").agg(F.count(F.lit(1)).alias("g_sites"), *(F.sum(c).alias(f"g_{c}") for c in ("n", "pages", "first", "after", "title", "with_long"))).where(F.col("g_n") > 1)
     both = each.join(pooled, "key")
@@ -120,13 +122,34 @@ def shared_lines(table: DataFrame, p: Shares = Shares()) -> DataFrame:
     line = long & (c("g_with_long") >= 0.5 * c("g_n")) & ((many & (share >= p.line_share) & (g_share >= p.pooled_line_share)) | (spread & (g_share >= p.line_share)))
     menu = ~long & ((many & (share >= p.menu_share) & (~spread | (g_share >= p.menu_share * 2 / 3))) | (spread & (g_share >= p.menu_share)) | ((c("g_first") >= 0.9 * c("g_n")) & (c("g_n") > 1)))
     once = (c("lines") <= p.again * c("n")) & (c("g_title") < p.title_share * c("g_n"))
-    # a share of the site's pages for every key keeps a site's arrays within a bound, however large it is
-    template = once & (c("n") >= p.least_share * c("pages")) & (named | (~c("own") & (line | menu)))
+    template = once & (named | (~c("own") & (line | menu)))
     pool_ends = (c("g_after") < p.after_share * c("g_n")) & (g_share >= 0.2)
     site_ends = (c("n") >= 8) & (c("after") < 0.8 * p.after_share * c("n")) & (share >= 0.5)
     ends = F.when(spread & (c("g_n") >= 20), pool_ends).otherwise(site_ends) & ~(c("own") & ~spread & (share < 0.5))
-    kinds = both.where(template).select("site", "key", ends.alias("ends"))
-    return kinds.groupBy("site").agg(F.collect_set(F.when(c("ends"), c("key"))).alias("ends"), F.collect_set(F.when(~c("ends"), c("key"))).alias("others"))
+    return written(both.where(template).select("site", "key", ends.alias("ends"), (c("n") < p.least_share * c("pages")).alias("rare")))
+
+
+def _sets(kinds: DataFrame, *by: str) -> DataFrame:
+    """The keys that end bodies, and the others."""
+    return kinds.groupBy(*by).agg(F.collect_set(F.when(F.col("ends"), F.col("key"))).alias("ends"), F.collect_set(F.when(~F.col("ends"), F.col("key"))).alias("others"))
+
+
+def with_shared_lines(table: DataFrame, p: Shares = Shares()) -> DataFrame:
+    """The rows with `ends` and `others`, hashes of keys: those of the template's lines, those that end
+    bodies apart. All frequent keys of the site are there, and the rare ones that the page has."""
+    kinds = _kinds(table, p)
+    site, text = F.xxhash64("site"), F.xxhash64(F.col("lines.line"))
+    rows = table.join(_sets(kinds.where("not rare"), "site").withColumnRenamed("site", "_site"), site == F.col("_site"), "left").drop("_site")
+    rare = kinds.where("rare").select("site", "key", "ends")
+    if rare.isEmpty():
+        return rows
+    keys = F.array_distinct(F.transform("lines", lambda x: F.xxhash64(x["key"])))
+    each = table.where("site is not null and lines is not null").select(site.alias("site"), text.alias("_text"), F.explode(keys).alias("key"))
+    found = _sets(each.join(small(rare), ["site", "key"]), "site", "_text").select(F.col("site").alias("_site"), "_text", F.col("ends").alias("_ends"), F.col("others").alias("_others"))
+    rows = rows.join(written(found), (site == F.col("_site")) & (text == F.col("_text")), "left")
+    none = F.array().cast("array<bigint>")
+    both = {n: F.concat(F.coalesce(n, none), F.coalesce(f"_{n}", none)) for n in ("ends", "others")}
+    return rows.withColumns(both).drop("_site", "_text", "_ends", "_others")
 
 
 def _sums(weights: np.ndarray, window: int) -> np.ndarray:
@@ -171,9 +194,7 @@ def template_flags(lines: list[str], keys: list[str], kinds: list[int], title_ke
 
 def marked(table: DataFrame, p: Shares = Shares()) -> DataFrame:
     """The rows of `pages` with `marks`, per line (line, template, use); null for a null or empty text."""
-    kind = F.xxhash64
-    rows = table.join(shared_lines(table, p).withColumnRenamed("site", "_site"), kind("site") == F.col("_site"), "left").drop("_site")
-    rows = rows.withColumn("hashes", F.transform("lines", lambda x: kind(x["key"])))
+    rows = with_shared_lines(table, p).withColumn("hashes", F.transform("lines", lambda x: F.xxhash64(x["key"])))
     kept = [c for c in table.columns if c not in ("lines", "title_key")]
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -52,6 +52,18 @@ def test_boilerplate_frames(spark):
     assert spark.range(1).select(boilerplate.strip_markup(F.lit("<p>a<b>b</b></p><script>x</script><div>c &amp; d</div>")).alias("t")).first().t == "a b\nc & d"
 
 
+def test_boilerplate_rare_on_a_large_site(spark):
+    own = lambda i, w: f"{w} {''.join('abcdefghij'[int(d)] for d in str(i))} " + "and some words that follow. " * 8
+    note = "The views given here are those of the author and not of Mysite."
+    # 3 of 1,600 pages have the note, a smaller share than least_share
+    rows = [(i, "", "\n".join([own(i, "First"), *([note] if i < 3 else []), own(i, "Last")])) for i in range(1_600)] + [(0, "", None), (-1, "", note)]
+    docs = spark.createDataFrame(rows, "page_id bigint, title string, text string")
+    urls = spark.createDataFrame([(i, "mysite.com") for i in range(1_600)], "page_id bigint, registrable_domain string")
+    for p in (boilerplate.Shares(), boilerplate.Shares(least_share=0.0), boilerplate.Shares(least_share=1.0)):
+        assert sorted(map(tuple, boilerplate.template_lines(docs, urls, p).collect())) == [(0, 1), (1, 1), (2, 1)]
+        assert boilerplate.main_bodies(docs, urls, p).count() == len(rows)
+
+
 def test_quality_frame(spark):
     prose = "This is a sentence that says what it has to say. " * 8
     docs = spark.createDataFrame([(1, prose), (2, "\n".join(f"red item {i}; 4 kg" for i in range(40))), (3, None), (4, ""), (5, "lorem ipsum dolor " * 30), (6, "Page not found."), (7, "#$% " * 200)], "page_id bigint, main_text string").withColumn("paragraphs", F.array(F.lit("a b"), F.lit(None))).withColumn("list_items", F.lit(None).cast("array<string>")).withColumn("words", F.lit("clash"))
