@@ -46,6 +46,11 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.repeated_entries(table(spark, sf_dir, "html_docs"), table(spark, sf_dir, "validated_urls"))
 
 
+def p7_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = repeats.without_repeats(table(spark, sf_dir, "html_docs").select("page_id", "paragraphs"), table(spark, sf_dir, "validated_urls"))
+    return cut.select("page_id", "paragraphs", "n_cut")
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode(table(spark, sf_dir, "documents"))
 
@@ -54,10 +59,19 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
+def p9_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.leak_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p9_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = leaks.without_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "eval_items"))
+    return cut.select("doc_id", "text", "leaked_words", "leak_dropped")
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = topics.accepted(table(spark, sf_dir, "documents"), table(spark, sf_dir, "subject_labels"), table(spark, sf_dir, "subjects"))
     return found.select("doc_id", "subject")
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_statistics, p2_found, p2_bodies, p3_found, p3_segments, p5_found, p7_found, p8_ids, p9_found, p10_found)}
+    return {f.__name__: f for f in (p1_found, p1_statistics, p2_found, p2_bodies, p3_found, p3_segments, p5_found, p7_found, p7_clean, p8_ids, p9_found, p9_spans, p9_clean, p10_found)}

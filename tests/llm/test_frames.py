@@ -89,6 +89,22 @@ def test_queries_have_their_columns(spark, data, name):
     assert df.columns == want and rows and len(set(rows)) == len(rows)
 
 
+def test_clean_queries_cut_what_is_found(spark):
+    from siltstone.llm.queries import queries
+
+    d = "/root/testdata/sf0.01"
+    run = lambda n: queries()[n](spark, d).collect()
+    cut, before = {}, {r.page_id: r.paragraphs for r in table(spark, d, "html_docs").collect()}
+    for r in run("p7_found"):
+        cut.setdefault(r.page_id, set()).add(r.para_no)
+    clean = run("p7_clean")
+    want = {p: None if x is None else [e for i, e in enumerate(x) if i not in cut.get(p, ())] for p, x in before.items()}
+    assert cut and {r.page_id: r.paragraphs for r in clean} == want and all(r.n_cut == len(cut.get(r.page_id, ())) for r in clean)
+    leaky, texts = {r.doc_id for r in run("p9_found")}, run("p9_clean")
+    assert leaky and {r.doc_id for r in texts if r.leaked_words} == leaky == {r.doc_id for r in run("p9_spans")}
+    assert len(texts) == table(spark, d, "documents").count()
+
+
 def test_residue_on_unseen_sites(spark):
     own = residue.own_lines(*(table(spark, "/root/testdata/sf0.1", n) for n in ("html_docs", "validated_urls", "fetch_results")))
     v = residue.validate(own)
