@@ -2,21 +2,40 @@
 
 from __future__ import annotations
 
-from siltstone.llm import quality
+from siltstone.llm import phrases, quality
 
 
-def _list(words: list[str]) -> str:
-    return "[" + ", ".join("'" + w + "'" for w in words) + "]"
+def _list(words) -> str:
+    return "[" + ", ".join("'" + w + "'" for w in sorted(words)) + "]"
 
 
+def _re(pattern: str) -> str:
+    """A Java pattern as RE2 writes it, quoted."""
+    return "'" + pattern.replace("{Is", "{").replace("'", "''") + "'"
+
+
+_R = quality.Rules
+_FORM = {
+    "mean_word_length": f"NOT visible / words::DOUBLE BETWEEN {_R.mean_word[0]} AND {_R.mean_word[1]}", "symbols": f"symbols > {_R.symbols} * words", "bullets": f"bullets > {_R.bullets} * lines", "ellipses": f"ellipses > {_R.ellipses} * lines",
+    "not_alphabetic": f"alphabetic < {_R.alphabetic} * words", "no_common_words": f"stops < {_R.stop_words}", "no_closing_marks": f"closed < {_R.closing} * lines", "short_lines": f"short > {_R.short_lines} * lines",
+}
 P1_FOUND = f"""
 WITH line AS (SELECT page_id, unnest(string_split(coalesce(main_text, ''), '\n')) AS l FROM html_docs),
-f AS (SELECT page_id, l, len(list_filter(regexp_split_to_array(l, '\\s+'), lambda w: w <> '')) AS words, length(regexp_replace(l, '[^\\p{{L}}]+', '', 'g')) AS letters, length(regexp_replace(l, '\\s+', '', 'g')) AS visible,
-  regexp_extract_all(lower(l), '\\p{{L}}+') AS runs, regexp_matches(rtrim(l, ' '), '[.!?…。！？]["''”’»)\\]]*$') AS closed, regexp_matches(lower(l), '(?i){quality.UNFILLED}') AS unfilled FROM line),
-c AS (SELECT *, len(list_filter(runs, lambda w: list_contains({_list(quality.WORDS)}, w))) AS common, unfilled OR list_has_any(runs, {_list(quality.FILLER_WORDS.split())}) AS filler FROM f WHERE words > 0),
-k AS (SELECT page_id, words, CASE WHEN filler THEN 'filler' WHEN letters >= 0.7 * visible AND visible <= 12 * words AND ((words >= 5 AND common >= 2 AND common >= 0.08 * words) OR (words >= 4 AND common >= 1 AND closed)) THEN 'sentence' ELSE 'other' END AS kind FROM c),
-s AS (SELECT page_id, sum(words) AS words, coalesce(sum(words) FILTER (WHERE kind = 'other'), 0) AS other FROM k GROUP BY page_id)
-SELECT page_id FROM s WHERE other > {quality.Rules.no_sentence} * words AND other >= {quality.Rules.least_no_sentence}
+w AS (SELECT page_id, l, lower(l) AS low, list_filter(regexp_split_to_array(l, '\\s+'), lambda w: w <> '') AS ws, regexp_extract_all(lower(l), '\\p{{L}}+') AS runs, regexp_replace(l, '[^\\p{{L}}]+', '', 'g') AS ls, regexp_matches(rtrim(l, ' '), {_re(quality.CLOSING)}) AS closed FROM line),
+f AS (SELECT page_id, len(ws) AS words, length(ls) AS letters, length(regexp_replace(l, '\\s+', '', 'g')) AS visible, length(l) AS size, closed,
+  len(list_filter(runs, lambda r: list_contains({_list(quality.NOMINAL_WORDS)}, r))) AS nominal, len(list_filter(runs, lambda r: list_contains({_list(quality.CLAUSAL_WORDS)}, r))) AS clausal,
+  len(list_filter(ws, lambda x: regexp_matches(x, '^[^\\p{{L}}]*[\\p{{Ll}}\\p{{Lo}}]'))) AS lower_, len(list_filter(ws, lambda x: regexp_matches(x, '\\p{{L}}'))) AS alphabetic,
+  closed AND regexp_matches(l, {_re(quality.OPENING)}) AND NOT regexp_matches(l, '[:;/|=\\d]') AS whole, length(regexp_replace(l, {_re(quality.UNSPACED)}, '', 'g')) AS unspaced,
+  regexp_matches(low, {_re('(?i)' + phrases.UNFILLED)}) OR list_has_any(runs, {_list(phrases.FILLER_WORDS.split())}) AS filler, len(ws) <= {quality.MESSAGE_WORDS} AND regexp_matches(low, {_re(quality.MESSAGE)}) AS message,
+  len(regexp_extract_all(l, '#|…|\\.\\.\\.')) AS symbols, regexp_matches(l, {_re(quality.BULLET)}) AS bullet, regexp_matches(rtrim(l, ' '), '(?:…|\\.\\.\\.)$') AS ellipsis
+  FROM w WHERE len(ws) > 0),
+k AS (SELECT *, CASE WHEN filler THEN 'filler' WHEN message THEN 'message'
+  WHEN (letters >= 0.7 * visible AND visible <= 12 * words AND ((words >= 5 AND clausal >= 1 AND nominal + clausal >= 2 AND nominal + clausal >= 0.12 * words) OR (closed AND words >= 4 AND clausal >= 1)
+    OR (whole AND ((words >= 4 AND nominal >= 1) OR (words >= 6 AND lower_ >= 0.5 * words AND visible BETWEEN 3 * words AND 9 * words))))) OR (unspaced >= 0.5 * letters AND (unspaced >= 16 OR (unspaced >= 6 AND closed))) THEN 'sentence' ELSE 'other' END AS kind FROM f),
+s AS (SELECT page_id, count(*) AS lines, sum(words) AS words, sum(visible) AS visible, sum(nominal + clausal) AS stops, sum(alphabetic) AS alphabetic, sum(symbols) AS symbols, count(*) FILTER (WHERE closed) AS closed, count(*) FILTER (WHERE bullet) AS bullets, count(*) FILTER (WHERE ellipsis) AS ellipses,
+  count(*) FILTER (WHERE size <= {_R.short_line}) AS short, coalesce(sum(words) FILTER (WHERE kind = 'other'), 0) AS other, coalesce(sum(visible) FILTER (WHERE kind = 'other'), 0) AS seen FROM k GROUP BY page_id)
+SELECT page_id FROM s WHERE (other >= {_R.least_no_sentence} OR seen >= {_R.least_visible})
+  AND (other > {_R.no_sentence} * words OR seen > {_R.no_sentence} * visible OR (other > {_R.doubtful} * words AND {' + '.join(f'CAST({x} AS INTEGER)' for x in _FORM.values())} >= {_R.published}))
 """
 
 P7_FOUND = """

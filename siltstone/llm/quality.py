@@ -3,7 +3,12 @@
 All statistics are native column expressions over the lines of the whole text: one pass that sums
 per-line features, no shuffle. The thresholds are those published for web corpora (word count, mean
 word length, symbols to words, bullet and ellipsis lines, alphabetic words, stop words, closing marks,
-short lines), and one more: more than half of the words stand in lines that read as no sentence.
+short lines), and one more: more than half of the words, or of the visible characters, stand in lines
+that read as no sentence. A line reads as a sentence by its marks, its length and the function words of
+published stop-word lists; a closed line of ordinary words does so in languages without a list, too.
+
+A page is no prose if it fails that rule, or if it fails the rules of three published statistics and
+at least two fifths of its words stand in no sentence. Short messages and filler are neither.
 
 Defined results: a null or blank text has 0 words and rates of 0, and fails only "too_few_words"; null
 lists count as empty; repeated rows are repeated; other columns, of whatever name, are left out.
@@ -16,27 +21,31 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Common words that join or predicate, by language. Articles and plain "and" or "of"
-# are left out, since titles, lists and tables have them as well.
-COMMON_WORDS = {
-    "en": "to in is are was were be been it its that this for with on as at by not or from than but we they you has have had who which what when if one more most their there can will never only no before after every because how why whoever nobody between without then says whether until instead",
-    "de": "ist sind war waren in zu dem nicht mit auf für von im wer sich als wie man alles was es wir aus auch noch nur ohne seit nach dass sie ihnen wird hat haben bei zum zur warum niemand viele danach erst kurz wenig beide so",
-    "fr": "est sont pas que qui dans pour sur ce ces il on au aux plus ne se par après nous tout sans ceux comme était depuis avec personne chaque avant mais",
-    "es": "no con por para se lo al más son que quien desde muchos nadie después sin en es está aunque cada solo tampoco todo fue",
-    "pt": "uma não em no na com por para se mais são que quem desde muitos ninguém depois sem ou também embora cada só tudo foi mas é",
-    "nl": "is zijn van niet met op voor te dat die er je om aan ook nog wie wat na zonder als bij zo heb hebben niemand veel sinds pas daarna in was",
-    "it": "è non con per che chi si in a molti nessuno dopo senza dal ha sono anche come più tutto ogni ma prima solo",
-}
-WORDS = sorted({w for words in COMMON_WORDS.values() for w in words.split()}, key=lambda w: (-len(w), w))
-# Text that only fills a space is neither prose nor rubbish.
-FILLER_WORDS = "lorem ipsum consectetur pariatur fugiat blah placeholder"
-UNFILLED = r"\{\{|\}\}|\$\{|\{\$|\{%|<%|%>|#\{|\{[0-9]\}|\[\[|\]\]|@@[A-Z]|\*\||\|\*|__[A-Z]|%[A-Z]{3,}%|\[object |\[(?:insert|your|tbd|todo)\b|<<[a-z]|\bundefined\b|\bxxx-|sample text|goes here|^todo:"
-# words are tried by first letter, so that a word costs its letter's few alternatives and not all
-_BY_LETTER = {w[0]: [x[1:] for x in WORDS if x[0] == w[0]] for w in WORDS}
-COMMON = r"(?<!\p{L})(?:" + "|".join(f"{a}(?:{'|'.join(rest)})" for a, rest in sorted(_BY_LETTER.items())) + r")(?!\p{L})"
-FILLER = r"(?<!\p{L})(?:" + FILLER_WORDS.replace(" ", "|") + r")(?!\p{L})"
+from siltstone.llm import phrases
+
+
+def _pattern(words: set[str]) -> str:
+    """Any of the words as a whole; tried by first letter, so that a word costs its letter's few."""
+    by_letter: dict[str, list[str]] = {}
+    for w in sorted(words, key=lambda w: (-len(w), w)):
+        by_letter.setdefault(w[0], []).append(w[1:])
+    return r"(?<!\p{L})(?:" + "|".join(f"{a}(?:{'|'.join(rest)})" for a, rest in sorted(by_letter.items())) + r")(?!\p{L})"
+
+
+# a word that ties clauses in one language and noun phrases in another counts as the latter
+NOMINAL_WORDS = {w for words in phrases.NOMINAL.values() for w in words.split()}
+CLAUSAL_WORDS = {w for words in phrases.CLAUSAL.values() for w in words.split()} - NOMINAL_WORDS
+NOMINAL, CLAUSAL = _pattern(NOMINAL_WORDS), _pattern(CLAUSAL_WORDS)
+FILLER = r"(?<!\p{L})(?:" + phrases.FILLER_WORDS.replace(" ", "|") + r")(?!\p{L})"
+MESSAGE = f"{phrases.ERRORS}|{phrases.SCRIPTS}"
+MESSAGE_WORDS = 20
 CLOSING = r"[.!?…。！？][\"'”’»)\]]*$"
 BULLET = r"^\s*(?:[-*•‣▪◦·»–]|\d{1,3}[.)])\s"
+#: letters of scripts that put no space between words
+UNSPACED = r"[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]+"
+#: a word that begins as common words do; scripts without case always
+COMMON_CASE = r"(?<!\S)[^\s\p{L}]*[\p{Ll}\p{Lo}]"
+OPENING = r"^[^\p{L}\p{N}]*[\p{Lu}\p{Lt}\p{Lo}]"
 
 
 @dataclass(frozen=True)
@@ -53,8 +62,12 @@ class Rules:
     short_lines: float = 0.67
     short_line: int = 30
     no_sentence: float = 0.5
-    #: a few words beside a title (a lone message, say) are too little to be a list, a table or rubbish
+    #: a title alone is no list, table or rubbish: so many words or visible characters are
     least_no_sentence: int = 12
+    least_visible: int = 150
+    #: failures of published rules that count as well, from this share of words in no sentence on
+    published: int = 3
+    doubtful: float = 0.4
 
 
 def is_filler(line: Column) -> Column:
@@ -63,82 +76,131 @@ def is_filler(line: Column) -> Column:
     can = low.rlike(r"[{}\[\]@#%|_*<>]")
     for word in ("undefined", "xxx-", "sample text", "goes here", "todo:"):
         can = can | F.contains(low, F.lit(word))
-    return low.rlike(FILLER) | (can & low.rlike(f"(?i){UNFILLED}"))
+    return low.rlike(FILLER) | (can & low.rlike(f"(?i){phrases.UNFILLED}"))
+
+
+def word_total(line: Column) -> Column:
+    return F.size(F.filter(F.split(line, r"\s+"), lambda w: w != ""))
 
 
 def kind_features(line: Column) -> Column:
-    """What `line_kind` needs of a line."""
+    """What `line_kind` needs of a line. Costly patterns run only where they can decide."""
+    low, words = F.lower(line), word_total(line)
+    closed = F.rtrim(line).rlike(CLOSING)
     return F.struct(
-        F.size(F.filter(F.split(line, r"\s+"), lambda w: w != "")).alias("words"),
+        words.alias("words"),
         F.length(F.regexp_replace(line, r"[^\p{L}]+", "")).alias("letters"),
         F.length(F.regexp_replace(line, r"\s+", "")).alias("visible"),
-        F.regexp_count(F.lower(line), F.lit(COMMON)).alias("common"),
-        F.rtrim(line).rlike(CLOSING).alias("closed"),
+        F.regexp_count(low, F.lit(NOMINAL)).alias("nominal"),
+        F.regexp_count(low, F.lit(CLAUSAL)).alias("clausal"),
+        F.when(closed, F.regexp_count(line, F.lit(COMMON_CASE))).otherwise(0).alias("lower"),
+        (closed & line.rlike(OPENING) & ~line.rlike(r"[:;/|=\d]")).alias("whole"),
+        F.when(F.octet_length(line) > 2 * F.length(line), F.length(F.regexp_replace(line, UNSPACED, ""))).otherwise(0).alias("unspaced"),
+        closed.alias("closed"),
         is_filler(line).alias("filler"),
+        F.when(words <= MESSAGE_WORDS, low.rlike(MESSAGE)).otherwise(F.lit(False)).alias("message"),
     )
 
 
 def line_features(line: Column) -> Column:
-    low = F.lower(line)
-    return F.struct(
-        F.size(F.filter(F.split(line, r"\s+"), lambda w: w != "")).alias("words"),
-        F.length(F.regexp_replace(line, r"[^\p{L}]+", "")).alias("letters"),
-        F.length(F.regexp_replace(line, r"\s+", "")).alias("visible"),
-        F.regexp_count(low, F.lit(COMMON)).alias("common"),
+    """`kind_features` and what the published statistics need of a line, in one struct."""
+    more = F.struct(
         F.regexp_count(line, F.lit(r"(?<!\S)[^\s\p{L}]*\p{L}")).alias("alphabetic"),
         F.regexp_count(line, F.lit(r"#|…|\.\.\.")).alias("symbols"),
         F.length(line).alias("size"),
-        F.rtrim(line).rlike(CLOSING).alias("closed"),
         line.rlike(BULLET).alias("bullet"),
         F.rtrim(line).rlike(r"(?:…|\.\.\.)$").alias("ellipsis"),
-        is_filler(line).alias("filler"),
     )
+    return F.struct(kind_features(line).alias("k"), more.alias("m"))
 
 
 def line_kind(f: Column) -> Column:
-    """'sentence', 'filler' or 'other' of a line's features."""
+    """'sentence', 'filler', 'message' or 'other' of a line's `kind_features`."""
+    stops = f["nominal"] + f["clausal"]
     plain = (f["letters"] >= 0.7 * f["visible"]) & (f["visible"] <= 12 * f["words"])
-    many = (f["words"] >= 5) & (f["common"] >= 2) & (f["common"] >= 0.08 * f["words"])
-    closed = (f["words"] >= 4) & (f["common"] >= 1) & f["closed"]
-    return F.when(f["filler"], "filler").when(plain & (many | closed), "sentence").otherwise("other")
+    open_ = (f["words"] >= 5) & (f["clausal"] >= 1) & (stops >= 2) & (stops >= 0.12 * f["words"])
+    closed = f["closed"] & (f["words"] >= 4) & (f["clausal"] >= 1)
+    # without such a word, a line that begins and ends as sentences do and isn't built like an entry
+    foreign = (f["words"] >= 6) & (f["lower"] >= 0.5 * f["words"]) & f["visible"].between(3 * f["words"], 9 * f["words"])
+    closed = closed | (f["whole"] & (((f["words"] >= 4) & (f["nominal"] >= 1)) | foreign))
+    unspaced = (f["unspaced"] >= 0.5 * f["letters"]) & ((f["unspaced"] >= 16) | ((f["unspaced"] >= 6) & f["closed"]))
+    sentence = (plain & (open_ | closed)) | unspaced
+    return F.when(f["filler"], "filler").when(f["message"], "message").when(sentence, "sentence").otherwise("other")
+
+
+SUMS = ("lines", "words", "letters", "visible", "stops", "alphabetic", "symbols", "closed", "bullet", "ellipsis", "short", "other_words", "other_visible")
+
+
+def _list_words(entries: str) -> Column:
+    return F.aggregate(F.coalesce(entries, F.array().cast("array<string>")), F.lit(0).cast("bigint"), lambda n, e: n + word_total(F.coalesce(e, F.lit(""))))
 
 
 def statistics(df: DataFrame, key: str = "page_id", text: str = "main_text", paragraphs: str = "paragraphs", items: str = "list_items", r: Rules = Rules()) -> DataFrame:
     """One row of statistics per row, with `failures`, the names of the rules that it fails."""
     features = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), line_features)
-    full = F.filter(features, lambda f: f["words"] > 0)
-    kinds = F.transform(full, lambda f: F.struct(f.alias("f"), line_kind(f).alias("kind")))
-    zero = F.struct(*(F.lit(0).cast("bigint").alias(n) for n in ("lines", "words", "letters", "visible", "common", "alphabetic", "symbols", "closed", "bullet", "ellipsis", "short", "sentence_words", "filler_words")))
+    full = F.filter(features, lambda f: f["k"]["words"] > 0)
+    kinds = F.transform(full, lambda f: F.struct(f["k"].alias("k"), f["m"].alias("m"), line_kind(f["k"]).alias("kind")))
+    zero = F.struct(*(F.lit(0).cast("bigint").alias(n) for n in SUMS))
 
     def add(a: Column, x: Column) -> Column:
-        f, one = x["f"], lambda c: F.when(c, 1).otherwise(0)
-        sums = {n: a[n] + f[n] for n in ("words", "letters", "visible", "common", "alphabetic", "symbols")}
-        sums |= {n: a[n] + one(f[n]) for n in ("closed", "bullet", "ellipsis")}
-        sums |= {"lines": a["lines"] + 1, "short": a["short"] + one(f["size"] <= r.short_line)}
-        sums |= {f"{k}_words": a[f"{k}_words"] + F.when(x["kind"] == k, f["words"]).otherwise(0) for k in ("sentence", "filler")}
-        return F.struct(*(sums[n].cast("bigint").alias(n) for n in zero_names))
-
-    zero_names = ["lines", "words", "letters", "visible", "common", "alphabetic", "symbols", "closed", "bullet", "ellipsis", "short", "sentence_words", "filler_words"]
-    words_of = lambda c: F.aggregate(F.coalesce(c, F.array().cast("array<string>")), F.lit(0).cast("bigint"), lambda n, e: n + F.size(F.filter(F.split(F.coalesce(e, F.lit("")), r"\s+"), lambda w: w != "")))
+        k, m = x["k"], x["m"]
+        one = lambda c: F.when(c, 1).otherwise(0)
+        other = x["kind"] == "other"
+        each = {n: k[n] for n in ("words", "letters", "visible")} | {n: m[n] for n in ("alphabetic", "symbols")}
+        each |= {"lines": F.lit(1), "stops": k["nominal"] + k["clausal"], "closed": one(k["closed"]), "bullet": one(m["bullet"]), "ellipsis": one(m["ellipsis"]), "short": one(m["size"] <= r.short_line)}
+        each |= {"other_words": F.when(other, k["words"]).otherwise(0), "other_visible": F.when(other, k["visible"]).otherwise(0)}
+        return F.struct(*((a[n] + each[n]).cast("bigint").alias(n) for n in SUMS))
+
     # inline() keeps the optimiser from repeating the sums in each of the many columns read from them
-    rows = df.select(key, F.inline(F.array(F.aggregate(kinds, zero, add))), F.coalesce(F.array_size(paragraphs), F.lit(0)).alias("n_paragraphs"), F.coalesce(F.array_size(items), F.lit(0)).alias("n_list_items"), words_of(F.col(paragraphs)).alias("paragraph_words"), words_of(F.col(items)).alias("list_words"))
-    rows = rows.withColumnsRenamed({n: f"s_{n}" for n in zero_names})
+    rows = df.select(
+        key, F.inline(F.array(F.aggregate(kinds, zero, add))),
+        F.coalesce(F.array_size(paragraphs), F.lit(0)).alias("n_paragraphs"), F.coalesce(F.array_size(items), F.lit(0)).alias("n_list_items"),
+        _list_words(paragraphs).alias("paragraph_words"), _list_words(items).alias("list_words"),
+    ).withColumnsRenamed({n: f"s_{n}" for n in SUMS})
     s = lambda n: F.col(f"s_{n}")
     rate = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
-    other = s("words") - s("sentence_words") - s("filler_words")
+    rates = {
+        "mean_word_length": ("visible", "words"), "symbol_ratio": ("symbols", "words"), "letter_share": ("letters", "visible"), "alphabetic_share": ("alphabetic", "words"), "stop_share": ("stops", "words"), "closed_lines": ("closed", "lines"),
+        "bullet_lines": ("bullet", "lines"), "ellipsis_lines": ("ellipsis", "lines"), "short_lines": ("short", "lines"), "no_sentence_share": ("other_words", "words"), "no_sentence_visible_share": ("other_visible", "visible"),
+    }
+    lists = rate(F.col("list_words"), F.col("list_words") + F.col("paragraph_words"))
     rows = rows.select(
-        key, s("lines").alias("lines"), s("words").alias("words"), rate(s("visible"), s("words")).alias("mean_word_length"), rate(s("symbols"), s("words")).alias("symbol_ratio"), rate(s("letters"), s("visible")).alias("letter_share"), rate(s("alphabetic"), s("words")).alias("alphabetic_share"), s("common").alias("common_words"),
-        rate(s("common"), s("words")).alias("common_share"), rate(s("closed"), s("lines")).alias("closed_lines"), rate(s("bullet"), s("lines")).alias("bullet_lines"), rate(s("ellipsis"), s("lines")).alias("ellipsis_lines"), rate(s("short"), s("lines")).alias("short_lines"), other.alias("no_sentence_words"), rate(other, s("words")).alias("no_sentence_share"),
-        "n_paragraphs", "n_list_items", "paragraph_words", "list_words", rate(F.col("list_words"), F.col("list_words") + F.col("paragraph_words")).alias("list_share"),
+        key, s("lines").alias("lines"), s("words").alias("words"), s("visible").alias("visible"), s("stops").alias("stop_words"), s("other_words").alias("no_sentence_words"), s("other_visible").alias("no_sentence_visible"),
+        *(rate(s(a), s(b)).alias(n) for n, (a, b) in rates.items()), "n_paragraphs", "n_list_items", "paragraph_words", "list_words", lists.alias("list_share"),
     )
+    failed = F.array_compact(F.array(*(F.when(rule, F.lit(name)) for name, rule in _published(r).items())))
+    rows = rows.withColumn("failures", failed)
+    return rows.withColumn("failures", F.when(no_sentences(r), F.array_append("failures", F.lit("no_sentences"))).otherwise(F.col("failures")))
+
+
+def _published(r: Rules) -> dict[str, Column]:
     c, some = F.col, F.col("words") > 0
-    rules = {
-        "too_few_words": c("words") < r.least_words, "too_many_words": c("words") > r.most_words, "mean_word_length": some & ~c("mean_word_length").between(*r.mean_word), "symbols": c("symbol_ratio") > r.symbols, "bullets": c("bullet_lines") > r.bullets, "ellipses": c("ellipsis_lines") > r.ellipses,
-        "not_alphabetic": some & (c("alphabetic_share") < r.alphabetic), "no_common_words": some & (c("common_words") < r.stop_words), "no_closing_marks": some & (c("closed_lines") < r.closing), "short_lines": some & (c("short_lines") > r.short_lines), "no_sentences": (c("no_sentence_share") > r.no_sentence) & (c("no_sentence_words") >= r.least_no_sentence),
-    }
-    return rows.withColumn("failures", F.array_compact(F.array(*(F.when(rule, F.lit(name)) for name, rule in rules.items()))))
+    return {
+        "too_few_words": c("words") < r.least_words,
+        "too_many_words": c("words") > r.most_words,
+        "mean_word_length": some & ~c("mean_word_length").between(*r.mean_word),
+        "symbols": c("symbol_ratio") > r.symbols,
+        "bullets": c("bullet_lines") > r.bullets,
+        "ellipses": c("ellipsis_lines") > r.ellipses,
+        "not_alphabetic": some & (c("alphabetic_share") < r.alphabetic),
+        "no_common_words": some & (c("stop_words") < r.stop_words),
+        "no_closing_marks": some & (c("closed_lines") < r.closing),
+        "short_lines": some & (c("short_lines") > r.short_lines),
+    }
+
+
+#: the published rules that speak of form; text length doesn't
+FORM_RULES = ("mean_word_length", "symbols", "bullets", "ellipses", "not_alphabetic", "no_common_words", "no_closing_marks", "short_lines")
+
+
+def no_sentences(r: Rules = Rules()) -> Column:
+    c = F.col
+    much = (c("no_sentence_words") >= r.least_no_sentence) | (c("no_sentence_visible") >= r.least_visible)
+    mostly = (c("no_sentence_share") > r.no_sentence) | (c("no_sentence_visible_share") > r.no_sentence)
+    formless = F.size(F.array_intersect("failures", F.array(*map(F.lit, FORM_RULES)))) >= r.published
+    return much & (mostly | (formless & (c("no_sentence_share") > r.doubtful)))
 
 
 def no_prose(df: DataFrame, key: str = "page_id", **columns: str) -> DataFrame:
-    """(key) of the rows that fail the rule "no_sentences"."""
+    """(key) of the rows that fail the rule "no_sentences", on its own or with the published ones."""
     return statistics(df, key, **columns).where(F.array_contains("failures", "no_sentences")).select(key)

@@ -23,18 +23,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm import boilerplate, quality
+from siltstone.llm import boilerplate, phrases
 from siltstone.session import written
 
-# Phrases of error pages and script notices, and marks of unfilled templates.
-ERROR_PHRASES = (
-    r"not found|page introuvable|nicht gefunden|no encontrada|não encontrada|non trovata|niet gevonden|access denied|permission denied|forbidden|accès refusé|zugriff verweigert|acceso denegado|acesso negado|accesso negato|toegang geweigerd|"
-    r"internal (?:server )?error|erreur interne|interner fehler|error interno|erro interno|errore interno|interne fout|bad gateway|service unavailable|gateway timeout|too many requests|session has expired|no longer available|something (?:broke|went wrong)|try again (?:in|later)|fatal error|error establishing|"
-    r"down for (?:planned|maintenance)|lives at this address|you are (?:a )?human|^[45]\d\d$|^(?:oops|whoops)\b"
-)
-SCRIPT_PHRASES = r"\bjavascript\b|\bscripting\b|(?:turn on|support|enable|allow) scripts|scripts activ|scripts ativ|script attiv|eingeschalteten skripten|scripts ingeschakeld"
-UNFILLED = quality.UNFILLED + r"|\bnan\b|your own words|edit it in"
-PHRASES = f"{ERROR_PHRASES}|{SCRIPT_PHRASES}|{UNFILLED}"
+# The shared phrases and further turns of them; all of them only label.
+ERROR_PHRASES = phrases.ERRORS + r"|something broke|lives at this address"
+UNFILLED = phrases.UNFILLED + r"|\bnan\b|your own words|edit it in"
+PHRASES = f"{ERROR_PHRASES}|{phrases.SCRIPTS}|{UNFILLED}"
 #: pages scored at a time, and token hashes kept by a task
 ROWS, KEPT_TOKENS = 1_000, 200_000
 TOKEN = regex.compile(r"\p{L}+|\p{N}+|[^\s\p{L}\p{N}]{1,3}")
@@ -169,7 +164,7 @@ def weak_labels(own: DataFrame, t: Training = Training()) -> DataFrame:
     line = line.join(lifted, "form", "left")
     words = F.size(F.split(F.trim("line"), r"\s+"))
     letters = F.length(F.regexp_replace("line", r"[^\p{L}]+", "")) / F.greatest(F.lit(1), F.length(F.regexp_replace("line", r"\s+", "")))
-    fill = F.regexp_count(F.lower("line"), F.lit(r"(?<!\p{L})(?:" + quality.FILLER_WORDS.replace(" ", "|") + r"|sed|amet|dolor|nulla|elit)(?!\p{L})")) / words
+    fill = F.regexp_count(F.lower("line"), F.lit(r"(?<!\p{L})(?:" + phrases.FILLER_WORDS.replace(" ", "|") + r"|sed|amet|dolor|nulla|elit)(?!\p{L})")) / words
     phrase = F.lower("line").rlike(PHRASES) & ((letters >= 0.4) | (F.length("line") <= 30)) & (words <= t.short_words) & ~F.contains("line", F.lit("`"))
     residue = ~F.col("is_title") & (phrase | (fill >= 0.2) | (F.coalesce("lifted", F.lit(False)) & (words <= t.short_words)))
     hard = ~residue & (F.lower("line").rlike(PHRASES) | F.contains("line", F.lit("`")))

@@ -73,6 +73,51 @@ def test_quality_frame(spark):
     assert quality.no_prose(docs.where("false")).count() == 0
 
 
+PROSE = """The cat slept under the old oak tree near our house.
+Sales rose nine percent in the last quarter, the company said.
+Rain fell all night and the river broke its banks.
+She opened the letter, read it twice and burned it.
+Nobody has ever climbed that face of the mountain in winter.
+My grandfather built this boat from driftwood
+Der Hund lief schnell über die nasse Wiese.
+Im Herbst fallen die Blätter von den Bäumen.
+Das Wetter bleibt auch morgen regnerisch und kühl
+Le chat dort sur le canapé près de la fenêtre.
+Les enfants jouent dans le jardin depuis ce matin
+El perro corre por la playa todas las mañanas.
+Mi hermana trabaja en un hospital de Madrid
+La lluvia no paró hasta la medianoche.
+O menino comprou um livro novo na feira.
+A chuva caiu durante toda a noite.
+Ik heb gisteren een nieuwe fiets gekocht.
+De kinderen spelen buiten in de tuin.
+Il treno parte alle otto del mattino.
+I bambini giocano nel parco con la palla
+Katten sover under det gamla trädet vid huset.
+Han bor i et lille hus ved havet.
+Kissa nukkuu vanhan puun alla talon vieressä tänään.
+Kot śpi pod starym drzewem obok naszego domu.
+Кошка спит под старым деревом возле нашего дома.
+Η γάτα κοιμάται κάτω από το παλιό δέντρο.
+猫は古い木の下で眠っています。
+我昨天在图书馆看了一整天的书。"""
+ENTRIES = "las bases de datos / las versiones (18).\nos queijos, Lobogu.\nNugusevar: die Urteile, 15 EUR.\nOur Products\nchapter 7\n42 | yes | 3.5 kg\nle mappe del sito, Gavopas.\nVGhpcyBpcyBub3QgYSBzZW50ZW5jZQ==\nff 29 3e 79 71 68 52 83 cd b2\nbuy shoes, cheap shoes, best shoes online, free shoes"
+
+
+def test_sentences_told_from_entries(spark):
+    rows = [(x, True) for x in PROSE.split("\n")] + [(x, False) for x in ENTRIES.split("\n")]
+    got = spark.createDataFrame(rows, "l string, prose boolean").select("l", "prose", quality.line_kind(quality.kind_features(F.col("l"))).alias("kind")).collect()
+    assert [r.l for r in got if r.prose != (r.kind == "sentence")] == []
+
+
+def test_rubbish_counts_by_words_or_symbols(spark):
+    blob = "QUJD" * 300
+    rows = [(1, blob), (2, "A short note says what this is about and why.\n" + blob), (3, "Short title"), (4, "The page was not found"), (5, PROSE), (6, "\n".join(["- item"] * 30))]
+    docs = spark.createDataFrame(rows, "page_id bigint, main_text string").withColumn("paragraphs", F.lit(None).cast("array<string>")).withColumn("list_items", F.col("paragraphs"))
+    assert {r.page_id for r in quality.no_prose(docs).collect()} == {1, 2, 6}
+    assert "bullets" in quality.statistics(docs).where("page_id = 6").first().failures
+
+
 def test_language_names(spark):
     rows = [("EN", "en"), ("fr_CA", "fr"), ("spa", "es"), ("ger", "de"), ("und", None), ("x-default", None), ("", None), (None, None), (" it-IT ", "it"), ("zxx", None)]
     got = spark.createDataFrame(rows, "l string, want string").select("want", language.named(F.col("l")).alias("got")).collect()
