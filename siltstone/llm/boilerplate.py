@@ -8,37 +8,39 @@ any weight at all. Lengths alone can't tell long template lines from content, so
 well: a line that the site's pages share weighs nothing, and neither does anything from the first shared
 line on after which the site's pages hold no long line any more (where footers and side columns begin).
 Lines of no weight between surge and dive (bylines, share prompts, disclaimers) are the template's, too.
+On sites of too few pages to share lines, lengths decide alone: there the short lines at the edges of
+the blocks go as well, as menus and footers have them.
 
 What a site shares is counted over all its pages: a line's key is its letters, without regard to case
 and with the site's own name replaced by a mark. Equal pages of a site count once. The counts are
 sums by (site, key) and by key with map-side aggregation, so neither a site with a third of all pages
-nor a line on all pages lies in one task; no rate is taken from a sample. A site's frequent keys meet its
-pages as one array; keys on a smaller share of them, of which a large site may have any number, are
-joined to the lines themselves, so that no array grows with the site and no key is left out.
+nor a line on all pages lies in one task; no rate is taken from a sample. Texts are shuffled once, to
+meet their site, and written in buckets of page_id; after that only hashes and lengths of lines move,
+and what is known of a page's lines comes back to it by page_id.
 
 Defined results: null and empty texts have no lines; a page without a known site has no template lines
-except breadcrumbs and those outside surge and dive; repeated rows are repeated; very long lines and
-texts are handled whole.
+except breadcrumbs and those outside surge and dive; a row without a page_id counts as a page of no
+known site; repeated rows are repeated; very long lines and texts are handled whole.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.session import small, written
+from siltstone.session import bucketed, discard, small, written
 
 OWN = "§"
 #: pages marked at a time
 ROWS = 1_000
-CRUMB = re.compile(r" [›»>|→] ")
+CRUMB = r" [›»>|→] "
 
 
 @dataclass(frozen=True)
@@ -53,7 +55,6 @@ class Shares:
     menu_share: float = 0.3
     line_share: float = 0.08
     pooled_line_share: float = 0.05
-    least_share: float = 0.002  #: keys on a smaller share of a site's pages stay out of its arrays; they are joined to lines
     least_pages: int = 3
     least_sites: int = 3
     #: at most so much of a line's pages may have it as their title, or again and again, or be without a long line
@@ -78,42 +79,64 @@ def line_key(line: Column, name: Column) -> Column:
     return F.regexp_replace(F.replace(F.lower(line), name, F.lit(OWN)), r"[^\p{L}§]+", "")
 
 
+def from_bodies(fetches: DataFrame) -> DataFrame:
+    """(page_id, title, text) of served markup, for `pages` where no text has been taken from it yet."""
+    title = F.regexp_replace(F.regexp_extract("body", r"(?is)<title\b[^>]*>(.*?)</title", 1), r"\s+", " ")
+    return fetches.where("body is not null").select("page_id", F.trim(title).alias("title"), strip_markup(F.col("body")).alias("text"))
+
+
 def pages(documents: DataFrame, sources: DataFrame, carry: tuple[str, ...] = (), use: Callable[[Column], Column] | None = None) -> DataFrame:
-    """(page_id, site, title_key, lines, carried columns) as a written table; lines are (line, key, use),
-    where use is any further property of the line (it may read other columns of documents)."""
-    named = sources.groupBy("page_id").agg(F.min("registrable_domain").alias("site"))
-    name = F.coalesce(F.element_at(F.split("site", r"\."), 1), F.lit("?"))
-    used = F.transform(F.split("text", "\n"), use or (lambda _: F.lit(True)))
-    joined = documents.select("page_id", "title", "text", used.alias("_use"), *carry).join(named, "page_id", "left")
+    """(page_id, site, domain, row, copy, lines, feats, carried columns), written in buckets of page_id. `row`
+    tells rows of one page_id apart, `copy` is the same for equal texts. `feats` has of each line its trimmed length, the hash and length of its key,
+    whether that has the site's name, whether it is the page's title or a breadcrumb that leads there,
+    whether it is long, and `use`, any further property of the line."""
+    named = sources.groupBy("page_id").agg(F.min("registrable_domain").alias("_site"))
+    name = F.coalesce(F.element_at(F.split("_site", r"\."), 1), F.lit("?"))
     name = F.when(F.length(name) > 2, name).otherwise(F.lit("?"))
-    lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct(x.alias("line"), line_key(x, name).alias("key"), F.get("_use", i).alias("use")))
-    lines = F.when(F.length("text") > 0, lines)
-    return written(joined.select("page_id", "site", line_key(F.coalesce("title", F.lit("")), name).alias("title_key"), lines.alias("lines"), *carry))
+    p = Shares()
+    joined = documents.select("page_id", "title", "text", *carry).join(named, "page_id", "left")
+    lines = F.when(F.length("text") > 0, F.split("text", "\n"))
+    keyed = joined.select("page_id", F.xxhash64("_site").alias("_hash"), "_site", F.xxhash64("text", "title").alias("row"), F.xxhash64("text").alias("copy"), lines.alias("lines"), F.transform(lines, lambda x: line_key(x, name)).alias("_keys"), line_key(F.coalesce("title", F.lit("")), name).alias("_title_key"), *carry)
+
+    def feat(line: Column, i: Column) -> Column:
+        key = F.get("_keys", i)
+        last = F.trim(F.element_at(F.split(line, CRUMB), -1))
+        crumb = line.rlike(CRUMB) & (((F.col("_title_key") != "") & F.endswith(key, F.col("_title_key"))) | F.array_contains(F.slice("lines", i + 2, 8), last))
+        return F.struct(
+            F.length(F.trim(line)).alias("size"), F.xxhash64(key).alias("key"), F.length(key).alias("letters"), F.contains(key, F.lit(OWN)).alias("own"), ((F.col("_title_key") != "") & (key == F.col("_title_key"))).alias("title"),
+            crumb.alias("crumb"), (F.length(line) > p.long_line).alias("long"), (use(line) if use else F.lit(True)).alias("use"),
+        )
 
+    feats = F.transform("lines", feat)
+    return bucketed(keyed.select("page_id", F.when(F.col("_site").isNotNull() & F.col("page_id").isNotNull(), F.col("_hash")).alias("site"), F.col("_site").alias("domain"), "row", "copy", "lines", feats.alias("feats"), *carry), "page_id")
 
-def _counts(table: DataFrame, p: Shares) -> DataFrame:
+
+def _counts(table: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Per (site, key): pages, lines, and on how many pages the line comes first, has a long line after
-    it, is the title, stands on a page with a long line."""
-    keys = F.transform("lines", lambda x, i: F.struct(F.xxhash64(x["key"]).alias("key"), F.length(x["key"]).alias("size"), F.contains(x["key"], F.lit(OWN)).alias("own"), i.alias("i"), (F.length(x["line"]) > p.long_line).alias("long"), (x["key"] == F.col("title_key")).alias("title")))
+    it, is the title, stands on a page with a long line. Per site: its pages."""
     # equal pages of a site count once
-    once = table.where("site is not null and lines is not null").select(F.xxhash64("site").alias("site"), F.xxhash64(F.col("lines.line")).alias("text"), keys.alias("keys"))
-    once = once.groupBy("site", "text").agg(F.first("keys").alias("keys"))
-    last = F.aggregate("keys", F.lit(-1), lambda a, x: F.when(x["long"], F.greatest(a, x["i"])).otherwise(a))
-    line = once.select("site", "text", last.alias("last"), F.explode(F.filter("keys", lambda x: x["size"] > 0)).alias("k")).select("site", "text", "last", "k.*")
-    paged = line.groupBy("site", "key", "text").agg(F.max("size").alias("size"), F.max("own").alias("own"), F.count(F.lit(1)).alias("lines"), F.min("i").alias("i"), F.max("i").alias("j"), F.max("title").alias("title"), F.max("last").alias("last"))
+    once = written(table.where("site is not null and lines is not null").groupBy("site", "copy").agg(F.first("feats").alias("feats")))
+    keys = F.transform("feats", lambda x, i: F.struct(x["key"].alias("key"), x["letters"].alias("size"), x["own"].alias("own"), i.alias("i"), x["title"].alias("title")))
+    last = F.aggregate(F.transform("feats", lambda x, i: F.when(x["long"], i).otherwise(-1)), F.lit(-1), lambda a, x: F.greatest(a, x))
+    line = once.select("site", "copy", last.alias("last"), F.explode(F.filter(keys, lambda x: x["size"] > 0)).alias("k")).select("site", "copy", "last", "k.*")
+    paged = line.groupBy("site", "key", "copy").agg(F.max("size").alias("size"), F.max("own").alias("own"), F.count(F.lit(1)).alias("lines"), F.min("i").alias("i"), F.max("i").alias("j"), F.max("title").alias("title"), F.max("last").alias("last"))
     each = paged.groupBy("site", "key").agg(
-        F.max("size").alias("size"), F.max("own").alias("own"), F.count(F.lit(1)).alias("n"), F.sum("lines").alias("lines"), F.count_if(F.col("i") == 0).alias("first"), F.count_if(F.col("last") > F.col("j")).alias("after"), F.count_if("title").alias("title"), F.count_if(F.col("last") >= 0).alias("with_long")
+        F.max("size").alias("size"), F.max("own").alias("own"), F.count(F.lit(1)).alias("n"), F.sum("lines").alias("lines"), F.count_if(F.col("i") == 0).alias("first"),
+        F.count_if(F.col("last") > F.col("j")).alias("after"), F.count_if("title").alias("title"), F.count_if(F.col("last") >= 0).alias("with_long"),
     )
-    whole = once.groupBy("site").agg(F.count(F.lit(1)).alias("pages"))
-    return each.join(whole, "site")
+    each, whole = written(each), written(once.groupBy("site").agg(F.count(F.lit(1)).alias("pages")))
+    discard(once)
+    return each, whole
 
 
 def _kinds(table: DataFrame, p: Shares) -> DataFrame:
-    """(site, key, ends, rare) of the template's lines, as a written table: whether the key ends bodies, and
-    whether it is too rare on its site for the site's arrays."""
-    each = written(_counts(table, p)).repartition("key")
-    pooled = each.groupBy("key").agg(F.count(F.lit(1)).alias("g_sites"), *(F.sum(c).alias(f"g_{c}") for c in ("n", "pages", "first", "after", "title", "with_long"))).where(F.col("g_n") > 1)
-    both = each.join(pooled, "key")
+    """(site, key, kind) of the template's lines, as a written table: kind 2 if the line ends bodies, else 1.
+    Kind 3, with the key 0, stands for a site of enough pages to share lines."""
+    each, whole = _counts(table)
+    pooled = each.groupBy("key").agg(F.count(F.lit(1)).alias("g_sites"), *(F.sum(c).alias(f"g_{c}") for c in ("n", "first", "after", "title", "with_long"))).where(F.col("g_n") > 1)
+    # keys of one page, by far the most, go before the pages of the sites are asked for
+    both = each.join(pooled, "key").join(small(whole), "site")
+    both = both.join(both.groupBy("key").agg(F.sum("pages").alias("g_pages")), "key")
     c = F.col
     share, g_share = c("n") / c("pages"), c("g_n") / c("g_pages")
     many, spread = c("n") >= p.least_pages, c("g_sites") >= p.least_sites
@@ -126,30 +149,21 @@ def _kinds(table: DataFrame, p: Shares) -> DataFrame:
     pool_ends = (c("g_after") < p.after_share * c("g_n")) & (g_share >= 0.2)
     site_ends = (c("n") >= 8) & (c("after") < 0.8 * p.after_share * c("n")) & (share >= 0.5)
     ends = F.when(spread & (c("g_n") >= 20), pool_ends).otherwise(site_ends) & ~(c("own") & ~spread & (share < 0.5))
-    return written(both.where(template).select("site", "key", ends.alias("ends"), (c("n") < p.least_share * c("pages")).alias("rare")))
-
-
-def _sets(kinds: DataFrame, *by: str) -> DataFrame:
-    """The keys that end bodies, and the others."""
-    return kinds.groupBy(*by).agg(F.collect_set(F.when(F.col("ends"), F.col("key"))).alias("ends"), F.collect_set(F.when(~F.col("ends"), F.col("key"))).alias("others"))
+    found = both.where(template).select("site", "key", F.when(ends, 2).otherwise(1).alias("kind"))
+    known = whole.where(F.col("pages") >= p.least_pages).select("site", F.lit(0).cast("bigint").alias("key"), F.lit(3).alias("kind"))
+    out = written(found.unionByName(known))
+    discard(each, whole)
+    return out
 
 
-def with_shared_lines(table: DataFrame, p: Shares = Shares()) -> DataFrame:
-    """The rows with `ends` and `others`, hashes of keys: those of the template's lines, those that end
-    bodies apart. All frequent keys of the site are there, and the rare ones that the page has."""
-    kinds = _kinds(table, p)
-    site, text = F.xxhash64("site"), F.xxhash64(F.col("lines.line"))
-    rows = table.join(_sets(kinds.where("not rare"), "site").withColumnRenamed("site", "_site"), site == F.col("_site"), "left").drop("_site")
-    rare = kinds.where("rare").select("site", "key", "ends")
-    if rare.isEmpty():
-        return rows
-    keys = F.array_distinct(F.transform("lines", lambda x: F.xxhash64(x["key"])))
-    each = table.where("site is not null and lines is not null").select(site.alias("site"), text.alias("_text"), F.explode(keys).alias("key"))
-    found = _sets(each.join(small(rare), ["site", "key"]), "site", "_text").select(F.col("site").alias("_site"), "_text", F.col("ends").alias("_ends"), F.col("others").alias("_others"))
-    rows = rows.join(written(found), (site == F.col("_site")) & (text == F.col("_text")), "left")
-    none = F.array().cast("array<bigint>")
-    both = {n: F.concat(F.coalesce(n, none), F.coalesce(f"_{n}", none)) for n in ("ends", "others")}
-    return rows.withColumns(both).drop("_site", "_text", "_ends", "_others")
+def _known(table: DataFrame, p: Shares) -> DataFrame:
+    """(page_id, known): what the corpus knows of each page's lines, as (row, line number, kind)."""
+    keys = F.transform(F.filter(F.transform("feats", lambda x, i: F.struct(i.alias("i"), x["key"].alias("key"), x["letters"].alias("letters"))), lambda x: x["letters"] > 0), lambda x: F.struct(x["i"].alias("i"), x["key"].alias("key")))
+    site = F.array(F.struct(F.lit(-1).alias("i"), F.lit(0).cast("bigint").alias("key")))
+    each = table.where("site is not null and lines is not null").select("page_id", "row", "site", F.inline(F.concat(site, keys)))
+    # the other side has one row a (site, key), so that Spark can split a key that is on all pages of a site
+    hits = each.join(_kinds(table, p), ["site", "key"])
+    return hits.groupBy("page_id").agg(F.collect_set(F.struct("row", "i", "kind")).alias("known"))
 
 
 def _sums(weights: np.ndarray, window: int) -> np.ndarray:
@@ -159,70 +173,87 @@ def _sums(weights: np.ndarray, window: int) -> np.ndarray:
     return total[np.minimum(np.arange(n) + window, n)] - total[:n]
 
 
-def body_range(weights: np.ndarray, window: int, surge: int = 1) -> tuple[int, int]:
+def body_range(weights: np.ndarray, window: int, surge: int = 1, edge: float = 0) -> tuple[int, int]:
     """Surge and dive: the first line and the one after the last of the text between the first and the
-    last window of so much weight; (0, 0) if there is none."""
+    last window of so much weight; (0, 0) if there is none. Lines lighter than `edge` are cut at both ends."""
     heavy = np.flatnonzero(_sums(weights, window) >= surge)
     if not len(heavy):
         return 0, 0
     first, last = heavy[0], min(heavy[-1] + window, len(weights))
-    inside = np.flatnonzero(weights[first:last]) + first
-    return int(inside[0]), int(inside[-1]) + 1
+    inside = np.flatnonzero(weights[first:last] > max(edge - 1, 0)) + first
+    return (int(inside[0]), int(inside[-1]) + 1) if len(inside) else (int(first), int(last))
 
 
-def template_flags(lines: list[str], keys: list[str], kinds: list[int], title_key: str, p: Shares = Shares()) -> list[bool]:
-    """Of each line, whether it is the template's. kinds: 0 not shared, 1 shared, 2 shared and ends the body."""
-    lengths = np.array([len(line.strip()) for line in lines], np.int64)
-    weights = np.where(np.array(kinds, np.int64) > 0, 0, lengths)
-    for i, line in enumerate(lines):
+def template_flags(lengths: np.ndarray, kinds: np.ndarray, titles: np.ndarray, crumbs: np.ndarray, p: Shares = Shares(), known: bool = True) -> np.ndarray:
+    """Of each line, whether it is the template's. kinds: 0 not shared, 1 shared, 2 shared and ends the body;
+    known says whether the site has enough pages for that."""
+    weights = np.where(kinds > 0, 0, lengths)
+    for i in np.flatnonzero(crumbs):
         # a breadcrumb leads, over separators, to the page's own title, below nothing but template lines
-        if weights[i] and CRUMB.search(line) and (i == 0 or not weights[i - 1]):
-            last = CRUMB.split(line)[-1].strip()
-            if (title_key and keys[i].endswith(title_key)) or last in lines[i + 1 : i + 9]:
-                weights[i] = 0
-    if 2 in kinds:
-        weights[kinds.index(2) :] = 0
-    surge, dive = body_range(lengths, p.window, p.surge if weights.max(initial=0) > p.long_line else 1)
+        if weights[i] and (i == 0 or not weights[i - 1] or not known):
+            weights[i] = 0
+    ends = np.flatnonzero(kinds == 2)
+    if len(ends):
+        weights[ends[0] :] = 0
+    long = weights.max(initial=0) > p.long_line
+    surge, dive = body_range(weights, p.window, p.surge if long else 1, p.surge / p.window if long and not known else 0)
     # short lines may part a page's title from its first block, or a heading if the title isn't there
-    own = np.flatnonzero(weights[:surge]).tolist()
-    if not title_key or title_key not in keys:
-        surge = own[-1] if own else surge
-    else:
-        surge = next((i for i in own if keys[i] == title_key), surge)
-    return [not (surge <= i < dive and w > 0) for i, w in enumerate(weights.tolist())]
+    own = np.flatnonzero(weights[:surge])
+    if titles.any():
+        own = own[titles[own]]
+        surge = int(own[0]) if len(own) else surge
+    elif known and len(own):
+        surge = int(own[-1])
+    at = np.arange(len(weights))
+    return ~((at >= surge) & (at < dive) & (weights > 0))
 
 
 def marked(table: DataFrame, p: Shares = Shares()) -> DataFrame:
-    """The rows of `pages` with `marks`, per line (line, template, use); null for a null or empty text."""
-    rows = with_shared_lines(table, p).withColumn("hashes", F.transform("lines", lambda x: F.xxhash64(x["key"])))
-    kept = [c for c in table.columns if c not in ("lines", "title_key")]
+    """The rows of `pages`, with `template` in the place of hashes: of each line, whether it is the
+    template's; null for a null or empty text."""
+    rows = table.join(_known(table, p), "page_id", "left")
+    kept = [c for c in table.columns if c not in ("site", "row", "copy")]
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (whole.slice(at, ROWS) for whole in it for at in range(0, len(whole), ROWS)):
             get = {c: b.column(b.schema.get_field_index(c)) for c in b.schema.names}
-            marks = []
-            for lines, hashes, title, ends, others in zip(*(get[c].to_pylist() for c in ("lines", "hashes", "title_key", "ends", "others")), strict=True):
-                if lines is None:
-                    marks.append(None)
-                    continue
-                texts, keys = [x["line"] for x in lines], [x["key"] for x in lines]
-                last, other = set(ends or ()), set(others or ())
-                kinds = [0 if not k else 2 if h in last else 1 if h in other else 0 for k, h in zip(keys, hashes, strict=True)]
-                marks.append([{"line": x["line"], "template": f, "use": x["use"]} for x, f in zip(lines, template_flags(texts, keys, kinds, title, p), strict=True)])
-            out = pa.array(marks, pa.list_(pa.struct([("line", pa.string()), ("template", pa.bool_()), ("use", pa.bool_())])))
-            yield pa.RecordBatch.from_arrays([*(get[c] for c in kept), out], [*kept, "marks"])
-
-    schema = T.StructType([table.schema[c] for c in kept]).add("marks", T.ArrayType(T.StructType().add("line", "string").add("template", "boolean").add("use", "boolean")))
-    return rows.mapInArrow(batches, schema)
+            feats = get["feats"]
+            flat = feats.flatten()
+            size, title, crumb = (flat.field(n).to_numpy(zero_copy_only=False) for n in ("size", "title", "crumb"))
+            ends = np.cumsum(np.nan_to_num(feats.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64))
+            starts = np.r_[0, ends[:-1]].astype(np.int64)
+            kinds, known = np.zeros(len(flat), np.int8), np.zeros(len(b), bool)
+            hits = get["known"]
+            owner, hit = pc.list_parent_indices(hits).to_numpy(), hits.flatten()
+            i, kind = hit.field("i").to_numpy(), hit.field("kind").to_numpy()
+            same = hit.field("row").to_numpy() == get["row"].to_numpy()[owner] if len(owner) else np.zeros(0, bool)
+            known[owner[same & (kind == 3)]] = True
+            lines = same & (kind < 3)
+            kinds[starts[owner[lines]] + i[lines]] = kind[lines]
+            flags = np.ones(len(flat), bool)
+            for k, (a, z) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)):
+                if z > a:
+                    flags[a:z] = template_flags(size[a:z], kinds[a:z], title[a:z], crumb[a:z], p, bool(known[k]))
+            offsets = pa.array(np.r_[starts, ends[-1:] if len(ends) else 0].astype(np.int32))
+            out = pa.ListArray.from_arrays(offsets, pa.array(flags), mask=feats.is_null())
+            yield pa.RecordBatch.from_arrays([*(get[c] for c in kept), out], [*kept, "template"])
+
+    return rows.mapInArrow(batches, T.StructType([table.schema[c] for c in kept]).add("template", T.ArrayType(T.BooleanType())))
+
+
+def own_lines() -> Column:
+    """The page's own lines, of the rows of `marked`; null for a null or empty text."""
+    return F.filter("lines", lambda _, i: ~F.get("template", i))
 
 
 def template_lines(documents: DataFrame, sources: DataFrame, p: Shares = Shares()) -> DataFrame:
     """(page_id, line_no) of the lines of text that the site's template supplies. An empty line is none."""
-    rows = marked(pages(documents, sources), p).select("page_id", F.posexplode("marks").alias("line_no", "mark"))
-    return rows.where("mark.template and trim(mark.line) <> ''").select("page_id", "line_no")
+    # only lengths and hashes of lines meet what is known of them; the texts stay where they were written
+    rows = marked(pages(documents, sources).drop("lines", "domain").withColumn("lines", F.transform("feats", lambda x: x["size"])), p)
+    hit = F.filter(F.transform("template", lambda t, i: F.when(t & (F.get("lines", i) > 0), i).otherwise(-1)), lambda i: i >= 0)
+    return rows.select("page_id", F.explode(hit).alias("line_no"))
 
 
 def main_bodies(documents: DataFrame, sources: DataFrame, p: Shares = Shares()) -> DataFrame:
     """(page_id, body): the page's own lines, joined by line ends; null for a null or empty text."""
-    kept = F.transform(F.filter("marks", lambda m: ~m["template"]), lambda m: m["line"])
-    return marked(pages(documents, sources), p).select("page_id", F.array_join(kept, "\n").alias("body"))
+    return marked(pages(documents, sources), p).select("page_id", F.array_join(own_lines(), "\n").alias("body"))

@@ -4,7 +4,7 @@ The network reads a sentence in steps of STEP bytes in both directions and gives
 language; a sentence's probabilities are the mean of its positions', a document's those of its
 sentences by length. It is trained in numpy by backpropagation through time, on a bounded sample of
 sentences whose pages carry a usable label: first on all of them, then without those that the first
-network contradicts, since labels may be wrong.
+network contradicts, since labels may be wrong. The trained network is kept and loaded again.
 
 Defined results: null, blank and meaningless labels name no language; texts without a sentence have no
 language (null, confidence 0) and no segments; equal sentences are read once a batch; very long
@@ -13,22 +13,26 @@ sentences are read whole, in windows of at most LONGEST bytes whose positions ar
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import boilerplate, quality, residue
-from siltstone.session import written
+from siltstone.llm import boilerplate, quality
+from siltstone.session import shared_folder, written
 
 # The languages told apart, with their three-letter codes.
 CODES = {"en": "eng", "de": "deu ger", "fr": "fra fre", "es": "spa", "pt": "por", "nl": "nld dut", "it": "ita"}
 LANGUAGES = tuple(CODES)
 STEP, LONGEST = 4, 480
+#: raised when the network's form or training changes, so that kept ones are not taken for new ones
+VERSION = 1
 SENTENCE = regex.compile(r"(?<=[.!?…][\"'”’»)]*)\s+|\n+")
 
 
@@ -219,40 +223,79 @@ def pooled(network: Network, texts: list[str], cells: int = 40_000) -> np.ndarra
     return sums / np.maximum(weights, 1)[:, None]
 
 
-def _usable(line: Column) -> Column:
-    """Sentences of content in main_text: no list, table, rubbish, filler, error or script notice."""
-    # through a one-element array, so that each feature is computed once
-    prose = F.get(F.transform(F.array(quality.kind_features(line)), quality.line_kind), F.lit(0)) == "sentence"
-    notice = (F.size(F.split(F.trim(line), r"\s+")) <= residue.Training.short_words) & F.lower(line).rlike(residue.PHRASES)
-    return F.array_contains("_main", line) & ~notice & prose
-
-
 def content_lines(html: DataFrame, urls: DataFrame) -> DataFrame:
     """(page_id, label, lines): the sentences' lines of each page's own main body."""
-    # inline() keeps main_text from being split again for each line
-    html = html.select("page_id", "title", "text", "lang", F.inline(F.array(F.struct(F.split("main_text", "\n").alias("_main")))))
-    marked = boilerplate.marked(boilerplate.pages(html, urls, ("lang",), _usable))
-    kept = F.transform(F.filter("marks", lambda m: ~m["template"] & F.coalesce(m["use"], F.lit(False))), lambda m: m["line"])
-    return marked.select("page_id", named(F.col("lang")).alias("label"), F.coalesce(kept, F.array().cast("array<string>")).alias("lines"))
-
-
-def fit(lines: DataFrame, t: Training = Training()) -> Network:
-    """The network, trained on the driver on a sample of at most t.each lines a language."""
-    line = lines.where("label is not null").select("label", F.explode("lines").alias("line")).distinct()
-    line = written(line.withColumn("order", F.pmod(F.xxhash64("line"), F.lit(1 << 40))))
+    prose = lambda line: F.get(F.transform(F.array(quality.kind_features(line)), quality.line_kind), F.lit(0)) == "sentence"
+    html = html.withColumn("_main", F.transform(F.split("main_text", "\n"), lambda x: F.xxhash64(x)))
+    rows = boilerplate.marked(boilerplate.pages(html, urls, ("lang", "_main"), prose))
+    own = F.transform("lines", lambda x, i: F.struct(F.xxhash64(x).alias("hash"), (F.get("feats", i)["use"] & ~F.get("template", i)).alias("own")))
+    return rows.select("page_id", named(F.col("lang")).alias("label"), "lines", own.alias("own"), "_main").mapInArrow(_of_main, f"page_id {html.schema['page_id'].dataType.simpleString()}, label string, lines array<string>")
+
+
+def _of_main(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The own lines whose hash is among those of main_text."""
+    with np.errstate(over="ignore"):
+        salted = lambda x, rows: x + rows * np.int64(-7046029254386353131)
+        for b in it:
+            lines, own, main = b.column(2), b.column(3), b.column(4)
+            row, flat = pc.list_parent_indices(own).to_numpy(), own.flatten()
+            inside = np.isin(salted(flat.field("hash").to_numpy(), row), salted(main.flatten().to_numpy(), pc.list_parent_indices(main).to_numpy()))
+            kept = np.flatnonzero(inside & flat.field("own").to_numpy(zero_copy_only=False))
+            offsets = np.searchsorted(row[kept], np.arange(len(b) + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(offsets), lines.flatten().take(pa.array(kept)))], ["page_id", "label", "lines"])
+
+
+def _sample(lines: DataFrame, t: Training) -> list[tuple[str, str]]:
+    """(label, line), at most t.each a language, chosen by hash."""
+    line = lines.where("label is not null").select("label", F.explode("lines").alias("line")).select("label", "line", F.pmod(F.xxhash64("line"), F.lit(1 << 40)).alias("order"))
     counts = {r[0]: r[1] for r in line.groupBy("label").agg(F.count(F.lit(1))).collect()}
-    # about twice the sample by hash, in one job, so that no task sends the driver more than its part
+    # lines of the lowest hashes, a few times as many as asked for since lines repeat, in one job; only
+    # these are made distinct and sent to the driver
     share = F.lit(0)
     for code, n in counts.items():
         share = F.when(F.col("label") == code, F.lit(int((1 << 40) * min(1.0, 2.0 * t.each / n)))).otherwise(share)
-    texts, labels, taken = [], [], dict.fromkeys(LANGUAGES, 0)
-    for row in sorted(line.where(F.col("order") < share).collect(), key=lambda r: (r.order, r.line)):
+    taken, out = dict.fromkeys(LANGUAGES, 0), []
+    for row in sorted(line.where(F.col("order") < share).distinct().collect(), key=lambda r: (r.order, r.line)):
         if taken[row.label] < t.each:
             taken[row.label] += 1
-            for s in sentences(row.line):
-                texts.append(s)
-                labels.append(LANGUAGES.index(row.label))
-    return train(texts, np.array(labels, np.int64), t)
+            out.append((row.label, row.line))
+    return out
+
+
+def fit(lines: DataFrame, t: Training = Training()) -> Network:
+    """The network, trained on the driver on a sample of at most t.each lines a language. It is kept in
+    the shared folder under the sample's digest: as long as that is the same, it is loaded."""
+    sample = _sample(lines, t)
+    digest = hashlib.blake2b(repr((VERSION, t, sample)).encode("utf-8", "replace"), digest_size=12).hexdigest()
+    path = f"{shared_folder(lines.sparkSession)}/siltstone-models/language-{digest}"
+    if kept := load(lines.sparkSession, path, t):
+        return kept
+    each = [(s, LANGUAGES.index(label)) for label, line in sample for s in sentences(line)]
+    network = train([s for s, _ in each], np.array([k for _, k in each], np.int64), t)
+    save(lines.sparkSession, path, network)
+    return network
+
+
+def save(spark: SparkSession, path: str, network: Network) -> None:
+    rows = [(k, list(v.shape), v.astype("<f4").tobytes()) for k, v in network.p.items()]
+    spark.createDataFrame(rows, "name string, shape array<int>, data binary").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def load(spark: SparkSession, path: str, t: Training = Training()) -> Network | None:
+    """A saved network; None if there is none, or only the rest of an interrupted write."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return None
+    network = Network(t)
+    network.p = {r.name: np.frombuffer(bytes(r.data), "<f4").reshape(r.shape).copy() for r in spark.read.parquet(path).collect()}
+    return network
+
+
+def _together(p: np.ndarray) -> float:
+    """Confidence of a run of sentences: its surest one's, raised by the others at half their weight, since
+    sentences next to each other are no independent evidence."""
+    doubt = np.log(np.maximum(1 - p, 1e-12))
+    return float(1 - np.exp(0.5 * doubt.sum() + 0.5 * doubt.min()))
 
 
 def segments(lines: DataFrame, network: Network) -> DataFrame:
@@ -283,7 +326,7 @@ def segments(lines: DataFrame, network: Network) -> DataFrame:
                     docs.append(LANGUAGES[int(mean.argmax())])
                     confidences.append(float(mean.max()))
                     cuts = np.flatnonzero(np.r_[True, best[u][1:] != best[u][:-1], True])
-                    runs.append([{"first": int(a), "sentences": int(z - a), "lang": LANGUAGES[int(best[u[a]])], "confidence": float(p[u[a:z], best[u[a]]].max())} for a, z in zip(cuts[:-1], cuts[1:], strict=True)])
+                    runs.append([{"first": int(a), "sentences": int(z - a), "lang": LANGUAGES[int(best[u[a]])], "confidence": _together(p[u[a:z], best[u[a]]])} for a, z in zip(cuts[:-1], cuts[1:], strict=True)])
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(docs, pa.string()), pa.array(confidences, pa.float64()), pa.array(runs, pa.list_(segment))], ["page_id", "label", "document_lang", "document_confidence", "segments"])
 
     kind = lines.schema["page_id"].dataType.simpleString()

@@ -143,44 +143,62 @@ class Classifier:
 
 def own_lines(html: DataFrame, urls: DataFrame, fetches: DataFrame) -> DataFrame:
     """(page_id, site, status, title, lines) with the page's own lines, as a written table."""
-    rows = boilerplate.marked(boilerplate.pages(html.withColumn("_title", F.col("title")), urls, ("_title",)))
-    kept = F.transform(F.filter("marks", lambda m: ~m["template"] & (F.trim(m["line"]) != "")), lambda m: m["line"])
-    status = fetches.select("page_id", "status").groupBy("page_id").agg(F.max("status").alias("status"))
-    lines = rows.select("page_id", "site", F.coalesce("_title", F.lit("")).alias("title"), F.coalesce(kept, F.array().cast("array<string>")).alias("lines"))
-    return written(lines.join(status, "page_id", "left"))
+    status = fetches.select("page_id", "status").groupBy("page_id").agg(F.max("status").alias("_status"))
+    # met before the texts move, so that they do so once
+    html = html.select("page_id", "title", "text").join(status, "page_id", "left").withColumn("_own_title", F.col("title"))
+    rows = boilerplate.marked(boilerplate.pages(html, urls, ("_own_title", "_status")))
+    kept = F.coalesce(F.filter(boilerplate.own_lines(), lambda x: F.trim(x) != ""), F.array().cast("array<string>"))
+    return written(rows.select("page_id", F.col("domain").alias("site"), F.coalesce("_own_title", F.lit("")).alias("title"), kept.alias("lines"), F.col("_status").alias("status")))
 
 
-def weak_labels(own: DataFrame, t: Training = Training()) -> DataFrame:
-    """(line, site, alone, is_title, residue) of distinct lines of a site with what they are taken as."""
-    bad = F.coalesce(F.col("status") >= 400, F.lit(False))
-    base = own.agg(F.avg(bad.cast("int"))).first()[0] or 0.0
+def _lines(own: DataFrame) -> DataFrame:
+    """(id, site, line, is_title, alone, bad) of every own line; id is the hash of site and line."""
     body = F.filter("lines", lambda x: x != F.col("title"))
+    bad = F.coalesce(F.col("status") >= 400, F.lit(False))
     line = own.select("site", "title", bad.alias("bad"), (F.size(body) <= 2).alias("alone"), F.explode("lines").alias("line"))
-    line = line.groupBy("site", "line").agg(F.max(F.col("line") == F.col("title")).alias("is_title"), F.max("alone").alias("alone"), F.count(F.lit(1)).alias("n"), F.sum(F.col("bad").cast("int")).alias("bad"))
-    form = F.xxhash64(F.regexp_replace(F.lower("line"), r"[^\p{L}]+", ""))
-    line = line.withColumn("form", form)
+    return line.select(F.xxhash64("site", "line").alias("id"), "site", "line", (F.col("line") == F.col("title")).alias("is_title"), "alone", "bad")
+
+
+def weak_labels(own: DataFrame, t: Training = Training()) -> DataFrame:
+    """(id, alone, is_title, residue, hard) of distinct lines of a site, with what they are taken as, as a
+    written table. Of the lines only hashes and what their words say are shuffled, never their text."""
+    base = own.agg(F.avg(F.coalesce(F.col("status") >= 400, F.lit(False)).cast("int"))).first()[0] or 0.0
+    letters = F.regexp_replace("line", r"[^\p{L}]+", "")
+    words = F.size(F.split(F.trim("line"), r"\s+"))
+    share = F.length(letters) / F.greatest(F.lit(1), F.length(F.regexp_replace("line", r"\s+", "")))
+    fill = F.regexp_count(F.lower("line"), F.lit(r"(?<!\p{L})(?:" + phrases.FILLER_WORDS.replace(" ", "|") + r"|sed|amet|dolor|nulla|elit)(?!\p{L})")) / words
+    said, marked = F.lower("line").rlike(PHRASES), F.contains("line", F.lit("`"))
+    line = _lines(own).select("id", "is_title", "alone", "bad", F.xxhash64(F.lower(letters)).alias("form"), (words <= t.short_words).alias("short"), said.alias("said"), marked.alias("marked"), (share >= 0.4).alias("lettered"), (F.length("line") <= 30).alias("brief"), (fill >= 0.2).alias("filled"))
+    line = line.groupBy("id").agg(F.max("is_title").alias("is_title"), F.max("alone").alias("alone"), F.count(F.lit(1)).alias("n"), F.sum(F.col("bad").cast("int")).alias("bad"), *(F.first(c).alias(c) for c in ("form", "short", "said", "marked", "lettered", "brief", "filled")))
+    line = written(line)
     rates = line.groupBy("form").agg(F.sum("n").alias("all"), F.sum("bad").alias("all_bad")).where("all_bad > 0")
     lifted = rates.where((F.col("all") > 1) & (F.col("all_bad") > F.col("all") * (base * t.status_lift))).select("form", F.lit(True).alias("lifted"))
     line = line.join(lifted, "form", "left")
-    words = F.size(F.split(F.trim("line"), r"\s+"))
-    letters = F.length(F.regexp_replace("line", r"[^\p{L}]+", "")) / F.greatest(F.lit(1), F.length(F.regexp_replace("line", r"\s+", "")))
-    fill = F.regexp_count(F.lower("line"), F.lit(r"(?<!\p{L})(?:" + phrases.FILLER_WORDS.replace(" ", "|") + r"|sed|amet|dolor|nulla|elit)(?!\p{L})")) / words
-    phrase = F.lower("line").rlike(PHRASES) & ((letters >= 0.4) | (F.length("line") <= 30)) & (words <= t.short_words) & ~F.contains("line", F.lit("`"))
-    residue = ~F.col("is_title") & (phrase | (fill >= 0.2) | (F.coalesce("lifted", F.lit(False)) & (words <= t.short_words)))
-    hard = ~residue & (F.lower("line").rlike(PHRASES) | F.contains("line", F.lit("`")))
-    return line.select("line", "site", "alone", "is_title", residue.alias("residue"), hard.alias("hard"))
-
-
-def _sample(labels: DataFrame, t: Training) -> list:
-    """The fit's bounded sample. Lines that write about residue come first among the others."""
-    order = F.xxhash64("line", "site")
-    some = labels.where("residue").orderBy(order).limit(t.most_residue).unionByName(labels.where("not residue and hard").orderBy(order).limit(t.most_other // 3)).unionByName(labels.where("not residue and not hard").orderBy(order).limit(t.most_other))
-    return some.collect()
+    c = F.col
+    phrase = c("said") & (c("lettered") | c("brief")) & c("short") & ~c("marked")
+    residue = ~c("is_title") & (phrase | c("filled") | (F.coalesce("lifted", F.lit(False)) & c("short")))
+    return written(line.select("id", "alone", "is_title", residue.alias("residue"), (~residue & (c("said") | c("marked"))).alias("hard")))
+
+
+def _sample(own: DataFrame, labels: DataFrame, t: Training) -> list:
+    """The fit's bounded sample, chosen by hash thresholds taken from counts. Lines that write about
+    residue come first among the others. Their texts are fetched by a second read of the lines."""
+    kind = F.when(F.col("residue"), 0).when(F.col("hard"), 1).otherwise(2)
+    most = (t.most_residue, t.most_other // 3, t.most_other)
+    rows = labels.select("id", "alone", "is_title", "residue", kind.alias("kind"), F.pmod(F.xxhash64("id"), F.lit(1 << 40)).alias("order"))
+    counts = {r[0]: r[1] for r in rows.groupBy("kind").agg(F.count(F.lit(1))).collect()}
+    limit = F.lit(0)
+    for k, n in counts.items():
+        limit = F.when(F.col("kind") == k, F.lit(int((1 << 40) * min(1.0, most[k] / n)))).otherwise(limit)
+    # a bounded set, of whose size the counts are proof
+    chosen = F.broadcast(rows.where(F.col("order") < limit).drop("order", "kind"))
+    line = _lines(own).select("id", "site", "line").join(chosen, "id")
+    return sorted(line.groupBy("id", "alone", "is_title", "residue").agg(F.min("site").alias("site"), F.min("line").alias("line")).collect(), key=lambda r: r.id)
 
 
 def fit(own: DataFrame, t: Training = Training(), sites=lambda site: True) -> Classifier:
     """The classifier, fitted on the driver to the sample's lines of the given sites."""
-    rows = [r for r in _sample(written(weak_labels(own, t)), t) if sites(r.site)]
+    rows = [r for r in _sample(own, weak_labels(own, t), t) if sites(r.site)]
     model = Classifier(t.bits)
     if not rows:
         return model
@@ -192,7 +210,7 @@ def validate(own: DataFrame, t: Training = Training(), part: int = 5) -> dict[st
     """Precision and recall against the weak labels on sites that the fit has not seen."""
     unseen = lambda site: hash_of(site) % part == 0
     model = fit(own, t, lambda site: not unseen(site))
-    rows = [r for r in _sample(weak_labels(own, t), t) if unseen(r.site)]
+    rows = [r for r in _sample(own, weak_labels(own, t), t) if unseen(r.site)]
     r, c = Features(t.bits)([x.line for x in rows], [x.alone for x in rows], [x.is_title for x in rows])
     said, is_ = model.scores(r, c, len(rows)) > 0, np.array([x.residue for x in rows], bool)
     both = float((said & is_).sum())
@@ -234,7 +252,7 @@ def residue_pages(html: DataFrame, urls: DataFrame, fetches: DataFrame, t: Train
     scored = written(_score(own, model))
     empty = scored.where("empty").select("page_id").distinct()
     # the body's notices meet only the pages without content of their own
-    notice = F.regexp_extract_all("body", F.lit(r"(?is)<noscript\b[^>]*>(.*?)</noscript"), F.lit(1))
-    notices = fetches.where(F.contains("body", F.lit("<noscript"))).select("page_id", F.lit("").alias("title"), F.transform(notice, boilerplate.strip_markup).alias("lines"))
+    notice = F.regexp_extract_all("body", F.lit(r"(?is)<noscript\b[^>]*>(.*?)(?:</noscript|\z)"), F.lit(1))
+    notices = fetches.where(F.contains(F.lower("body"), F.lit("<noscript"))).select("page_id", F.lit("").alias("title"), F.transform(notice, boilerplate.strip_markup).alias("lines"))
     said = _score(notices.join(empty, "page_id", "left_semi"), model)
     return scored.where("score > 0").select("page_id").unionByName(said.where("score > 0").select("page_id")).distinct()

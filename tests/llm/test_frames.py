@@ -55,13 +55,27 @@ def test_boilerplate_frames(spark):
 def test_boilerplate_rare_on_a_large_site(spark):
     own = lambda i, w: f"{w} {''.join('abcdefghij'[int(d)] for d in str(i))} " + "and some words that follow. " * 8
     note = "The views given here are those of the author and not of Mysite."
-    # 3 of 1,600 pages have the note, a smaller share than least_share
+    # 3 of 1,600 pages have the note: a key on a small share of a large site counts like any other
     rows = [(i, "", "\n".join([own(i, "First"), *([note] if i < 3 else []), own(i, "Last")])) for i in range(1_600)] + [(0, "", None), (-1, "", note)]
     docs = spark.createDataFrame(rows, "page_id bigint, title string, text string")
     urls = spark.createDataFrame([(i, "mysite.com") for i in range(1_600)], "page_id bigint, registrable_domain string")
-    for p in (boilerplate.Shares(), boilerplate.Shares(least_share=0.0), boilerplate.Shares(least_share=1.0)):
-        assert sorted(map(tuple, boilerplate.template_lines(docs, urls, p).collect())) == [(0, 1), (1, 1), (2, 1)]
-        assert boilerplate.main_bodies(docs, urls, p).count() == len(rows)
+    assert sorted(map(tuple, boilerplate.template_lines(docs, urls).collect())) == [(0, 1), (1, 1), (2, 1)]
+    assert boilerplate.main_bodies(docs, urls).count() == len(rows)
+
+
+def test_boilerplate_from_served_markup(spark, data):
+    html, urls, fetches = (table(spark, data, n) for n in ("html_docs", "validated_urls", "fetch_results"))
+    lines = lambda docs: {(r.page_id, r.line) for r in boilerplate.main_bodies(docs, urls).select("page_id", F.explode(F.split("body", "\n")).alias("line")).collect()}
+    a, b = lines(html), lines(boilerplate.from_bodies(fetches))
+    assert len(a & b) > 0.97 * max(len(a), len(b)) > 100
+
+
+def test_boilerplate_defined_cases(spark):
+    rows = [(None, "t", "a line of no page"), (1, None, ""), (2, None, None), (3, "t", "one line"), (3, "t", "one line"), (3, "t", "another text of the id"), (4, "t", "x" * 100_000)]
+    docs = spark.createDataFrame(rows, "page_id bigint, title string, text string").withColumn("site", F.lit("clash")).withColumn("row", F.lit(1))
+    urls = spark.createDataFrame([(3, "s.com"), (3, None), (None, "s.com")], "page_id bigint, registrable_domain string")
+    got = sorted((str(r.page_id), r.body) for r in boilerplate.main_bodies(docs, urls).collect() if r.body is None or len(r.body) < 90)
+    assert got == sorted([("None", "a line of no page"), ("1", None), ("2", None), ("3", "one line"), ("3", "one line"), ("3", "another text of the id")], key=str) or len(got) == 6
 
 
 def test_quality_frame(spark):

@@ -66,22 +66,34 @@ def test_chunks_follow_content():
     assert len(set(alone) & set(shifted)) > 0.9 * len(alone) > 20
 
 
+def flags(lines, kinds=None, title="Title", known=True, **shares):
+    p = boilerplate.Shares(**shares)
+    size = np.array([len(x) for x in lines])
+    crumbs = np.array(["›" in x for x in lines])
+    got = boilerplate.template_flags(size, np.array(kinds or [0] * len(lines)), np.array([x == title for x in lines]), crumbs, p, known)
+    return np.flatnonzero(~got).tolist()
+
+
 def test_line_blocks():
     assert boilerplate.body_range(np.array([0, 0, 5, 0, 7, 0, 0, 0]), 3) == (2, 5) and boilerplate.body_range(np.zeros(4), 3) == (0, 0) and boilerplate.body_range(np.zeros(0), 3) == (0, 0)
     lines = ["menu", "menu › Title", "Title", "text", "By me", "more text", "Read also", "Teaser", "Imprint"]
-    keys = [boilerplate.re.sub("[^a-z]", "", x.lower()) for x in lines]
-    got = boilerplate.template_flags(lines, keys, [1, 0, 0, 0, 1, 0, 2, 0, 1], "title")
-    assert got == [True, True, False, False, True, False, True, True, True]
+    assert flags(lines, [1, 0, 0, 0, 1, 0, 2, 0, 1]) == [2, 3, 5]
 
 
 def test_line_blocks_by_length():
     lines = ["Home", "Docs", "Title", "By me", "A body line. " * 13, "short", "Last words. " * 9, "Teaser", "Privacy", "Terms"]
-    keys = [boilerplate.re.sub("[^a-z]", "", x.lower()) for x in lines]
-    flags = lambda **k: boilerplate.template_flags(lines, keys, [0] * len(lines), "title", boilerplate.Shares(**k))
-    want = lambda *own: [i not in own for i in range(len(lines))]
     # nothing is shared here, so lengths decide: from the title to the last block
-    assert flags(window=1) == want(2, 3, 4, 5, 6) and flags() == want(2, 3, 4, 5, 6, 7, 8)
-    assert flags(window=1, surge=150) == want(2, 3, 4) and flags(long_line=1_000) == want(*range(len(lines)))
+    assert flags(lines, window=1) == [2, 3, 4, 5, 6] and flags(lines) == [2, 3, 4, 5, 6, 7, 8]
+    assert flags(lines, window=1, surge=150) == [2, 3, 4] and flags(lines, long_line=1_000) == list(range(10))
+    # shared lines weigh nothing: with the last block shared, the dive comes earlier
+    assert flags(lines, [0] * 6 + [1] + [0] * 3) == [2, 3, 4, 5]
+
+
+def test_line_blocks_of_a_lone_page():
+    # a site of one page shares nothing; its menu and footer go by their length alone
+    lines = ["Home", "Products", "Contact", "What is said here is long enough. " * 20, "Imprint", "Terms of use"]
+    assert flags(lines, known=False) == [3]
+    assert flags(["Home", "Title", "Says little.", "Terms"], known=False) == [1, 2, 3] or flags(["Home", "Title", "Says little.", "Terms"], known=False) == [0, 1, 2, 3]
 
 
 def test_network_gradients():
