@@ -11,6 +11,7 @@ undeterminable; an empty table gives an empty table; columns other than the thre
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from datetime import date, datetime, timedelta, timezone
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.session import scratch_dir
+from siltstone.session import scratch_dir, shared_folder
 
 # Month names by language.
 MONTH_NAMES = {
@@ -41,6 +42,8 @@ MONTHS = SHORT_MONTHS | {n: i for names in MONTH_NAMES.values() for i, n in enum
 
 EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
 MICRO = 1_000_000
+#: raised when what a form means changes
+VERSION = 1
 
 DATE = r"(?P<Y>\d{4})(?P<sep>[-/.])(?P<m>\d{1,2})(?P=sep)(?P<d>\d{1,2})"
 CLOCK = r"(?P<H>\d{1,2}):(?P<M>\d{2})(?::(?P<S>\d{2})(?:[.,](?P<f>\d{1,9}))?)?(?:\s*(?P<ap>[ap]\.?m\.?))?(?:\s*(?:uhr|h))?"
@@ -163,7 +166,7 @@ def parse(raw: str | None, tz: str | None, locale: str | None) -> tuple[int | No
     Every form is tried; should two of them read a text as different moments, it determines none.
     """
     text = (raw or "").strip().strip("﻿​ ").strip()
-    if not text or len(text) > 80:
+    if not text:
         return None, ""
     found = {}
     for form, pattern in FORMS:
@@ -188,11 +191,19 @@ def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 class StampDictionary:
-    """The written dictionary of distinct (raw, tz, locale). Each update adds one folder of new keys."""
+    """The written dictionary of distinct (raw, tz, locale), without nulls. Each update adds one folder of
+    new keys. Two updates at a time may both add a key; readers see it once."""
 
     def __init__(self, spark: SparkSession, path: str | None = None):
         self.spark, self.path = spark, path or scratch_dir(spark)
 
+    @classmethod
+    def kept(cls, spark: SparkSession) -> StampDictionary:
+        """The dictionary in the shared folder that every run extends. Its name has a digest of the forms, so
+        that other rules or another zone database begin a new one."""
+        rules = repr(([(n, p.pattern) for n, p in FORMS], sorted(MONTHS.items()), WEEKDAYS, tzdata_version(), VERSION))
+        return cls(spark, f"{shared_folder(spark)}/siltstone-stamps-{hashlib.blake2b(rules.encode(), digest_size=8).hexdigest()}")
+
     def known(self) -> DataFrame | None:
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         at = jvm.org.apache.hadoop.fs.Path(self.path)
@@ -201,13 +212,23 @@ class StampDictionary:
         return self.spark.read.schema(DICTIONARY).parquet(self.path)
 
     def update(self, keys: DataFrame) -> DataFrame:
-        """Parses the keys not known yet, adds them, and returns the whole dictionary."""
-        new = keys.select("raw", "tz", "locale").distinct()
+        """Parses the keys (raw, tz, locale) not known yet, adds them, and returns one row a key."""
+        new = stamp_keys(keys).distinct()
         if (known := self.known()) is not None:
-            same = [new[c].eqNullSafe(known[c]) for c in ("raw", "tz", "locale")]
-            new = new.join(known, same[0] & same[1] & same[2], "left_anti")
+            new = new.join(known, ["raw", "tz", "locale"], "left_anti")
         new.mapInArrow(_parse_batches, DICTIONARY).write.mode("append").parquet(self.path)
-        return self.known()
+        return self.known().groupBy("raw", "tz", "locale").agg(F.first("instant").alias("instant"), F.first("form").alias("form"))
+
+
+def stamp_keys(keys: DataFrame) -> DataFrame:
+    return keys.select(*(F.coalesce(c, F.lit("")).alias(c) for c in ("raw", "tz", "locale")))
+
+
+def tzdata_version() -> str:
+    """Tells zone databases apart by the offsets of a few zones whose rules change often."""
+    zones = ("Africa/Casablanca", "Asia/Gaza", "America/Mexico_City", "Europe/Moscow", "Asia/Amman")
+    days = (datetime(y, m, 15) for y in (2015, 2021, 2022, 2023, 2025) for m in (1, 4, 7, 10))
+    return repr([[d.replace(tzinfo=zone_of(z)).utcoffset() for z in zones if zone_of(z)] for d in days])
 
 
 def normalise(df: DataFrame, raw: str, tz: str, locale: str, dictionary: StampDictionary | None = None) -> DataFrame:
@@ -220,6 +241,6 @@ def normalise(df: DataFrame, raw: str, tz: str, locale: str, dictionary: StampDi
     dated = F.col(raw).rlike("[0-9]")
     keys = df.where(dated).select(F.col(raw).alias("raw"), F.col(tz).alias("tz"), F.col(locale).alias("locale"))
     d = (dictionary or StampDictionary(df.sparkSession)).update(keys)
-    d = d.select(F.col("raw").alias("_raw"), F.coalesce("tz", F.lit("")).alias("_tz"), F.coalesce("locale", F.lit("")).alias("_locale"), "instant", "form").where("instant is not null")
+    d = d.where("instant is not null").withColumnsRenamed({"raw": "_raw", "tz": "_tz", "locale": "_locale"})
     on = (F.when(dated, F.col(raw)) == F.col("_raw")) & (F.coalesce(F.col(tz), F.lit("")) == F.col("_tz")) & (F.coalesce(F.col(locale), F.lit("")) == F.col("_locale"))
     return df.join(d, on, "left").drop("_raw", "_tz", "_locale").withColumn("form", F.coalesce("form", F.lit("")))

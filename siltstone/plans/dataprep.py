@@ -10,10 +10,10 @@ from siltstone.session import table
 
 
 def p4_instants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every sitemap entry with the instant of its lastmod."""
+    """Every sitemap entry with the instant of its lastmod, by the dictionary that every run extends."""
     entries = table(spark, sf_dir, "sitemap_entries").select("entry_id", "lastmod", "profile_id", "lastmod_parsed")
     profiles = table(spark, sf_dir, "cms_profiles").select("profile_id", "tz", "locale")
-    return timestamps.normalise(entries.join(profiles, "profile_id", "left"), "lastmod", "tz", "locale")
+    return timestamps.normalise(entries.join(profiles, "profile_id", "left"), "lastmod", "tz", "locale", timestamps.StampDictionary.kept(spark))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -51,6 +51,8 @@ def utc(text, tz="UTC", locale="en-GB"):
         ("2024-01-01", None, None, None),
         ("2024-01-01T00:00:00Z", None, None, "2024-01-01T00:00:00Z"),
         ("x" * 100_000, "UTC", "en-GB", None),
+        ("1" * 100_000, "UTC", "en-GB", None),
+        ("2024-01-01" + " " * 200 + "10:00", "UTC", "en-GB", "2024-01-01T10:00:00Z"),
     ],
 )
 def test_parse(text, tz, locale, want):
@@ -76,3 +78,23 @@ def test_found_agrees_with_row_by_row_parsing(spark, data):
     rows = table(spark, data, "sitemap_entries").join(table(spark, data, "cms_profiles"), "profile_id").selectExpr("entry_id", "lastmod", "tz", "locale", "unix_seconds(lastmod_parsed) p").collect()
     want = {(r.entry_id, utc(r.lastmod, r.tz, r.locale)) for r in rows if (at := ts.parse(r.lastmod, r.tz, r.locale)[0]) is not None and at // 1_000_000 != r.p}
     assert {tuple(r) for r in p4_found(spark, data).collect()} == want and want
+
+
+def test_null_and_empty_zones_do_not_multiply_rows(spark):
+    rows = [(1, "2024-01-01T00:00:00Z", None, None), (2, "2024-01-01T00:00:00Z", "", None), (3, "2024-01-01T00:00:00Z", "", "")]
+    df = spark.createDataFrame(rows, "id int, raw string, tz string, locale string")
+    d = ts.StampDictionary(spark)
+    assert sorted(r.id for r in ts.normalise(df, "raw", "tz", "locale", d).collect()) == [1, 2, 3] and d.known().count() == 1
+    # a key that two runs added at the same time
+    spark.createDataFrame(d.known().collect(), ts.DICTIONARY).write.mode("append").parquet(d.path)
+    assert d.known().count() == 2 and ts.normalise(df, "raw", "tz", "locale", d).count() == 3
+
+
+def test_a_second_run_extends_the_kept_dictionary(spark):
+    from siltstone.plans.dataprep import p4_found
+
+    d = ts.StampDictionary.kept(spark)
+    first = p4_found(spark, "/root/testdata/sf0.001").count()
+    n = d.known().count()
+    assert p4_found(spark, "/root/testdata/sf0.001").count() == first and d.known().count() == n
+    assert p4_found(spark, "/root/testdata/sf0.01").count() > first and d.known().count() > n
