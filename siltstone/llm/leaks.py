@@ -4,7 +4,7 @@ The automaton is built over the items' words (runs of letters and digits, withou
 knows every run of words that any item holds. A training text streams through it word by word; the
 state reached and the length matched give, at each word, the longest run that ends there and the
 items that hold it. The items are a stated query set: they are cut into blocks of at most BLOCK_WORDS
-words, one automaton a block is broadcast, and every text meets every block.
+words, one automaton a block is broadcast, and every text, read once, meets every block.
 
 Defined results: null, empty and blank texts or items leak nothing; an item shorter than the least
 length cannot leak; equal items all leak; repeated rows of texts give repeated rows of spans, and one
@@ -49,7 +49,8 @@ class Automaton:
             for w in words:
                 at = self.next[at][w]
                 up = at
-                while up > 0 and item not in holders[up]:
+                # nobody asks who holds a run shorter than the least
+                while up > 0 and self.size[up] >= least and item not in holders[up]:
                     holders[up].add(item)
                     up = self.link[up]
         self.holders = [tuple(sorted(h)) for h in holders]
@@ -153,28 +154,24 @@ def blocks(items: DataFrame, key: str = "item_id", text: str = "text", block_wor
         yield block
 
 
-def _union(frames: list[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
+def automata(sc, items: DataFrame, least: int, block_words: int) -> list:
+    """One broadcast automaton a block; the driver holds one block at a time."""
+    return [sc.broadcast(Automaton(block, least)) for block in blocks(items, block_words=block_words)]
 
 
 def _by_block(documents: DataFrame, items: DataFrame, key: str, text: str, least: int, find, names: list[str], schema: str, block_words: int) -> DataFrame:
-    sc = documents.sparkSession.sparkContext
-    frames = []
-    for block in list(blocks(items, block_words=block_words)) or [[]]:
-        automaton = sc.broadcast(Automaton(block, least))
+    """The documents are read once, whatever the number of blocks."""
+    shared = automata(documents.sparkSession.sparkContext, items, least, block_words)
 
-        def batches(it: Iterator[pa.RecordBatch], automaton=automaton) -> Iterator[pa.RecordBatch]:
-            for b in it:
-                rows = [(k, *x) for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for x in find(automaton.value, t)]
-                columns = list(zip(*rows, strict=True)) or [[] for _ in names]
-                types = [b.schema.field(0).type] + [pa.int64()] * (len(names) - 1)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            keys, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
+            rows = [(k, *x) for a in shared for k, t in zip(keys, texts, strict=True) for x in find(a.value, t)]
+            columns = list(zip(*rows, strict=True)) or [[] for _ in names]
+            types = [b.schema.field(0).type] + [pa.int64()] * (len(names) - 1)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
-        frames.append(documents.select(key, text).mapInArrow(batches, schema))
-    return _union(frames)
+    return documents.select(key, text).mapInArrow(batches, schema)
 
 
 def leak_spans(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -202,7 +199,7 @@ def without_leaks(documents: DataFrame, items: DataFrame, text: str = "text", le
     true and the text is null. Texts without a leak, null ones included, are unchanged.
     """
     sc = documents.sparkSession.sparkContext
-    automata = [sc.broadcast(Automaton(b, least)) for b in blocks(items)]
+    shared = automata(sc, items, least, BLOCK_WORDS)
     documents = documents.drop("leaked_words", "leak_dropped")
     at = documents.columns.index(text)
 
@@ -210,7 +207,7 @@ def without_leaks(documents: DataFrame, items: DataFrame, text: str = "text", le
         for b in it:
             kept, counts, dropped = [], [], []
             for t in b.column(at).to_pylist():
-                cuts = sorted({(f, e) for a in automata for _, _, _, f, e in a.value.spans(t)})
+                cuts = sorted({(f, e) for a in shared for _, _, _, f, e in a.value.spans(t)})
                 merged: list[list[int]] = []
                 for f, e in cuts:
                     if merged and f <= merged[-1][1]:

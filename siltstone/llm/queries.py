@@ -29,6 +29,11 @@ def p2_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boilerplate.main_bodies(table(spark, sf_dir, "html_docs"), table(spark, sf_dir, "validated_urls"))
 
 
+def p2_from_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main bodies of the served markup itself."""
+    return boilerplate.main_bodies(boilerplate.from_bodies(table(spark, sf_dir, "fetch_results")), table(spark, sf_dir, "validated_urls"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.unnamed_languages(table(spark, sf_dir, "html_docs"), table(spark, sf_dir, "validated_urls"))
 
@@ -51,6 +56,11 @@ def p7_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("page_id", "paragraphs", "n_cut")
 
 
+def p7_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page's paragraphs without the chunks that its site repeats."""
+    return repeats.without_chunks(table(spark, sf_dir, "html_docs").select("page_id", "paragraphs"), table(spark, sf_dir, "validated_urls"))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode(table(spark, sf_dir, "documents"))
 
@@ -74,4 +84,4 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_statistics, p2_found, p2_bodies, p3_found, p3_segments, p5_found, p7_found, p7_clean, p8_ids, p9_found, p9_spans, p9_clean, p10_found)}
+    return {f.__name__: f for f in (p1_found, p1_statistics, p2_found, p2_bodies, p2_from_markup, p3_found, p3_segments, p5_found, p7_found, p7_clean, p7_cut, p8_ids, p9_found, p9_spans, p9_clean, p10_found)}

@@ -37,6 +37,20 @@ def test_repeats_frames(spark):
     assert repeats.repeated_entries(docs.where("false"), urls).count() == 0
 
 
+def test_repeated_chunks_are_cut_inside_entries(spark):
+    note = "Share this page with all of your good friends and colleagues, and do not forget to subscribe to our weekly letter about everything that happens here in town, because there is a lot to tell each time."
+    own = lambda i: f"The {'alpha beta gamma delta zeta theta kappa'.split()[i]} report {'qwertyuiop'[i] * 30} says what nobody else had said before"
+    rows = [(i, [f"{own(i)}. {note} {own(6 - i)}", note, None, "42"]) for i in range(6)] + [(9, None), (10, []), (11, [own(1)])]
+    docs = spark.createDataFrame(rows, "page_id bigint, paragraphs array<string>").withColumn("n_cut", F.lit("clash"))
+    urls = spark.createDataFrame([(i, "s.com") for i in range(12)], "page_id bigint, registrable_domain string")
+    got = {r.page_id: r for r in repeats.without_chunks(docs, urls).collect()}
+    assert got[9].paragraphs is None and got[10].paragraphs == [] and got[11].paragraphs == [own(1)] and got[11].n_cut == 0
+    for i in range(6):
+        first = got[i].paragraphs[0]
+        assert first.startswith(own(i)) and first.endswith(own(6 - i)) and "subscribe" not in first and note not in got[i].paragraphs and got[i].paragraphs[1:] == [None, "42"]
+    assert repeats.without_chunks(docs.where("false"), urls).count() == 0
+
+
 def test_boilerplate_frames(spark):
     def page(i, middle):
         return "\n".join(["Home", "Docs", f"Home › Title {'abcdefghijklmnop'[i]}", f"Title {'abcdefghijklmnop'[i]}", *middle, "Read also", "A teaser title", "Imprint", "© 2024 Mysite. All rights reserved."])
