@@ -50,15 +50,15 @@ SKIP_PATHS = r"/(wp-admin|wp-content|wp-includes|cdn-cgi|_next/static|assets|sta
 
 # Host families by suffix, in order of precedence.
 HOST_FAMILIES = (
-    ("encyclopedia", "wikipedia.org wikidata.org britannica.com wikimedia.org"),
-    ("academic_publishing", "doi.org arxiv.org springer.com nature.com sciencedirect.com jstor.org acm.org ieee.org ssrn.com biorxiv.org tandfonline.com wiley.com"),
-    ("academic", ".edu .ac.uk .edu.au pubmed.ncbi.nlm.nih.gov ncbi.nlm.nih.gov"),
-    ("government", ".gov .gov.uk .mil europa.eu who.int un.org oecd.org"),
-    ("standards", "w3.org ietf.org iso.org nist.gov unicode.org rfc-editor.org"),
-    ("news_media", "nytimes.com bbc.co.uk bbc.com reuters.com forbes.com bloomberg.com wsj.com theguardian.com cnbc.com wired.com techcrunch.com theverge.com venturebeat.com ft.com businessinsider.com axios.com cnn.com"),
-    ("press_wire", "prnewswire.com businesswire.com globenewswire.com einpresswire.com prweb.com newswire.com"),
-    ("social", "twitter.com x.com facebook.com linkedin.com instagram.com youtube.com tiktok.com pinterest.com reddit.com threads.net"),
-    ("review_platform", "g2.com capterra.com trustpilot.com gartner.com getapp.com producthunt.com yelp.com"),
+    ("encyclopedia", ("wikipedia.org", "wikidata.org", "britannica.com", "wikimedia.org",)),
+    ("academic_publishing", ("doi.org", "arxiv.org", "springer.com", "nature.com", "sciencedirect.com", "jstor.org", "acm.org", "ieee.org", "ssrn.com", "biorxiv.org", "tandfonline.com", "wiley.com",)),
+    ("academic", (".edu", ".ac.uk", ".edu.au", "pubmed.ncbi.nlm.nih.gov", "ncbi.nlm.nih.gov",)),
+    ("government", (".gov", ".gov.uk", ".mil", "europa.eu", "who.int", "un.org", "oecd.org",)),
+    ("standards", ("w3.org", "ietf.org", "iso.org", "nist.gov", "unicode.org", "rfc-editor.org",)),
+    ("news_media", ("nytimes.com", "bbc.co.uk", "bbc.com", "reuters.com", "forbes.com", "bloomberg.com", "wsj.com", "theguardian.com", "cnbc.com", "wired.com", "techcrunch.com", "theverge.com", "venturebeat.com", "ft.com", "businessinsider.com", "axios.com", "cnn.com",)),
+    ("press_wire", ("prnewswire.com", "businesswire.com", "globenewswire.com", "einpresswire.com", "prweb.com", "newswire.com",)),
+    ("social", ("twitter.com", "x.com", "facebook.com", "linkedin.com", "instagram.com", "youtube.com", "tiktok.com", "pinterest.com", "reddit.com", "threads.net",)),
+    ("review_platform", ("g2.com", "capterra.com", "trustpilot.com", "gartner.com", "getapp.com", "producthunt.com", "yelp.com",)),
 )
 
 # Signals in raw markup.
@@ -90,3 +90,74 @@ DATE_FORMATS = ("%Y-%m-%d", "%Y/%m/%d", "%d %B %Y", "%d %b %Y", "%B %d, %Y", "%b
 SEVERITIES = ("critical", "high", "medium", "low", "info")
 CEILINGS = {1: "critical", 2: "high", 3: "medium"}
 CHROME_SHARE = 0.8
+
+# Promotional words of a page's beginning, and words of missing pages under a good status.
+LEAD_WORDS = 150
+MARKETING = (
+    r"\b(industry[- ]leading|world[- ]class|best[- ]in[- ]class|cutting[- ]edge|state[- ]of[- ]the[- ]art|revolutionary|game[- ]chang\w+|seamless\w*|synerg\w+|next[- ]generation|innovat(?:ive|ion)|empower\w*|unlock\w*|"
+    r"transform(?:ing|ative|ation)?|elevat\w+|unparalleled|unrivalled|unrivaled|bespoke|holistic|turnkey|frictionless|effortless\w*|reimagin\w+|passionate|delight\w*|journey|mission[- ]driven|thought leader\w*)\b"
+)
+SOFT_404 = r"\b(page not found|404 error|does not exist|no longer available|couldn'?t find|nothing here|sorry,? we can'?t find)\b"
+BRAND_SUFFIXES = r"(group|solutions|services|systems|digital|media|labs?|tech|technologies|consulting|partners|holdings|ventures|studio|agency|works|global|online)$"
+
+# Markup that stands before a page, strong and weak signs, and breadcrumbs.
+STRONG_LAYERS = {
+    "open dialog": r"<dialog\b[^>]*\bopen\b",
+    "modal": r"aria-modal\s*=\s*[\"']?true",
+    "scroll lock": r"<body\b[^>]*class\s*=\s*[\"'][^\"']*\b(modal-open|no-scroll|noscroll|overflow-hidden|scroll-locked|menu-open-body)\b",
+    "wall": r"\b(paywall|regwall|age[-_ ]?gate|age[-_ ]verification|subscribe[-_ ]wall|registration[-_ ]wall|content[-_ ]lock)\b",
+}
+WEAK_LAYERS = {
+    "consent": r"(id|class)\s*=\s*[\"'][^\"']*\b(cookie[-_ ]?(banner|consent|notice|wall)|consent[-_ ]?(banner|modal|manager|dialog)|gdpr[-_ ]?(banner|modal)|cmp[-_ ]?(container|banner))\b",
+    "popup": r"(id|class)\s*=\s*[\"'][^\"']*\b(newsletter[-_ ]?(modal|popup|overlay)|exit[-_ ]?intent|signup[-_ ]?(modal|overlay)|promo[-_ ]?(modal|overlay)|lightbox[-_ ]?overlay|interstitial)\b",
+    "overlay": r"style\s*=\s*[\"'][^\"']*position\s*:\s*fixed[^\"']*z-index\s*:\s*\d{3,}",
+}
+BREADCRUMB = r"(class|id)\s*=\s*[\"'][^\"']*\bbreadcrumbs?\b|aria-label\s*=\s*[\"']breadcrumb"
+NO_FIELDS, MOST_FORMS = ("hidden", "submit", "button", "image", "reset", "search"), 6
+
+# Types of structured data.
+GENERIC_TYPES = (
+    "WebPage", "WebSite", "BreadcrumbList", "SearchAction", "SiteNavigationElement", "ImageObject", "Person", "Thing", "Graph", "ListItem", "EntryPoint", "ReadAction", "PostalAddress", "ContactPoint", "Offer", "AggregateRating", "OpeningHoursSpecification", "GeoCoordinates", "Rating", "Review",
+)
+ORGANIZATION_TYPES = (
+    "Organization", "Corporation", "LocalBusiness", "OnlineBusiness", "NGO", "EducationalOrganization", "GovernmentOrganization", "Store", "Restaurant", "MedicalBusiness", "ProfessionalService", "SportsOrganization", "NewsMediaOrganization",
+)
+PRIMARY_TYPES = {
+    "product": ("Product", "ProductGroup", "IndividualProduct", "SoftwareApplication", "Vehicle", "Book"),
+    "article": ("Article", "BlogPosting", "NewsArticle", "TechArticle", "ScholarlyArticle", "Report"),
+    "howto": ("HowTo", "Recipe"), "event": ("Event", "BusinessEvent", "EducationEvent"), "job": ("JobPosting",), "course": ("Course",), "faq": ("FAQPage", "QAPage"),
+}
+_ARTICLE = {"headline": ("headline", "name"), "datePublished": ("datePublished", "dateCreated"), "author": ("author", "creator")}
+REQUIRED_PROPERTIES = {
+    "Product": {"name": ("name",), "offers or price": ("offers", "price", "aggregateOffer")},
+    "ProductGroup": {"name": ("name",), "offers or price": ("offers", "price", "hasVariant")},
+    "SoftwareApplication": {"name": ("name",), "offers or applicationCategory": ("offers", "applicationCategory")},
+    "Article": _ARTICLE, "BlogPosting": _ARTICLE, "NewsArticle": _ARTICLE,
+    "TechArticle": {"headline": ("headline", "name"), "datePublished": ("datePublished", "dateCreated")},
+    "LocalBusiness": {"name": ("name",), "address": ("address",), "telephone or contactPoint": ("telephone", "contactPoint")},
+    "Event": {"name": ("name",), "startDate": ("startDate",), "location": ("location",)},
+    "JobPosting": {"title": ("title", "name"), "datePosted": ("datePosted",), "hiringOrganization": ("hiringOrganization",)},
+    "Recipe": {"name": ("name",), "recipeIngredient": ("recipeIngredient",), "recipeInstructions": ("recipeInstructions",)},
+    "HowTo": {"name": ("name",), "step": ("step",)}, "FAQPage": {"mainEntity": ("mainEntity",)}, "BreadcrumbList": {"itemListElement": ("itemListElement",)},
+    "Course": {"name": ("name",), "description": ("description",), "provider": ("provider",)},
+}
+ORGANIZATION_FIELDS = {"name": ("name", "legalName"), "url": ("url",), "logo": ("logo", "image"), "description": ("description",), "contact point": ("contactPoint", "telephone", "email", "address")}
+ADDRESS_KEYS = ("streetAddress", "addressLocality", "addressRegion", "postalCode", "addressCountry", "name")
+
+# What is expected of a page of each type (types of structured data, least words, a date),
+# whether it only leads elsewhere, matters most, or is exempt from the score.
+PAGE_EXPECTATIONS = {
+    "homepage": (("Organization", "WebSite", "LocalBusiness", "Corporation"), 150, False, False, True, False),
+    "product": (("Product", "Offer", "AggregateOffer", "ItemList"), 120, False, False, True, False),
+    "pricing": (("Product", "Offer", "PriceSpecification", "Service"), 100, False, False, True, False),
+    "article": (("Article", "BlogPosting", "NewsArticle", "TechArticle"), 300, True, False, False, False),
+    "docs": (("TechArticle", "HowTo", "Article", "APIReference"), 200, True, False, False, False),
+    "about": (("Organization", "AboutPage", "Corporation"), 120, False, False, False, False),
+    "service": (("Service", "Product", "Offer"), 150, False, False, True, False),
+    "category": (("CollectionPage", "ItemList", "BreadcrumbList"), 60, False, True, False, False),
+    "legal": ((), 100, True, False, False, True),
+    "other": (("WebPage",), 120, False, False, False, False),
+}
+THRESHOLDS = {"thin_words": 170.0, "min_headings": 1.0, "low_paragraphs": 8.34, "absorption_floor": 0.25, "render_gap_words": 120.0}
+LEAST_ABSORBABLE_WORDS, HEDGES, GAP_WORDS = 300, 5, 120
+CORROBORATING, AMPLIFYING = ("encyclopedia", "academic_publishing", "academic", "government", "standards"), ("news_media", "press_wire", "social", "review_platform")

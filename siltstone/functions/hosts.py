@@ -22,7 +22,7 @@ def host_family(host: Column) -> Column:
 
 def family_patterns() -> list[tuple[str, str]]:
     """One pattern a family: a suffix at the host's end, or the host itself without the suffix's first dot."""
-    quoted = [(name, [s.replace(".", r"\.") for s in suffixes.split()]) for name, suffixes in fixed.HOST_FAMILIES]
+    quoted = [(name, [s.replace(".", r"\.") for s in suffixes]) for name, suffixes in fixed.HOST_FAMILIES]
     return [(name, "(?:" + "|".join([*q, *("^" + s.removeprefix(r"\.") for s in q if s.startswith(r"\."))]) + ")$") for name, q in quoted]
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from siltstone.functions import fixed
+from siltstone.functions.urls import let
 
 
 def _in(html: Column, pattern: str) -> Column:
@@ -69,3 +70,42 @@ def head_counts(html: Column) -> Column:
     scripts = F.filter(F.regexp_extract_all(head, F.lit(r"(?i)<script\b[^>]*>"), F.lit(0)), lambda t: t.rlike(r"(?i)\bsrc\s*=") & ~t.rlike(r"(?i)\b(?:async|defer)\s*=|type\s*=\s*[\"']module"))
     sheets = F.filter(F.regexp_extract_all(head, F.lit(r"(?i)<link\b[^>]*>"), F.lit(0)), lambda t: t.rlike(r"(?i)rel\s*=\s*[\"']?stylesheet"))
     return F.struct(F.size(scripts).alias("sync_scripts"), F.size(sheets).alias("stylesheets"))
+
+
+def forms(html: Column) -> Column:
+    """(fields, unlabelled, required) of each of the first forms with a field; a form that isn't closed
+    reaches to the end."""
+    all_ = F.coalesce(html, F.lit(""))
+    closed = F.regexp_extract_all(all_, F.lit(r"(?is)<form\b[^>]*>(.*?)</form\s*>"), F.lit(1))
+    rest = F.when(all_.rlike(r"(?i)<form\b[^>]*>"), F.array(F.regexp_extract(all_, r"(?is)<form\b[^>]*>(.*)$", 1))).otherwise(F.array().cast("array<string>"))
+    blocks = F.slice(F.when(F.size(closed) > 0, closed).otherwise(rest), 1, fixed.MOST_FORMS)
+
+    def counted(block: Column) -> Column:
+        labels = F.regexp_extract_all(block, F.lit(r"(?i)<label\b[^>]*\bfor\s*=\s*[\"']([^\"']+)[\"']"), F.lit(1))
+        tags = F.regexp_extract_all(block, F.lit(r"(?i)<(?:input|select|textarea)\b[^>]*>"), F.lit(0))
+
+        def field(tag: Column) -> Column:
+            some = lambda a, *names: F.array_max(F.array(*(F.coalesce(a[n], F.lit("")) != "" for n in names)))
+            read = lambda a: F.struct(
+                ((~tag.rlike("(?i)^<input") | ~F.lower(F.coalesce(a["type"], F.lit("text"))).isin(*fixed.NO_FIELDS)) & a["hidden"].isNull()).alias("field"),
+                (a["required"].isNotNull() | F.coalesce(a["aria-required"] == "true", F.lit(False))).alias("required"),
+                (F.coalesce(F.array_contains(labels, a["id"]), F.lit(False)) | some(a, "aria-label", "aria-labelledby", "placeholder", "title")).alias("labelled"),
+            )
+            return let(attributes(tag), read)
+
+        def sums(found: Column) -> Column:
+            size = lambda keep: F.size(F.filter(found, lambda f: f["field"] & keep(f)))
+            return F.struct(size(lambda f: F.lit(True)).alias("fields"), size(lambda f: ~f["labelled"]).alias("unlabelled"), size(lambda f: f["required"]).alias("required"))
+
+        return let(F.transform(tags, field), sums)
+
+    return F.filter(F.transform(blocks, counted), lambda f: f["fields"] > 0)
+
+
+def layers_before(html: Column) -> Column:
+    """(strong, weak): names of the signs that something stands before the page."""
+    return F.struct(named(html, fixed.STRONG_LAYERS).alias("strong"), named(html, fixed.WEAK_LAYERS).alias("weak"))
+
+
+def breadcrumb(html: Column) -> Column:
+    return _in(html, fixed.BREADCRUMB)

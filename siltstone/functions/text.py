@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from siltstone.functions import fixed
+from siltstone.functions.urls import let
 
 
 def count_of(text: Column, pattern: str) -> Column:
@@ -71,3 +72,52 @@ def lead(text: Column, words: int = 150) -> Column:
 
 def boilerplate_ratio(main: Column, total: Column) -> Column:
     return F.when(total > 0, F.round(F.greatest(F.lit(0.0), (total - main) / total), 4)).otherwise(0.0)
+
+
+def update_language(text: Column) -> Column:
+    return has(text, fixed.UPDATE_LANGUAGE)
+
+
+def lead_signals(text: Column) -> Column:
+    """(lead_words, marketing, evidence) of the first words."""
+    counts = lambda t: F.struct(word_count(t).alias("lead_words"), count_of(t, fixed.MARKETING).alias("marketing"), (count_of(t, fixed.DEFINITION) + count_of(t, fixed.NUMERIC) + count_of(t, fixed.COMPARISON)).alias("evidence"))
+    return let(lead(text, fixed.LEAD_WORDS), counts)
+
+
+def soft_404(title: Column, words: Column, text: Column) -> Column:
+    """Whether the title, or the first 1,200 characters of a short text, say that nothing is there."""
+    return has(title, fixed.SOFT_404) | ((words < 120) & has(F.substring(text, 1, 1200), fixed.SOFT_404))
+
+
+def with_examples(text: Column, urls: Column, limit: int = 3) -> Column:
+    """The text with its first examples and how many more there are."""
+    shown = F.filter(F.coalesce(urls, F.array().cast("array<string>")), lambda u: F.coalesce(u, F.lit("")) != "")
+    first, more = F.slice(shown, 1, limit), F.size(urls) - limit
+    tail = F.when(F.size(shown) > limit, F.concat(F.lit(" and "), more.cast("string"), F.lit(" more"))).otherwise("")
+    return F.when(F.size(first) == 0, text).otherwise(F.concat(text, F.lit(" (e.g. "), F.array_join(first, ", "), tail, F.lit(")")))
+
+
+def ambiguous_brand(token: Column, words: tuple[str, ...] = ()) -> Column:
+    """Whether a brand's token names many things: it is one of the words given, short, or ends generically."""
+    t = F.lower(token)
+    listed = t.isin(*words) if words else F.lit(False)
+    return listed | t.rlike("^[a-z]{1,4}$") | t.rlike(fixed.BRAND_SUFFIXES)
+
+
+def brand_named(token: Column, text: Column, title: Column) -> Column:
+    """Whether a token occurs in the text or the title; an empty one does in none."""
+    low = lambda c: F.lower(F.coalesce(c, F.lit("")))
+    return (F.coalesce(token, F.lit("")) != "") & (F.contains(low(text), low(token)) | F.contains(low(title), low(token)))
+
+
+def render_gap(words: Column, text_chars: Column, script_chars: Column, html_chars: Column) -> Column:
+    """(text_to_html, script_to_text, likely): whether a page's text is made by its scripts."""
+    ratio = F.round(text_chars / F.greatest(F.lit(1), html_chars), 4)
+    script = F.round(script_chars / F.greatest(F.lit(1), text_chars), 2)
+    return F.struct(ratio.alias("text_to_html"), script.alias("script_to_text"), ((words < fixed.GAP_WORDS) & ((ratio < 0.05) | (script > 3.0))).alias("likely"))
+
+
+def score_notes(words: Column, qa: Column, genre_count: Column, hedges: Column) -> Column:
+    """Names of the remarks on a score: questions without evidence, too short, asserted only."""
+    least = fixed.GENRES["qa"][1]
+    return F.array_compact(F.array(F.when((qa >= least) & (genre_count == 0), "qa_without_evidence"), F.when(words < fixed.LEAST_ABSORBABLE_WORDS, "below_absorbable_length"), F.when((hedges >= fixed.HEDGES) & (genre_count <= 1), "asserted_not_substantiated")))

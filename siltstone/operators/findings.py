@@ -78,7 +78,9 @@ def trapped(kinds: Column) -> Column:
 def review(findings: DataFrame, page_types: DataFrame | None = None, least_sample: int = 3) -> DataFrame:
     """findings with `drop_reason` (null if kept) and the severity, level, confidence and priority that
     the gates leave. page_types (url, page_type) meets the findings' URLs by an equi join."""
-    f = findings.withColumn("_id", F.monotonically_increasing_id()) if "finding_no" not in findings.columns else findings.withColumn("_id", F.col("finding_no"))
+    if "finding_no" not in findings.columns:
+        raise ValueError("findings need a finding_no, by which they are told apart")
+    f = findings.withColumn("_id", F.col("finding_no"))
     if page_types is None:
         f = f.withColumn("_kinds", F.array_distinct(F.transform(urls_of(), lambda _: F.lit("other"))))
     else:
@@ -123,14 +125,3 @@ def numbered(findings: DataFrame) -> DataFrame:
 def severity_counts(findings: DataFrame) -> DataFrame:
     """One row a site with the count of each severity, zeros included."""
     return findings.groupBy("site").agg(*(F.count_if(F.col("severity") == s).alias(s) for s in fixed.SEVERITIES), F.count(F.lit(1)).alias("total"))
-
-
-def validate(findings: DataFrame) -> DataFrame:
-    """(site, id, error) of the rows that break a rule of the report."""
-    bad = {
-        "no title": _text("title") == "", "no evidence": _text("evidence") == "", "unknown severity": ~F.coalesce(F.col("severity"), F.lit("")).isin(*fixed.SEVERITIES), "level out of range": ~F.coalesce(F.col("claim_level"), F.lit(0)).between(1, 3),
-        "severity above its ceiling": scores.capped(F.col("severity"), F.col("claim_level")) != F.col("severity"), "priority above severity": scores.rank(F.col("priority"), PRIORITIES) < scores.rank(F.col("severity"), fixed.SEVERITIES), "id of wrong form": ~_text("id").rlike(r"^F-\d{3,}$"),
-    }
-    repeated = findings.groupBy("site", "id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("site", "id", F.lit("id not unique").alias("error"))
-    errors = F.array_compact(F.array(*(F.when(F.coalesce(rule, F.lit(False)), F.lit(name)) for name, rule in bad.items())))
-    return findings.select("site", "id", F.explode(errors).alias("error")).unionByName(repeated)

@@ -43,6 +43,12 @@ def rules(directives: DataFrame) -> DataFrame:
     return directives.where(F.col("field").isin("allow", "disallow") & (F.col("group_no") > 0)).select("site", "group_no", F.col("value").alias("rule"), (F.col("field") == "allow").alias("is_allow"))
 
 
+def delays(directives: DataFrame) -> DataFrame:
+    """(site, group_no, delay) of the last delay that is a number."""
+    delay = directives.where(F.col("field").isin("crawl-delay", "crawldelay") & (F.col("group_no") > 0)).select("site", "group_no", "line", F.expr("try_cast(value as double)").alias("delay")).where("delay is not null")
+    return delay.groupBy("site", "group_no").agg(F.max_by("delay", "line").alias("delay"))
+
+
 def agent_groups(directives: DataFrame, agents: DataFrame) -> DataFrame:
     """(site, agent, group_no, explicitly_named): the group of the longest token that begins the agent's
     name, the earlier of equals; else the first '*' group; no row if there is neither. agents is a

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,13 +15,36 @@ from siltstone.session import small
 THIN_WORDS, MOST_THIN, LEAST_SAMPLE = 170, 600, 3
 
 
-def upper_median(df: DataFrame, key: str, value: str) -> DataFrame:
-    """(key, median): the element at n // 2 of the sorted values, from counts by value; the counts are
-    ranked within the key, whose number of distinct values bounds a task, not its number of rows."""
+def at_positions(df: DataFrame, key: str, value: str, positions: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """(key, names): of each name, the element at the position (of the number of values, from 0) in the
+    key's sorted values. They come from counts by value; a task holds a key's distinct values, not its rows."""
     counts = df.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("_n"))
     w = W.partitionBy(key)
     run = counts.withColumn("_seen", F.sum("_n").over(w.orderBy(value).rowsBetween(W.unboundedPreceding, 0))).withColumn("_all", F.sum("_n").over(w))
-    return run.where(F.col("_seen") > F.floor(F.col("_all") / 2)).groupBy(key).agg(F.min(value).alias("median"))
+    here = lambda at: (F.col("_seen") > at) & (F.col("_seen") - F.col("_n") <= at)
+    return run.groupBy(key).agg(*(F.max(F.when(here(f(F.col("_all"))), F.col(value))).alias(n) for n, f in positions.items()))
+
+
+def upper_median(df: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, median): the element at n // 2 of the sorted values."""
+    return at_positions(df, key, value, {"median": lambda n: F.floor(n / 2)})
+
+
+def before(df: DataFrame, key: str, order: str, sums: dict[str, Column], block_rows: int = 100_000) -> DataFrame:
+    """df with, of each name, the sum of the column over the key's rows that come before in the (numeric)
+    order. The order's range is cut into blocks of about so many rows, which are summed first, so that no
+    task orders all rows of a key."""
+    span = df.groupBy(key).agg(F.min(order).alias("_low"), F.max(order).alias("_high"), F.ceil(F.count(F.lit(1)) / block_rows).alias("_blocks"))
+    b = F.floor((F.col(order) - F.col("_low")) * F.col("_blocks") / (F.col("_high") - F.col("_low") + 1))
+    each = df.join(small(span), key).withColumn("_block", b).drop("_low", "_high", "_blocks")
+    for n, c in sums.items():
+        each = each.withColumn(f"_v_{n}", F.coalesce(c, F.lit(0)))
+    totals = each.groupBy(key, "_block").agg(*(F.sum(f"_v_{n}").alias(f"_s_{n}") for n in sums))
+    so_far = W.partitionBy(key).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    totals = totals.select(key, "_block", *(F.coalesce(F.sum(f"_s_{n}").over(so_far), F.lit(0)).alias(f"_s_{n}") for n in sums))
+    inside = W.partitionBy(key, "_block").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    out = each.join(totals, [key, "_block"])
+    return out.select(*df.columns, *((F.col(f"_s_{n}") + F.coalesce(F.sum(f"_v_{n}").over(inside), F.lit(0))).alias(n) for n in sums))
 
 
 def score_rollup(scored: DataFrame, site: str = "site", score: str = "score") -> DataFrame:
@@ -33,11 +58,14 @@ def score_rollup(scored: DataFrame, site: str = "site", score: str = "score") ->
 def calibration(pages: DataFrame, site: str = "site", words: str = "words", headings: str = "headings", strictness: str = "standard") -> DataFrame:
     """Per site with three pages or more: median, low quartile, extremes and spread of word counts, and
     the thresholds derived from them (half-even rounding)."""
-    w = W.partitionBy(site).orderBy(words)
-    ranked = pages.where(F.col(words).isNotNull()).select(site, words, headings, F.row_number().over(w).alias("_r"), F.count(F.lit(1)).over(W.partitionBy(site)).alias("_n"))
-    at = F.greatest(F.lit(1), F.floor(F.col("_n") / 4).cast("int"))
-    m = F.median(words)
-    stats = ranked.groupBy(site).agg(F.count(F.lit(1)).alias("pages"), m.alias("median_words"), F.max(F.when(F.col("_r") == at, F.col(words))).alias("p25_words"), F.min(words).alias("min_words"), F.max(words).alias("max_words"), F.median(headings).alias("median_headings"))
+    rows = pages.where(F.col(words).isNotNull())
+    stats = rows.groupBy(site).agg(F.count(F.lit(1)).alias("pages"), F.min(words).alias("min_words"), F.max(words).alias("max_words"))
+    middle = {"_low": lambda n: F.floor((n - 1) / 2), "_high": lambda n: F.floor(n / 2)}
+    of_words = at_positions(rows, site, words, middle | {"p25_words": lambda n: F.greatest(F.lit(0), F.floor(n / 4) - 1)})
+    of_headings = at_positions(rows, site, headings, middle)
+    mean = lambda: ((F.col("_low") + F.col("_high")) / 2.0).cast("double")
+    stats = stats.join(of_words.select(site, "p25_words", mean().alias("median_words")), site, "left").join(of_headings.select(site, mean().alias("median_headings")), site, "left")
+    stats = stats.select(site, "pages", "median_words", "p25_words", "min_words", "max_words", "median_headings")
     thin = F.greatest(F.lit(float(THIN_WORDS)), F.least(F.col("median_words") * 0.5, F.lit(float(MOST_THIN))))
     thin = F.least(thin, F.lit(float(THIN_WORDS))) if strictness == "lenient" else F.greatest(thin, F.col("median_words") * 0.6) if strictness == "strict" else thin
     return stats.where(F.col("pages") >= LEAST_SAMPLE).select("*", F.round(F.col("max_words") / F.greatest(F.lit(1), F.col("min_words")), 2).alias("spread"), F.bround(thin).cast("int").alias("thin_words"), F.when(F.col("median_headings") >= 4, 2).otherwise(1).alias("min_headings"))
@@ -46,18 +74,18 @@ def calibration(pages: DataFrame, site: str = "site", words: str = "words", head
 def round_robin(candidates: DataFrame, limit: int, site: str = "site", kind: str = "page_type", order: str = "ordinal") -> DataFrame:
     """At most `limit` candidates a site: all if they are no more; else one homepage, then one of each
     type in turn, types by name with 'other' last. Extra homepages are left out."""
-    w = W.partitionBy(site)
-    c = candidates.withColumn("_n", F.count(F.lit(1)).over(w)).withColumn("_turn", F.row_number().over(W.partitionBy(site, kind).orderBy(order)))
+    # no more than `limit` of a type can be picked; cut there, Spark keeps as few before the shuffle
+    c = candidates.withColumn("_turn", F.row_number().over(W.partitionBy(site, kind).orderBy(order))).where(F.col("_turn") <= limit)
     home = F.col(kind) == "homepage"
-    c = c.where((F.col("_n") <= limit) | ~home | (F.col("_turn") == 1))
-    c = c.withColumn("pick", F.row_number().over(w.orderBy(~home, F.col("_turn"), F.col(kind) == "other", kind, order)))
+    totals = candidates.groupBy(site).agg(F.count(F.lit(1)).alias("_n"))
+    c = c.join(totals, site).where((F.col("_n") <= limit) | ~home | (F.col("_turn") == 1))
+    c = c.withColumn("pick", F.row_number().over(W.partitionBy(site).orderBy(~home, F.col("_turn"), F.col(kind) == "other", kind, order)))
     return c.where(F.col("pick") <= limit).drop("_n", "_turn")
 
 
 def budgeted(df: DataFrame, size: Column, most: int, site: str = "site", order: str = "ordinal") -> DataFrame:
     """The rows in order until the sizes before a row have used up the budget."""
-    before = F.sum(size).over(W.partitionBy(site).orderBy(order).rowsBetween(W.unboundedPreceding, -1))
-    return df.withColumn("used_before", F.coalesce(before, F.lit(0))).where(F.col("used_before") < most)
+    return before(df, site, order, {"used_before": size}).where(F.col("used_before") < most)
 
 
 def affordable(most: Column, total: Column, elapsed: Column, delay: Column) -> Column:
@@ -67,9 +95,9 @@ def affordable(most: Column, total: Column, elapsed: Column, delay: Column) -> C
 
 def every_kth(df: DataFrame, keep: int, key: str = "site", order: str = "ordinal") -> DataFrame:
     """Rows at equal steps, the first `keep` of them."""
-    w = W.partitionBy(key)
-    r = df.withColumn("_r", F.row_number().over(w.orderBy(order)) - 1).withColumn("_step", F.greatest(F.lit(1), F.floor(F.count(F.lit(1)).over(w) / keep)))
-    return r.where((F.col("_r") % F.col("_step") == 0) & (F.col("_r") / F.col("_step") < keep)).drop("_r", "_step")
+    step = df.groupBy(key).agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) / keep)).alias("_step"))
+    r = before(df, key, order, {"_r": F.lit(1)}).join(step, key)
+    return r.where((F.col("_r") % F.col("_step") == 0) & (F.col("_r") / F.col("_step") < keep)).select(*df.columns)
 
 
 def chrome_links(links: DataFrame, site: str = "site", page: str = "page_id", href: str = "href") -> DataFrame:
@@ -89,3 +117,11 @@ def bins(df: DataFrame, value: str, table: DataFrame) -> DataFrame:
     """(band, n) of a range join to a short table of (band, low, high); empty bins count 0."""
     found = df.select(value).join(small(table), F.col(value).between(F.col("low"), F.col("high"))).groupBy("band").agg(F.count(F.lit(1)).alias("n"))
     return table.select("band").join(found, "band", "left").select("band", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def contextual_links(links: DataFrame, site: str = "site", page: str = "page_id", own: str = "own", href: str = "href") -> DataFrame:
+    """(page, n_links): distinct targets of a page's links (with its own address in `own`) that are neither
+    the page itself nor on most pages of the site; pages without one have no row."""
+    each = links.select(site, page, own, href).distinct()
+    rest = each.join(chrome_links(each, site, page, href).select(site, href), [site, href], "left_anti").where(F.col(href) != F.col(own))
+    return rest.groupBy(page).agg(F.count(F.lit(1)).alias("n_links"))

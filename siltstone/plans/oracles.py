@@ -69,7 +69,7 @@ READINESS_PAGES = f"WITH {SCORED} SELECT page_id, words, headings, round(score,
 READINESS_ROLLUP = f"""
 WITH {SCORED}
 SELECT site, count(*) AS pages, round(min(score), 3) AS lowest, round(list_sort(list(score))[CAST(count(*) // 2 AS INTEGER) + 1], 3) AS median, round(max(score), 3) AS highest, count(*) FILTER (WHERE score < 0.45) AS weak_or_worse,
-  {', '.join(f"count(*) FILTER (WHERE {RATING} = '{n}') AS {n}" for n in ('strong', 'adequate', 'weak', 'very_weak'))}
+  {', '.join(f"count(*) FILTER (WHERE {RATING} = '{n}') AS {n}" for n in ('strong', 'adequate', 'weak', 'very_weak'))}, round(round(avg(score), 4), 3) AS mean
 FROM scored GROUP BY site
 """
 SITE_THRESHOLDS = f"""
@@ -86,15 +86,15 @@ HTML_STRUCTURE = f"""
 SELECT page_id, {_words('text')} AS total_word_count, coalesce(len(headings), 0) AS heading_count, coalesce(len(paragraphs), 0) AS paragraph_count, coalesce(len(list_items), 0) AS list_item_count, cardinality(meta) AS meta_keys, coalesce(lang, '') AS lang FROM html_docs
 """
 _FAMILY = "CASE " + " ".join(f"WHEN regexp_matches(regexp_replace(lower({{h}}), '^www\\.', ''), {_q(p)}) THEN '{n}'" for n, p in hosts.family_patterns()) + " ELSE 'other' END"
-_KNOWN = [s for _, suffixes in fixed.HOST_FAMILIES for s in suffixes.split()]
+_KNOWN = [s for _, suffixes in fixed.HOST_FAMILIES for s in suffixes]
 HOST_FAMILIES = f"""
 WITH m AS (SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'www.' || k WHEN 1 THEN regexp_extract(host, '^([^.]+)', 1) || k ELSE host END AS made_host FROM (SELECT page_id, host, [{', '.join(map(_q, _KNOWN))}][CAST(page_id % {len(_KNOWN)} AS INTEGER) + 1] AS k FROM validated_urls))
 SELECT page_id, made_host, {_FAMILY.replace('{h}', 'made_host')} AS family FROM m
 """
 LINK_PROFILE = """
 WITH l AS (SELECT page_id, unnest(links) AS l FROM html_docs)
-SELECT registrable_domain, count(*) AS links, count(*) FILTER (WHERE l.internal) AS internal, count(*) FILTER (WHERE l.nofollow) AS nofollow, count(DISTINCT l.href) AS targets, 0 AS known_hosts FROM l JOIN validated_urls USING (page_id) GROUP BY 1
-"""
+SELECT registrable_domain, count(*) AS links, count(*) FILTER (WHERE l.internal) AS internal, count(*) FILTER (WHERE l.nofollow) AS nofollow, count(DISTINCT l.href) AS targets, count(*) FILTER (WHERE {_FAMILY} <> 'other') AS known_hosts FROM l JOIN validated_urls USING (page_id) GROUP BY 1
+""".replace("{_FAMILY}", _FAMILY.replace("{h}", "regexp_extract(l.href, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1)"))
 _HREF = f"{SCHEME} || '://' || lower({AUTHORITY}) || CASE WHEN rtrim({PATH}, '/') = '' THEN '/' ELSE rtrim({PATH}, '/') END"
 CHROME_LINKS = f"""
 WITH l AS (SELECT page_id, unnest(list_transform(links, lambda x: x.href)) AS url FROM html_docs),
@@ -148,9 +148,26 @@ FROM fetch_results JOIN validated_urls USING (page_id) GROUP BY 1
 EVENTS_BY_WINDOW = "SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 2) AS value FROM events GROUP BY 1, 2"
 
 
+TEXT_DATES = """
+WITH t AS (SELECT o_orderkey, [strftime(o_orderdate, '%B %-d, %Y'), strftime(o_orderdate, '%-d %b %Y'), strftime(o_orderdate, '%Y-%m-%d')] AS found FROM orders)
+SELECT o_orderkey, CAST(k - 1 AS INTEGER) AS no, found[k] AS date FROM (SELECT o_orderkey, found, unnest([1, 2, 3]) AS k FROM t)
+"""
+PAGE_DATES = f"""
+WITH e AS (SELECT page_id, 'p' AS k, unnest(list_concat([{', '.join(f"meta['{m}']" for m in fixed.PUBLISHED_META)}], coalesce(time_elements, []))) AS raw FROM html_docs
+  UNION ALL SELECT page_id, 'm', unnest([{', '.join(f"meta['{m}']" for m in fixed.MODIFIED_META)}]) FROM html_docs),
+raw AS (SELECT page_id, json_ld[i] AS t FROM (SELECT page_id, json_ld, unnest(range(1, len(json_ld) + 1)) AS i FROM html_docs)),
+val AS (SELECT page_id, t::JSON AS v FROM raw WHERE json_valid(t) AND NOT regexp_matches(t, ',\\s*[}}\\]]')),
+obj AS (SELECT page_id, unnest(CASE WHEN json_type(v) = 'ARRAY' THEN json_extract(v, '$[*]') ELSE [v] END) AS v FROM val),
+node AS (SELECT page_id, unnest(CASE WHEN json_type(v, '$."@graph"') = 'ARRAY' THEN list_concat(json_extract(v, '$."@graph"[*]'), [v]) ELSE [v] END) AS v FROM obj),
+a AS (SELECT page_id, k, raw FROM e UNION ALL SELECT page_id, 'p', unnest([{', '.join(f"v ->> '$.{k}'" for k in fixed.PUBLISHED_LD)}]) FROM node UNION ALL SELECT page_id, 'm', unnest([{', '.join(f"v ->> '$.{k}'" for k in fixed.MODIFIED_LD)}]) FROM node),
+d AS (SELECT page_id, k, CASE WHEN regexp_matches(trim(raw), '^\\d{{4}}-\\d\\d-\\d\\d') THEN CAST(try_cast(CASE WHEN regexp_matches(trim(raw), '(Z|[+-]\\d\\d:?\\d\\d)$') AND length(trim(raw)) > 10 THEN trim(raw) ELSE trim(raw) || CASE WHEN length(trim(raw)) = 10 THEN ' 00:00:00+00' ELSE '+00' END END AS TIMESTAMPTZ) AS TIMESTAMPTZ) END AS moment FROM a),
+g AS (SELECT page_id, min(moment) FILTER (WHERE k = 'p') AS published, max(moment) FILTER (WHERE k = 'm') AS modified FROM d GROUP BY page_id)
+SELECT h.page_id, epoch(published)::BIGINT AS published, epoch(modified)::BIGINT AS modified, epoch(greatest(published, modified))::BIGINT AS latest, CAST(floor((epoch(TIMESTAMP '{NOW}') - epoch(greatest(published, modified))) / 86400) AS BIGINT) AS age_days FROM html_docs h LEFT JOIN g USING (page_id)
+"""
+
 def oracle_sql() -> dict[str, str]:
     return {
         "url_parts": URL_PARTS, "page_type_mix": PAGE_TYPE_MIX, "genre_profile": GENRE_PROFILE, "genre_matrix": GENRE_MATRIX, "word_bins": WORD_BINS, "readiness_pages": READINESS_PAGES, "readiness_rollup": READINESS_ROLLUP, "site_thresholds": SITE_THRESHOLDS,
         "claim_sentences": CLAIM_SENTENCES, "html_structure": HTML_STRUCTURE, "link_profile": LINK_PROFILE, "chrome_links": CHROME_LINKS, "host_families": HOST_FAMILIES, "robots_verdicts": ROBOTS_VERDICTS, "sitemap_lastmod_stats": SITEMAP_LASTMOD_STATS,
-        "sitemap_orphans": SITEMAP_ORPHANS, "sample_round_robin": SAMPLE_ROUND_ROBIN, "byte_budget": BYTE_BUDGET, "liveness_stride": LIVENESS_STRIDE, "discovery_union": DISCOVERY_UNION, "response_profile": RESPONSE_PROFILE, "events_by_window": EVENTS_BY_WINDOW,
+        "sitemap_orphans": SITEMAP_ORPHANS, "sample_round_robin": SAMPLE_ROUND_ROBIN, "byte_budget": BYTE_BUDGET, "liveness_stride": LIVENESS_STRIDE, "discovery_union": DISCOVERY_UNION, "response_profile": RESPONSE_PROFILE, "events_by_window": EVENTS_BY_WINDOW, "text_dates": TEXT_DATES, "page_dates": PAGE_DATES,
     }

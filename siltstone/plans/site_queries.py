@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siltstone.functions import dates, fixed, hosts, markup, scores, text, urls
-from siltstone.operators import findings, html, jsonnodes, render, robots, sitemaps, sites
-from siltstone.session import spread, table
+from siltstone.operators import entities, findings, html, jsonnodes, render, robots, sitemaps, sites
+from siltstone.session import spread, table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: The moment that ages are counted to.
@@ -75,12 +76,12 @@ def readiness_pages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def readiness_rollup(spark: SparkSession, d: str) -> DataFrame:
-    r = sites.score_rollup(_scored(spark, d))
-    return r.select("site", "pages", F.round("lowest", 3).alias("lowest"), F.round("median", 3).alias("median"), F.round("highest", 3).alias("highest"), "weak_or_worse", "strong", "adequate", "weak", "very_weak")
+    r = sites.score_rollup(written(_scored(spark, d)))
+    return r.select("site", "pages", F.round("lowest", 3).alias("lowest"), F.round("median", 3).alias("median"), F.round("highest", 3).alias("highest"), "weak_or_worse", "strong", "adequate", "weak", "very_weak", F.round("mean", 3).alias("mean"))
 
 
 def site_thresholds(spark: SparkSession, d: str) -> DataFrame:
-    return sites.calibration(_scored(spark, d)).select("site", "pages", "median_words", "p25_words", "min_words", "max_words", "median_headings", "thin_words", "min_headings")
+    return sites.calibration(written(_scored(spark, d))).select("site", "pages", "median_words", "p25_words", "min_words", "max_words", "median_headings", "thin_words", "min_headings")
 
 
 def claim_sentences(spark: SparkSession, d: str) -> DataFrame:
@@ -89,7 +90,8 @@ def claim_sentences(spark: SparkSession, d: str) -> DataFrame:
 
 
 def text_dates(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.posexplode(text.text_dates(F.col("text"))).alias("no", "date"))
+    made = F.concat(F.lit("Made on "), F.date_format("o_orderdate", "MMMM d, yyyy"), F.lit(", sent "), F.date_format("o_orderdate", "d MMM yyyy"), F.lit("; seen "), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(", not 2024."))
+    return table(spark, d, "orders").select("o_orderkey", F.posexplode(text.text_dates(made)).alias("no", "date"))
 
 
 def raw_signals(spark: SparkSession, d: str) -> DataFrame:
@@ -111,7 +113,7 @@ def html_main_text(spark: SparkSession, d: str) -> DataFrame:
 
 
 def render_faults(spark: SparkSession, d: str) -> DataFrame:
-    f = spread(table(spark, d, "fetch_results").where("body is not null").select("page_id", "body")).select("page_id", "body", render.trapped_chars("body").alias("trapped"), F.inline(F.array(render.signals(F.col("body")))))
+    f = spread(table(spark, d, "fetch_results").where("body is not null").select("page_id", "body")).select("page_id", "body", render.trapped_chars(F.col("body")).alias("trapped"), F.inline(F.array(render.signals(F.col("body")))))
     h = table(spark, d, "html_docs").select("page_id", text.word_count(F.col("text")).alias("words"), F.length("text").alias("text_chars"), "inline_script_chars", "noscript_chars", "title", F.col("meta")["description"].alias("description"), F.coalesce(F.array_size("paragraphs"), F.lit(0)).alias("paragraphs"), "images", "images_missing_alt")
     return render.faults(f.drop("body").join(h, "page_id")).select("page_id", F.inline("faults"))
 
@@ -127,7 +129,7 @@ def chrome_links(spark: SparkSession, d: str) -> DataFrame:
 
 
 def host_families(spark: SparkSession, d: str) -> DataFrame:
-    known = [s for _, suffixes in fixed.HOST_FAMILIES for s in suffixes.split()]
+    known = [s for _, suffixes in fixed.HOST_FAMILIES for s in suffixes]
     suffix = F.get(F.array(*map(F.lit, known)), (F.col("page_id") % len(known)).cast("int"))
     label = F.regexp_extract("host", r"^([^.]+)", 1)
     made = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("www."), suffix)).when(F.col("page_id") % 3 == 1, F.concat(label, suffix)).otherwise(F.col("host"))
@@ -180,10 +182,17 @@ def discovery_union(spark: SparkSession, d: str) -> DataFrame:
 def page_dates(spark: SparkSession, d: str) -> DataFrame:
     h = table(spark, d, "html_docs").select("page_id", "meta", "time_elements")
     raw = lambda keys: F.array_compact(F.array(*(F.col("meta")[k] for k in keys)))
-    each = h.select("page_id", F.explode_outer(F.concat(F.transform(F.concat(raw(fixed.PUBLISHED_META), F.coalesce("time_elements", F.array().cast("array<string>"))), lambda x: F.struct(F.lit("p").alias("k"), x.alias("raw"))), F.transform(raw(fixed.MODIFIED_META), lambda x: F.struct(F.lit("m").alias("k"), x.alias("raw"))))).alias("e"))
+    kinds = lambda c, k: F.transform(c, lambda x: F.struct(F.lit(k).alias("k"), x.alias("raw")))
+    none = F.array().cast("array<string>")
+    each = h.select("page_id", F.explode_outer(F.concat(kinds(F.concat(raw(fixed.PUBLISHED_META), F.coalesce("time_elements", none)), "p"), kinds(raw(fixed.MODIFIED_META), "m"))).alias("e"))
+    nodes = entities.top_level_nodes(table(spark, d, "html_docs"))
+    of = lambda keys: F.array_compact(F.array(*(entities.prop(F.col("node"), k, "string") for k in keys)))
+    declared = nodes.select("page_id", F.explode(F.concat(kinds(of(fixed.PUBLISHED_LD), "p"), kinds(of(fixed.MODIFIED_LD), "m"))).alias("e"))
+    each = each.unionByName(declared)
     each = each.select("page_id", "e.k", dates.parse_date(F.col("e.raw")).alias("at"))
     found = each.groupBy("page_id").agg(F.min(F.when(F.col("k") == "p", F.col("at"))).alias("published"), F.max(F.when(F.col("k") == "m", F.col("at"))).alias("modified"))
-    return found.withColumn("latest", F.greatest("published", "modified")).withColumn("age_days", dates.age_days(F.col("latest"), _now()))
+    found = found.withColumn("latest", F.greatest("published", "modified"))
+    return found.select("page_id", *(F.unix_timestamp(c).alias(c) for c in ("published", "modified", "latest")), dates.age_days(F.col("latest"), _now()).alias("age_days"))
 
 
 def response_profile(spark: SparkSession, d: str) -> DataFrame:
@@ -199,13 +208,17 @@ def jsonld_types(spark: SparkSession, d: str) -> DataFrame:
 
 def findings_report(spark: SparkSession, d: str) -> DataFrame:
     """Thin, unstructured and unevidenced pages as findings by site, reviewed, merged and numbered."""
-    s = _scored(spark, d).join(table(spark, d, "validated_urls").select("page_id", "url"), "page_id")
+    # scored once; all that follows reads the numbers
+    s = written(_scored(spark, d).join(table(spark, d, "validated_urls").select("page_id", "url"), "page_id"))
     thresholds = sites.calibration(s).select("site", "thin_words", F.col("min_headings").alias("least_headings"))
     s = s.join(thresholds, "site").withColumn("page_type", urls.page_type(F.col("url")))
     checks = {"thin_content": (F.col("words") < F.col("thin_words"), 1, "high"), "unstructured_page": (F.col("headings") < F.col("least_headings"), 1, "medium"), "no_evidence_genre": (F.size(text.genres(fixed.POSITIVE_GENRES)) == 0, 2, "medium")}
     flagged = s.select("site", "url", F.explode(F.array_compact(F.array(*(F.when(c, F.lit(k)) for k, (c, _, _) in checks.items())))).alias("check_id"))
     totals = s.groupBy("site").agg(F.count(F.lit(1)).alias("pages"))
-    f = flagged.groupBy("site", "check_id").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.slice(F.array_sort(F.collect_set("url")), 1, 12)).alias("urls")).join(totals, "site")
+    # the twelve first addresses by a ranked window, which Spark cuts before the shuffle
+    ranked = flagged.select("site", "check_id", "url").withColumn("r", F.row_number().over(W.partitionBy("site", "check_id").orderBy("url"))).where("r <= 12")
+    shown = ranked.groupBy("site", "check_id").agg(F.array_sort(F.collect_set("url")).alias("urls"))
+    f = flagged.groupBy("site", "check_id").agg(F.count(F.lit(1)).alias("n")).join(shown, ["site", "check_id"]).join(totals, "site")
     level, severity = F.lit(1), F.lit("low")
     for k, (_, lv, sv) in checks.items():
         level, severity = F.when(F.col("check_id") == k, lv).otherwise(level), F.when(F.col("check_id") == k, sv).otherwise(severity)

@@ -40,7 +40,7 @@ def spread(df: DataFrame) -> DataFrame:
     """The frame over all cores, where a source of at most SPREAD_BYTES is read in fewer parts than there
     are cores; larger sources are never shuffled for this."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bitLength() > SPREAD_BYTES.bit_length():
+    if df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() > SPREAD_BYTES:
         return df
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 

@@ -1 +1 @@
-
+"""Sources of pages: saved tables, compressed and undecoded bodies."""

@@ -13,8 +13,8 @@ def one(spark, value, f, kind="string"):
     ("raw", "code"),
     [
         ("", "empty"), ("  ", "empty"), (None, "empty"), ("ftp://a.com/", "bad_scheme"), ("https://u:p@a.com/", "embedded_credentials"), ("https:///x", "no_host"), ("http://169.254.169.254/", "blocked_host"), ("http://localhost/", "blocked_host"), ("https://a.internal/", "reserved_suffix"),
-        ("http://2130706433/", "obfuscated_ip"), ("http://0x7f000001/", "obfuscated_ip"), ("http://0177.0.0.1/", "obfuscated_ip"), ("http://192.168.1.1/", "private_ip"), ("http://100.64.0.1/", "private_ip"), ("https://single/", "not_fqdn"), ("https://-a.com/", "bad_label"), ("https://a.com:22/", "bad_port"),
-        ("https://a.com/" + "x" * 2100, "too_long"), ("a.com", None), ("//a.com/x", None), ("<https://a.com>", None), ("https://a.com:8443/x?y#z", None), ("http://8.8.8.8/", None),
+        ("http://2130706433/", "obfuscated_ip_decimal"), ("http://0x7f000001/", "obfuscated_ip_hex"), ("http://0177.0.0.1/", "obfuscated_ip_octal"), ("http://192.168.1.1/", "private_ip"), ("http://100.64.0.1/", "private_ip"), ("https://single/", "not_fqdn"), ("https://-a.com/", "bad_label"), ("https://a.com:22/", "bad_port"),
+        ("https://a.com/" + "x" * 2100, "too_long"), ("a.com", None), ("//a.com/x", None), ("<https://a.com>", None), ("http://[fd00::1]/", "private_ip"), ("http://[fe80::1]/", "private_ip"), ("http://[::1]/", "blocked_host"), ("http://[::ffff:127.0.0.1]/", "private_ip"), ("http://[64:ff9b::7f00:1]/", "private_ip"), ("http://[64:ff9b::a9fe:a9fe]/", "private_ip"), ("http://[64:ff9b::c0a8:101]/", "private_ip"), ("http://[2606:4700::1111]/", None), ("http://100.100.100.200/", "blocked_host"), ("http://172.16.0.1/", "private_ip"), ("file:///etc/passwd", "bad_scheme"), ("gopher://x.com/", "bad_scheme"), ("javascript:alert(1)", "not_fqdn"), ("http://box.local/", "reserved_suffix"), ("http://0.0.0.0/", "blocked_host"), ("https://a..com/", "bad_idna"), ("https://münchen.de/", None), ("  https://example.com  ", None), ("https://sub.domain.co.uk/a?q=1", None), ("http://neverssl.com/", None), ("https://www.adobe.com/products", None), ("https://a.com:8443/x?y#z", None), ("http://8.8.8.8/", None),
     ],
 )
 def test_reject_code(spark, raw, code):
@@ -31,7 +31,7 @@ def test_page_type(spark, url, kind):
     assert one(spark, url, urls.page_type) == kind
 
 
-@pytest.mark.parametrize(("ip", "public"), [("8.8.8.8", True), ("64:ff9b::808:808", True), ("64:ff9b::7f00:1", False), ("::ffff:10.0.0.1", False), ("100.64.0.1", False), ("nonsense", None), ("2606:4700::1111", True)])
+@pytest.mark.parametrize(("ip", "public"), [("8.8.8.8", True), ("64:ff9b::808:808", True), ("64:ff9b::7f00:1", False), ("::ffff:10.0.0.1", False), ("100.64.0.1", False), ("nonsense", None), ("2606:4700::1111", True), ("64:ff9b::23be:6b3", True), ("64:ff9b::a9fe:a9fe", False), ("64:ff9b::c0a8:101", False), ("64:ff9b::6440:101", False), ("2002:7f00:1::", False), ("2001:0:1:2:3:4:f5ff:fffe", False), ("2001:db8::1", False), ("fe80::1%eth0", False), ("::", False), ("ff02::1", False), ("1:2:3:4:5:6:7", None), ("1::2::3", None), ("256.1.1.1", None), ("192.0.0.9", True), (None, None)])
 def test_public_ip(spark, ip, public):
     assert one(spark, ip, urls.is_public_ip) is public
 
@@ -39,6 +39,8 @@ def test_public_ip(spark, ip, public):
 def test_canonical_keys(spark):
     assert one(spark, "HTTP://A.com:80/x?q#f", urls.canonical) == "http://a.com/x?q"
     assert one(spark, "https://a.com/x/#f", urls.dedupe_key) == "https://a.com/x"
+    assert one(spark, "https://a.com/a%20b%41/ü?q=%20", urls.canonical) == "https://a.com/a%20bA/%C3%BC?q=%20"
+    assert one(spark, "https://A.com/x/?q", urls.robots_url) == "https://a.com/robots.txt" and one(spark, "https://a.com/x", urls.other_scheme) == "http://a.com/x" and one(spark, "www.a.com", urls.other_host) == "a.com" and one(spark, "a.com", urls.other_host) == "www.a.com"
     assert one(spark, "https://A.com/x/?q", urls.href_key) == "https://a.com/x"
     assert one(spark, "https://a.com//x/y/", urls.path_depth) == 2
 
@@ -85,6 +87,7 @@ def test_dates(spark):
     w3c = lambda x: one(spark, x, dates.w3c_date)
     assert w3c("2026-06").valid and str(w3c("2024-01-02T03:04:05+01:00").parsed) == "2024-01-02 02:04:05" and not w3c("2024/01/02").valid and w3c("").valid and w3c(None).parsed is None and not w3c("2024-13-01").valid
     parse = lambda x: one(spark, x, dates.parse_date)
+    assert str(parse("2024-05-06T07:08:09+02:00")) == "2024-05-06 05:08:09" and str(parse("2024-05-06 07:08")) == "2024-05-06 07:08:00" and str(parse("Mon, 06 May 2024 10:00:00 GMT")) == "2024-05-06 10:00:00" and str(parse("Mon, 06 May 2024 10:00:00 +0200")) == "2024-05-06 08:00:00" and str(parse("31/12/2023")) == "2023-12-31 00:00:00" and str(parse("2024-05")) == "2024-05-01 00:00:00" and str(parse("2024")) == "2024-01-01 00:00:00" and parse("Feb 30, 2024") is None and str(parse("2024-05-06T07:08:09.5Z")) == "2024-05-06 07:08:09.500000" and str(parse("May 3, 2024")) == "2024-05-03 00:00:00" and str(parse("2024-05-06T07Z")) == "2024-05-06 07:00:00"
     assert str(parse("3 March 2024")) == "2024-03-03 00:00:00" and str(parse("02/03/2024")) == "2024-02-03 00:00:00" and parse("abc") is None and parse(None) is None
 
 

@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from siltstone.operators import findings, render, robots, sitemaps, sites
+from siltstone.operators import findings, render, reports, robots, sitemaps, sites
 
 TEXT = "# c\nUser-agent: A\nUser-agent: b\nDisallow: /x\nAllow: /x/y$\nCrawl-delay: no\nUser-agent: *\nSitemap: https://s\nDisallow: /\nnonsense\n"
 
@@ -40,7 +40,7 @@ def test_sitemaps(spark):
 
 def test_render_faults(spark):
     html = ['<div id="root"></div>', "<p>" + "word " * 300 + "</p>", '<script>window.__NEXT_DATA__ = {"a": "' + "some text here " * 60 + '"}</script>', '<a href="#/x"></a> react-router react-dom/']
-    p = spark.createDataFrame([(i, h) for i, h in enumerate(html)], "id int, body string").select("id", render.trapped_chars("body").alias("trapped"), F.inline(F.array(render.signals(F.col("body")))), F.lit("t").alias("title"), F.lit(None).cast("string").alias("description"), F.when(F.col("id") == 1, 300).otherwise(0).alias("words"), F.when(F.col("id") == 1, 1500).otherwise(0).alias("text_chars"), *(F.lit(0).alias(x) for x in ("inline_script_chars", "noscript_chars", "paragraphs", "images", "images_missing_alt")))
+    p = spark.createDataFrame([(i, h) for i, h in enumerate(html)], "id int, body string").select("id", render.trapped_chars(F.col("body")).alias("trapped"), F.inline(F.array(render.signals(F.col("body")))), F.lit("t").alias("title"), F.lit(None).cast("string").alias("description"), F.when(F.col("id") == 1, 300).otherwise(0).alias("words"), F.when(F.col("id") == 1, 1500).otherwise(0).alias("text_chars"), *(F.lit(0).alias(x) for x in ("inline_script_chars", "noscript_chars", "paragraphs", "images", "images_missing_alt")))
     got = {r.id: {f.code for f in r.faults} for r in render.faults(p).collect()}
     assert got == {0: {"empty_shell"}, 1: set(), 2: {"state_blob"}, 3: {"thin_served_html", "noscript_gap", "client_routing"}}
 
@@ -79,10 +79,10 @@ def test_merge_number_validate(spark):
     m = findings.merged(f)
     assert {(r.finding_no, tuple(r.consequences or ())) for r in m.collect()} == {(1, ("Thin",)), (3, ())}
     n = findings.numbered(m)
-    assert {(r.finding_no, r.id) for r in n.collect()} == {(1, "F-001"), (3, "F-002")} and findings.validate(n).count() == 0
+    assert {(r.finding_no, r.id) for r in n.collect()} == {(1, "F-001"), (3, "F-002")} and reports.row_errors(n).count() == 0
     c = findings.severity_counts(n).first()
     assert (c.critical, c.high, c.medium, c.low, c.info, c.total) == (1, 1, 0, 0, 0, 2)
-    assert {r.error for r in findings.validate(n.withColumn("severity", F.lit("bad"))).collect()} >= {"unknown severity"}
+    assert {r.error for r in reports.row_errors(n.withColumn("severity", F.lit("bad"))).collect()} >= {"unknown severity"}
 
 
 def test_streams(spark, tmp_path):
