@@ -21,22 +21,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.functions.urls import let
 from siltstone.llm import phrases
 
 
-def _pattern(words: set[str]) -> str:
-    """Any of the words as a whole; tried by first letter, so that a word costs its letter's few."""
-    by_letter: dict[str, list[str]] = {}
-    for w in sorted(words, key=lambda w: (-len(w), w)):
-        by_letter.setdefault(w[0], []).append(w[1:])
-    return r"(?<!\p{L})(?:" + "|".join(f"{a}(?:{'|'.join(rest)})" for a, rest in sorted(by_letter.items())) + r")(?!\p{L})"
-
-
 # a word that ties clauses in one language and noun phrases in another counts as the latter
 NOMINAL_WORDS = {w for words in phrases.NOMINAL.values() for w in words.split()}
 CLAUSAL_WORDS = {w for words in phrases.CLAUSAL.values() for w in words.split()} - NOMINAL_WORDS
-NOMINAL, CLAUSAL = _pattern(NOMINAL_WORDS), _pattern(CLAUSAL_WORDS)
-FILLER = r"(?<!\p{L})(?:" + phrases.FILLER_WORDS.replace(" ", "|") + r")(?!\p{L})"
 MESSAGE = f"{phrases.ERRORS}|{phrases.SCRIPTS}"
 MESSAGE_WORDS = 20
 CLOSING = r"[.!?…。！？][\"'”’»)\]]*$"
@@ -44,7 +35,7 @@ BULLET = r"^\s*(?:[-*•‣▪◦·»–]|\d{1,3}[.)])\s"
 #: letters of scripts that put no space between words
 UNSPACED = r"[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]+"
 #: a word that begins as common words do; scripts without case always
-COMMON_CASE = r"(?<!\S)[^\s\p{L}]*[\p{Ll}\p{Lo}]"
+COMMON_CASE = r"^[^\p{L}]*[\p{Ll}\p{Lo}]"
 OPENING = r"^[^\p{L}\p{N}]*[\p{Lu}\p{Lt}\p{Lo}]"
 
 
@@ -70,48 +61,63 @@ class Rules:
     doubtful: float = 0.4
 
 
-def is_filler(line: Column) -> Column:
-    """Filler words, or marks of unfilled templates; the costly pattern runs only where it can match."""
-    low = F.lower(line)
+def is_filler(low: Column, runs: Column) -> Column:
+    """Filler words among a lower-case line's words, or marks of unfilled templates; the costly pattern runs
+    only where it can match."""
     can = low.rlike(r"[{}\[\]@#%|_*<>]")
     for word in ("undefined", "xxx-", "sample text", "goes here", "todo:"):
         can = can | F.contains(low, F.lit(word))
-    return low.rlike(FILLER) | (can & low.rlike(f"(?i){phrases.UNFILLED}"))
+    return F.exists(runs, lambda w: w.isin(*phrases.FILLER_WORDS.split())) | (can & low.rlike(f"(?i){phrases.UNFILLED}"))
 
 
 def word_total(line: Column) -> Column:
     return F.size(F.filter(F.split(line, r"\s+"), lambda w: w != ""))
 
 
+def _features(line: Column, more: bool) -> Column:
+    """Words and runs of letters are cut once; sets of words are searched by hash, so that a word costs the
+    same however many there are; costly patterns run only where they can decide."""
+    size = lambda words, keep: F.size(F.filter(words, keep))
+
+    def features(x: Column) -> Column:
+        low, words, runs = x["low"], x["words"], x["runs"]
+        closed = F.rtrim(line).rlike(CLOSING)
+        kind = F.struct(
+            F.size(words).alias("words"),
+            F.length(F.array_join(runs, "")).alias("letters"),
+            F.length(F.array_join(words, "")).alias("visible"),
+            size(runs, lambda w: w.isin(*NOMINAL_WORDS)).alias("nominal"),
+            size(runs, lambda w: w.isin(*CLAUSAL_WORDS)).alias("clausal"),
+            F.when(closed, size(words, lambda w: w.rlike(COMMON_CASE))).otherwise(0).alias("lower"),
+            (closed & line.rlike(OPENING) & ~line.rlike(r"[:;/|=\d]")).alias("whole"),
+            F.when(F.octet_length(line) > 2 * F.length(line), F.length(F.regexp_replace(line, UNSPACED, ""))).otherwise(0).alias("unspaced"),
+            closed.alias("closed"),
+            is_filler(low, runs).alias("filler"),
+            F.when(F.size(words) <= MESSAGE_WORDS, low.rlike(MESSAGE)).otherwise(F.lit(False)).alias("message"),
+        )
+        if not more:
+            return kind
+        rest = F.struct(
+            size(words, lambda w: w.rlike(r"\p{L}")).alias("alphabetic"),
+            F.regexp_count(line, F.lit(r"#|…|\.\.\.")).alias("symbols"),
+            F.length(line).alias("size"),
+            line.rlike(BULLET).alias("bullet"),
+            F.rtrim(line).rlike(r"(?:…|\.\.\.)$").alias("ellipsis"),
+        )
+        return F.struct(kind.alias("k"), rest.alias("m"))
+
+    cut = lambda low: F.struct(low.alias("low"), F.split(low, r"[^\p{L}]+").alias("runs"), F.filter(F.split(line, r"\s+"), lambda w: w != "").alias("words"))
+    return let(let(F.lower(line), cut), features)
+
+
 def kind_features(line: Column) -> Column:
-    """What `line_kind` needs of a line. Costly patterns run only where they can decide."""
-    low, words = F.lower(line), word_total(line)
-    closed = F.rtrim(line).rlike(CLOSING)
-    return F.struct(
-        words.alias("words"),
-        F.length(F.regexp_replace(line, r"[^\p{L}]+", "")).alias("letters"),
-        F.length(F.regexp_replace(line, r"\s+", "")).alias("visible"),
-        F.regexp_count(low, F.lit(NOMINAL)).alias("nominal"),
-        F.regexp_count(low, F.lit(CLAUSAL)).alias("clausal"),
-        F.when(closed, F.regexp_count(line, F.lit(COMMON_CASE))).otherwise(0).alias("lower"),
-        (closed & line.rlike(OPENING) & ~line.rlike(r"[:;/|=\d]")).alias("whole"),
-        F.when(F.octet_length(line) > 2 * F.length(line), F.length(F.regexp_replace(line, UNSPACED, ""))).otherwise(0).alias("unspaced"),
-        closed.alias("closed"),
-        is_filler(line).alias("filler"),
-        F.when(words <= MESSAGE_WORDS, low.rlike(MESSAGE)).otherwise(F.lit(False)).alias("message"),
-    )
+    """What `line_kind` needs of a line."""
+    return _features(line, False)
 
 
 def line_features(line: Column) -> Column:
     """`kind_features` and what the published statistics need of a line, in one struct."""
-    more = F.struct(
-        F.regexp_count(line, F.lit(r"(?<!\S)[^\s\p{L}]*\p{L}")).alias("alphabetic"),
-        F.regexp_count(line, F.lit(r"#|…|\.\.\.")).alias("symbols"),
-        F.length(line).alias("size"),
-        line.rlike(BULLET).alias("bullet"),
-        F.rtrim(line).rlike(r"(?:…|\.\.\.)$").alias("ellipsis"),
-    )
-    return F.struct(kind_features(line).alias("k"), more.alias("m"))
+    return _features(line, True)
 
 
 def line_kind(f: Column) -> Column:
