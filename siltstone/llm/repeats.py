@@ -44,7 +44,7 @@ def line_form(entry: Column) -> Column:
 def _cuts(data: np.ndarray, within: np.ndarray) -> np.ndarray:
     """Whether a chunk ends at each byte, by the rolling hash of the last WINDOW bytes."""
     rolling, gear = np.zeros(len(data), np.uint32), _GEAR[data]
-    for k in range(WINDOW):
+    for k in range(min(WINDOW, len(data))):
         rolling[k:] += gear[: len(data) - k] << np.uint32(k) if k else gear
     return ((rolling >> np.uint32(WINDOW - CUT_BITS)) & np.uint32((1 << CUT_BITS) - 1) == 0) & (within >= WINDOW)
 
