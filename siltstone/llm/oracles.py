@@ -38,6 +38,25 @@ SELECT page_id FROM s WHERE (other >= {_R.least_no_sentence} OR seen >= {_R.leas
   AND (other > {_R.no_sentence} * words OR seen > {_R.no_sentence} * visible OR (other > {_R.doubtful} * words AND {' + '.join(f'CAST({x} AS INTEGER)' for x in _FORM.values())} >= {_R.published}))
 """
 
+_RATES = {
+    "mean_word_length": ("visible", "words"), "symbol_ratio": ("symbols", "words"), "letter_share": ("letters", "visible"), "alphabetic_share": ("alphabetic", "words"), "stop_share": ("stops", "words"), "closed_lines": ("closed", "lines"),
+    "bullet_lines": ("bullets", "lines"), "ellipsis_lines": ("ellipses", "lines"), "short_lines": ("short", "lines"), "no_sentence_share": ("other", "words"), "no_sentence_visible_share": ("seen", "visible"),
+}
+_COUNTED = lambda c: f"coalesce(list_sum(list_transform({c}, lambda e: len(list_filter(regexp_split_to_array(coalesce(e, ''), '\\s+'), lambda w: w <> '')))), 0)"
+_P1_SUMS = P1_FOUND[: P1_FOUND.index("SELECT page_id FROM s WHERE")].replace("sum(visible) AS visible,", "sum(visible) AS visible, sum(letters) AS letters,")
+_HOLDS = {
+    "too_few_words": f"coalesce(words, 0) < {_R.least_words}", "too_many_words": f"words > {_R.most_words}", **{n: f"words > 0 AND ({c})" for n, c in _FORM.items()},
+    "no_sentences": P1_FOUND[P1_FOUND.index("(other >=") :],
+}
+P1_STATISTICS = f"""{_P1_SUMS},
+l AS (SELECT page_id, coalesce(len(paragraphs), 0) AS n_paragraphs, coalesce(len(list_items), 0) AS n_list_items, {_COUNTED('paragraphs')} AS paragraph_words, {_COUNTED('list_items')} AS list_words FROM html_docs)
+SELECT l.page_id, coalesce(lines, 0) AS lines, coalesce(words, 0) AS words, coalesce(visible, 0) AS visible, coalesce(stops, 0) AS stop_words, coalesce(other, 0) AS no_sentence_words, coalesce(seen, 0) AS no_sentence_visible,
+  {', '.join(f"round(CASE WHEN coalesce({b}, 0) > 0 THEN {a} / {b}::DOUBLE ELSE 0.0 END, 4) AS {n}" for n, (a, b) in _RATES.items())},
+  n_paragraphs, n_list_items, paragraph_words, list_words, round(CASE WHEN list_words + paragraph_words > 0 THEN list_words / (list_words + paragraph_words)::DOUBLE ELSE 0.0 END, 4) AS list_share,
+  concat_ws(',', {', '.join(f"CASE WHEN {c} THEN '{n}' END" for n, c in _HOLDS.items())}) AS failures
+FROM l LEFT JOIN s USING (page_id)
+"""
+
 P7_FOUND = """
 WITH entry AS (
   SELECT page_id, registrable_domain AS source, CAST(i - 1 AS INTEGER) AS para_no,
@@ -50,6 +69,11 @@ hot AS (
 SELECT DISTINCT page_id, para_no FROM entry JOIN hot USING (source, line)
 """
 
+P7_CLEAN = f"""
+WITH cut AS (SELECT page_id, list(para_no) AS nos FROM ({P7_FOUND}) GROUP BY page_id)
+SELECT page_id, array_to_string(CASE WHEN nos IS NULL THEN paragraphs ELSE list_transform(list_filter(range(1, len(paragraphs) + 1), lambda i: NOT list_contains(nos, CAST(i - 1 AS INTEGER))), lambda i: paragraphs[i]) END, '\n') AS paragraphs, CAST(coalesce(len(nos), 0) AS INTEGER) AS n_cut FROM html_docs LEFT JOIN cut USING (page_id)
+"""
+
 P9_FOUND = """
 WITH doc AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
 item AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM eval_items WHERE text IS NOT NULL),
@@ -60,4 +84,4 @@ SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_FOUND, "p7_found": P7_FOUND, "p9_found": P9_FOUND}
+    return {"p1_found": P1_FOUND, "p1_statistics": P1_STATISTICS, "p7_clean": P7_CLEAN, "p7_found": P7_FOUND, "p9_found": P9_FOUND}

@@ -18,7 +18,9 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.statistics(table(spark, sf_dir, "html_docs"))
+    """Every statistic; rates to four places, failures as one text."""
+    s = quality.statistics(table(spark, sf_dir, "html_docs"))
+    return s.select(*(F.array_join(c, ",").alias(c) if c == "failures" else F.round(c, 4).alias(c) if kind == "double" else c for c, kind in s.dtypes))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +55,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = repeats.without_repeats(table(spark, sf_dir, "html_docs").select("page_id", "paragraphs"), table(spark, sf_dir, "validated_urls"))
-    return cut.select("page_id", "paragraphs", "n_cut")
+    return cut.select("page_id", F.array_join("paragraphs", "\n").alias("paragraphs"), "n_cut")
 
 
 def p7_cut(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -171,7 +171,7 @@ def test_clean_queries_cut_what_is_found(spark):
     for r in run("p7_found"):
         cut.setdefault(r.page_id, set()).add(r.para_no)
     clean = run("p7_clean")
-    want = {p: None if x is None else [e for i, e in enumerate(x) if i not in cut.get(p, ())] for p, x in before.items()}
+    want = {p: None if x is None else "\n".join(e for i, e in enumerate(x) if i not in cut.get(p, ()) and e is not None) for p, x in before.items()}
     assert cut and {r.page_id: r.paragraphs for r in clean} == want and all(r.n_cut == len(cut.get(r.page_id, ())) for r in clean)
     leaky, texts = {r.doc_id for r in run("p9_found")}, run("p9_clean")
     assert leaky and {r.doc_id for r in texts if r.leaked_words} == leaky == {r.doc_id for r in run("p9_spans")}
