@@ -165,9 +165,62 @@ g AS (SELECT page_id, min(moment) FILTER (WHERE k = 'p') AS published, max(momen
 SELECT h.page_id, epoch(published)::BIGINT AS published, epoch(modified)::BIGINT AS modified, epoch(greatest(published, modified))::BIGINT AS latest, CAST(floor((epoch(TIMESTAMP '{NOW}') - epoch(greatest(published, modified))) / 86400) AS BIGINT) AS age_days FROM html_docs h LEFT JOIN g USING (page_id)
 """
 
+_NAMED = lambda patterns: "concat_ws(',', " + ", ".join(f"CASE WHEN regexp_matches(body, {_q('(?i)' + p)}) THEN {_q(n)} END" for n, p in patterns.items()) + ")"
+_HAS = lambda p: f"regexp_matches(body, {_q('(?i)' + p)})"
+_MOUNT = f"({_HAS(fixed.EMPTY_MOUNT)} OR {_HAS(fixed.CLOSED_MOUNT)})"
+_ROUTES = f"({_HAS(fixed.HASH_ROUTE)} AND {_HAS(fixed.CLIENT_ROUTER)})"
+_HEAD = "CASE WHEN contains(lower(body), '</head>') THEN body[:instr(lower(body), '</head>') - 1] ELSE body[:8000] END"
+RAW_SIGNALS = f"""
+SELECT page_id, {_NAMED(fixed.FRAMEWORKS)} AS frameworks, {_NAMED(fixed.STATE_BLOBS)} AS state_blobs, {_MOUNT} AS empty_mount, {_count('body', fixed.SKELETON)} AS skeletons, {_count('body', fixed.LAZY)} AS lazy_markers, {_ROUTES} AS client_routing,
+  len(regexp_extract_all(body, '(?i)<img\\b[^>]*>')) AS images, len(list_filter(regexp_extract_all({_HEAD}, '(?i)<link\\b[^>]*>'), lambda t: regexp_matches(t, '(?i)rel\\s*=\\s*["'']?stylesheet'))) AS stylesheets
+FROM fetch_results WHERE body IS NOT NULL
+"""
+_PLAIN = "regexp_replace(regexp_replace(regexp_replace(p, '\\\\u[dD][89abAB][0-9a-fA-F]{2}\\\\u[dD][c-fC-F][0-9a-fA-F]{2}', 'x', 'g'), '\\\\u0020', ' ', 'g'), '\\\\(?:u[0-9a-fA-F]{4}|.)', 'x', 'g')"
+_TRAPPED = f"""coalesce(list_sum(list_transform(list_filter(regexp_extract_all(body[:400000], '(?s)<script[^>]*>\\s*(?:window\\.\\w+\\s*=\\s*)?(\\{{.*?\\}})\\s*;?\\s*</script>', 1), lambda p: length(p) >= 40),
+  lambda p: CASE WHEN json_valid(p) AND NOT regexp_matches(p, ',\\s*[}}\\]]') THEN coalesce(list_sum(list_transform(list_filter(regexp_extract_all({_PLAIN}, '"[^"]*"(?:\\s*:)?'), lambda s: NOT ends_with(s, ':') AND length(s) >= 27 AND contains(s, ' ')), lambda s: length(s) - 2)), 0)
+  ELSE coalesce(list_sum(list_transform(regexp_extract_all(p, '"([^"\\\\]{{25,}})"', 1), lambda s: length(s))), 0) END)), 0)"""
+RENDER_FAULTS = f"""
+WITH f AS (SELECT page_id, length(body) AS html_chars, {_TRAPPED} AS trapped, {_MOUNT} AS mount, {_count('body', fixed.SKELETON)} AS skeletons, {_count('body', fixed.LAZY)} AS lazy, {_ROUTES} AS routes, {' OR '.join(_HAS(p) for p in fixed.FRAMEWORKS.values())} AS framed FROM fetch_results WHERE body IS NOT NULL),
+h AS (SELECT page_id, {_words('text')} AS words, length(coalesce(text, '')) AS chars, text IS NULL AS no_text, inline_script_chars AS script, noscript_chars AS noscript, coalesce(title, '') <> '' OR coalesce(meta['description'], '') <> '' AS named, coalesce(len(paragraphs), 0) AS paragraphs, images, images_missing_alt AS unlabelled FROM html_docs),
+s AS (SELECT *, CASE WHEN trapped >= 500 AND words < 120 THEN ['state_blob', 'high'] WHEN mount AND words < 60 THEN ['empty_shell', CASE WHEN trapped < 500 THEN 'critical' ELSE 'high' END] WHEN words < 120 AND NOT no_text AND script > 4 * greatest(1, chars) THEN ['script_heavy_shell', 'high'] WHEN words < 120 AND NOT no_text AND chars / greatest(1, html_chars) < 0.05 THEN ['thin_served_html', 'high'] END AS shell FROM f JOIN h USING (page_id)),
+a AS (SELECT page_id, unnest(list_filter([shell, CASE WHEN shell IS NULL AND words < 100 AND named AND paragraphs = 0 THEN ['meta_only', 'medium'] END, CASE WHEN skeletons >= 3 AND words < 200 THEN ['lazy_content', 'medium'] END, CASE WHEN lazy >= 10 AND images > 0 AND unlabelled / greatest(1, images) > 0.5 THEN ['lazy_media_unlabelled', 'low'] END,
+  CASE WHEN framed AND noscript = 0 AND words < 150 THEN ['noscript_gap', 'medium'] END, CASE WHEN routes THEN ['client_routing', 'high'] END], lambda x: x IS NOT NULL)) AS x FROM s)
+SELECT page_id, x[1] AS code, x[2] AS severity FROM a
+"""
+RENDER_SUMMARY = f"""
+WITH r AS ({RENDER_FAULTS}), p AS (SELECT page_id, registrable_domain AS site, count(r.code) AS n, coalesce(bool_or(severity IN ('critical', 'high')), false) AS blocking FROM fetch_results f JOIN validated_urls v USING (page_id) LEFT JOIN r USING (page_id) WHERE body IS NOT NULL GROUP BY 1, 2),
+c AS (SELECT site, '{{' || array_to_string(list(DISTINCT '"' || code || '":' || n ORDER BY '"' || code || '":' || n), ',') || '}}' AS by_code FROM (SELECT registrable_domain AS site, code, count(*) AS n FROM r JOIN validated_urls USING (page_id) GROUP BY 1, 2) GROUP BY site)
+SELECT p.site, count(*) AS pages, count(*) FILTER (WHERE n > 0) AS faulted, count(*) FILTER (WHERE blocking) AS blocking, round(count(*) FILTER (WHERE n > 0) / count(*), 3) AS fault_rate, coalesce(any_value(by_code), '{{}}') AS by_code FROM p LEFT JOIN c USING (site) GROUP BY p.site
+"""
+SITEMAP_PROBLEMS = f"""
+WITH e AS (SELECT registrable_domain AS site, loc AS url, lastmod FROM sitemap_entries WHERE loc IS NOT NULL),
+f AS (SELECT site, url, lastmod, {HOST} = '' OR NOT ({HOST} = site OR ends_with({HOST}, '.' || site)) AS outside, {SCHEME} AS scheme FROM e),
+s AS (SELECT * FROM ({SITEMAP_LASTMOD_STATS.replace('FROM sitemap_entries)', 'FROM sitemap_entries WHERE loc IS NOT NULL)')})),
+c AS (SELECT site, count(*) - count(DISTINCT url) AS sitemap_duplicates, count(*) FILTER (WHERE outside) AS sitemap_off_scope, count(*) FILTER (WHERE NOT outside AND scheme <> 'https') AS sitemap_scheme_mismatch, count(*) FILTER (WHERE contains(url, '#')) AS sitemap_fragments, count(DISTINCT lastmod) AS v, count(lastmod) AS l FROM f GROUP BY site),
+u AS (SELECT site, unnest(['sitemap_duplicates', 'sitemap_off_scope', 'sitemap_scheme_mismatch', 'sitemap_fragments', 'sitemap_bad_lastmod', 'sitemap_future_lastmod', 'sitemap_stale', 'sitemap_uniform_lastmod', 'sitemap_no_lastmod']) AS code,
+  unnest([sitemap_duplicates, sitemap_off_scope, sitemap_scheme_mismatch, sitemap_fragments, invalid, future, CASE WHEN median_age > 365 AND dated >= 5 THEN median_age END, CASE WHEN v = 1 AND l >= 10 AND dated >= 10 THEN l END, CASE WHEN dated = 0 THEN entries END]) AS n FROM c JOIN s USING (site))
+SELECT site, code, n FROM u WHERE n > 0
+"""
+TREE = """
+raw AS (SELECT page_id, CAST(i - 1 AS VARCHAR) AS i, json_ld[i] AS t FROM (SELECT page_id, json_ld, unnest(range(1, len(json_ld) + 1)) AS i FROM html_docs)),
+tree(page_id, path, parent, v) AS (
+  SELECT page_id, i, '', t::JSON FROM raw WHERE json_valid(t) AND NOT regexp_matches(t, ',\\s*[}\\]]')
+  UNION ALL
+  SELECT page_id, path || '/' || k, CASE WHEN json_type(v) = 'OBJECT' THEN path ELSE parent END, CASE WHEN json_type(v) = 'OBJECT' THEN json_extract(v, '$."' || k || '"') ELSE json_extract(v, '$[' || k || ']') END
+  FROM (SELECT page_id, path, parent, v, unnest(CASE WHEN json_type(v) = 'OBJECT' THEN json_keys(v) WHEN json_type(v) = 'ARRAY' THEN list_transform(range(json_array_length(v)::BIGINT), lambda x: CAST(x AS VARCHAR)) ELSE [] END) AS k FROM tree))"""
+P6_FOUND = f"WITH RECURSIVE {TREE} SELECT DISTINCT page_id, path AS node_path, parent AS parent_path FROM tree WHERE json_type(v) = 'OBJECT'"
+JSONLD_TYPES = f"""
+WITH RECURSIVE {TREE} SELECT regexp_extract(v ->> '$', '([^/#:]*)$', 1) AS type, count(*) AS nodes, count(DISTINCT page_id) AS pages FROM tree WHERE json_type(v) = 'VARCHAR' AND regexp_matches(path, '/@?type(?:/\\d+)?$') GROUP BY 1
+"""
+HTML_HEADINGS = """
+SELECT page_id, len(list_filter(range(2, len(headings) + 1), lambda i: headings[i].level > headings[i - 1].level + 1)) AS heading_skips, array_to_string(list_transform(headings, lambda h: h.level || ' ' || h.text), chr(10)) AS headings FROM html_docs
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "url_parts": URL_PARTS, "page_type_mix": PAGE_TYPE_MIX, "genre_profile": GENRE_PROFILE, "genre_matrix": GENRE_MATRIX, "word_bins": WORD_BINS, "readiness_pages": READINESS_PAGES, "readiness_rollup": READINESS_ROLLUP, "site_thresholds": SITE_THRESHOLDS,
         "claim_sentences": CLAIM_SENTENCES, "html_structure": HTML_STRUCTURE, "link_profile": LINK_PROFILE, "chrome_links": CHROME_LINKS, "host_families": HOST_FAMILIES, "robots_verdicts": ROBOTS_VERDICTS, "sitemap_lastmod_stats": SITEMAP_LASTMOD_STATS,
         "sitemap_orphans": SITEMAP_ORPHANS, "sample_round_robin": SAMPLE_ROUND_ROBIN, "byte_budget": BYTE_BUDGET, "liveness_stride": LIVENESS_STRIDE, "discovery_union": DISCOVERY_UNION, "response_profile": RESPONSE_PROFILE, "events_by_window": EVENTS_BY_WINDOW, "text_dates": TEXT_DATES, "page_dates": PAGE_DATES,
+        "raw_signals": RAW_SIGNALS, "render_faults": RENDER_FAULTS, "render_summary": RENDER_SUMMARY, "sitemap_problems": SITEMAP_PROBLEMS, "p6_found": P6_FOUND, "jsonld_types": JSONLD_TYPES, "html_headings": HTML_HEADINGS,
     }

@@ -188,17 +188,17 @@ SELECT site, count(*) AS pages, count(latest) AS dated, min(age_days) AS newest,
 
 
 def shared_days(spark: SparkSession, d: str) -> DataFrame:
-    """Days on which three pages of a site or more were changed that were published in different years; the
-    day of the fetch stands for the change, which these pages don't declare."""
+    """Times at which three pages of a site or more were changed that were published in different years; the
+    month of the fetch stands for the day of the change, which these pages don't declare."""
     p = site_queries.page_dates(spark, d).where("published is not null").select("page_id", F.year(F.timestamp_seconds("published")).alias("year"))
-    f = table(spark, d, "fetch_results").select("page_id", F.to_date("fetched_at").cast("string").alias("day")).join(p, "page_id")
+    f = table(spark, d, "fetch_results").select("page_id", F.date_format("fetched_at", "yyyy-MM").alias("day")).join(p, "page_id")
     j = f.join(table(spark, d, "validated_urls").select("page_id", F.col("registrable_domain").alias("site")), "page_id")
     return j.groupBy("site", "day").agg(F.count(F.lit(1)).alias("pages"), F.count_distinct("year").alias("years")).where("pages >= 3 and years >= 2")
 
 
 SQL["shared_days"] = f"""
 WITH p AS (SELECT page_id, year(to_timestamp(published)) AS y FROM ({oracles.PAGE_DATES}) WHERE published IS NOT NULL)
-SELECT registrable_domain AS site, strftime(fetched_at, '%Y-%m-%d') AS day, count(*) AS pages, count(DISTINCT y) AS years FROM fetch_results JOIN p USING (page_id) JOIN validated_urls USING (page_id) GROUP BY 1, 2 HAVING count(*) >= 3 AND count(DISTINCT y) >= 2
+SELECT registrable_domain AS site, strftime(fetched_at, '%Y-%m') AS day, count(*) AS pages, count(DISTINCT y) AS years FROM fetch_results JOIN p USING (page_id) JOIN validated_urls USING (page_id) GROUP BY 1, 2 HAVING count(*) >= 3 AND count(DISTINCT y) >= 2
 """
 
 

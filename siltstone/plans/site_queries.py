@@ -106,10 +106,17 @@ def html_structure(spark: SparkSession, d: str) -> DataFrame:
     return p.select("page_id", "s.total_word_count", "s.heading_count", "s.paragraph_count", "s.list_item_count", "meta_keys", F.coalesce("lang", F.lit("")).alias("lang"))
 
 
-def html_main_text(spark: SparkSession, d: str) -> DataFrame:
+def html_headings(spark: SparkSession, d: str) -> DataFrame:
     f = spread(table(spark, d, "fetch_results").where("body is not null").select("page_id", "body", "final_url"))
     p = html.parsed(f)
-    return p.select("page_id", F.col("doc.title").alias("title"), F.length("doc.main_text").alias("main_chars"), html.heading_skips(F.col("doc.headings")).alias("heading_skips"), F.size("doc.links").alias("links"), F.size("doc.json_ld").alias("json_ld"), F.size("doc.json_ld_errors").alias("json_ld_errors"))
+    shown = F.transform("doc.headings", lambda h: F.concat(h["level"].cast("string"), F.lit(" "), h["text"]))
+    return p.select("page_id", html.heading_skips(F.col("doc.headings")).alias("heading_skips"), F.array_join(shown, "\n").alias("headings"))
+
+
+def html_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Title and main region of each served page, as the parser sees them."""
+    f = spread(table(spark, d, "fetch_results").where("body is not null").select("page_id", "body", "final_url"))
+    return html.parsed(f).select("page_id", F.col("doc.title").alias("title"), F.col("doc.main_text").alias("main_text"), F.size("doc.json_ld").alias("json_ld"), F.size("doc.json_ld_errors").alias("json_ld_errors"))
 
 
 def render_faults(spark: SparkSession, d: str) -> DataFrame:
@@ -236,5 +243,5 @@ def events_by_window(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = (url_parts, url_reject_codes, page_type_mix, genre_profile, genre_matrix, word_bins, readiness_pages, readiness_rollup, site_thresholds, claim_sentences, text_dates, raw_signals, html_structure, html_main_text, render_faults, link_profile, chrome_links, host_families, robots_verdicts, sitemap_lastmod_stats, sitemap_problems, sitemap_orphans, sample_round_robin, byte_budget, liveness_stride, discovery_union, page_dates, response_profile, jsonld_types, findings_report, events_by_window)
+    own = (url_parts, url_reject_codes, page_type_mix, genre_profile, genre_matrix, word_bins, readiness_pages, readiness_rollup, site_thresholds, claim_sentences, text_dates, raw_signals, html_structure, html_headings, html_pages, render_faults, link_profile, chrome_links, host_families, robots_verdicts, sitemap_lastmod_stats, sitemap_problems, sitemap_orphans, sample_round_robin, byte_budget, liveness_stride, discovery_union, page_dates, response_profile, jsonld_types, findings_report, events_by_window)
     return {f.__name__: f for f in own}
