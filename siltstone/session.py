@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import tempfile
 import uuid
@@ -80,7 +81,8 @@ def _scratch(spark: SparkSession) -> set[str]:
     sc = spark.sparkContext
     if not hasattr(sc, "_siltstone_scratch"):
         sc._siltstone_scratch = set()
-        atexit.register(clean, spark)
+        sc._siltstone_tables = []
+        atexit.register(_clean_at_exit, spark)
     return sc._siltstone_scratch
 
 
@@ -91,12 +93,20 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 def clean(spark: SparkSession) -> None:
     """Deletes the session's scratch tables; frames that still read them can no longer be computed."""
-    paths = getattr(spark.sparkContext, "_siltstone_scratch", set())
-    for path in list(paths):
-        if spark.sparkContext._jsc is None:
-            return
+    sc = spark.sparkContext
+    if sc._jsc is None:
+        return
+    for name in getattr(sc, "_siltstone_tables", []):
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    for path in list(getattr(sc, "_siltstone_scratch", ())):
         _delete(spark, path)
-        paths.discard(path)
+        sc._siltstone_scratch.discard(path)
+
+
+def _clean_at_exit(spark: SparkSession) -> None:
+    # the JVM may be gone already
+    with contextlib.suppress(Exception):
+        clean(spark)
 
 
 def written(df: DataFrame, path: str | None = None) -> DataFrame:
@@ -124,4 +134,5 @@ def bucketed(df: DataFrame, key: str) -> DataFrame:
     name = f"siltstone_{uuid.uuid4().hex}"
     # where the frame comes from a join by the key, this is no further shuffle
     df.repartition(parts, key).write.format("parquet").bucketBy(parts, key).option("path", path).saveAsTable(name)
+    spark.sparkContext._siltstone_tables.append(name)
     return spark.table(name)
