@@ -201,3 +201,42 @@ def test_topics(spark):
     got = {r.doc_id: r.subject for r in topics.accepted(d, la, names).collect()}
     assert got == {i: "law" if i % 2 else "food" for i in range(60)}
     assert topics.accepted(d, la.where("false"), names).count() == 0 and topics.accepted(d, la, names.where("false")).count() == 0
+
+
+def test_topics_of_two_subjects_and_of_one_word(spark):
+    words = {"law": "court judge verdict clause appeal lawyer".split(), "food": "oven sauce dough cheese recipe pan".split()}
+    line = lambda s, i, j: f"The {words[s][(i + j) % 6]} and the {words[s][(i + 2 * j + 1) % 6]} came to us in spring."
+    docs = [(i, " ".join(line("law" if i % 2 else "food", i, j) for j in range(6)), "en") for i in range(60)]
+    docs += [(100, " ".join(line(s, 3, j) for s in words for j in range(3)), "en"), (101, "The dough was never seen here at all by anyone.", "en"), (102, line("law", 1, 1) + " " + " ".join("Nothing of note was ever said about it at all." for _ in range(9)), "en")]
+    d = spark.createDataFrame(docs, "doc_id bigint, text string, lang string")
+    la = spark.createDataFrame([(i, "law" if i % 2 else "food") for i in range(40)], "doc_id bigint, subject string")
+    # as many subjects as are given
+    names = spark.createDataFrame([("law",), ("food",), *((f"other {i}",) for i in range(1_001))], "subject string")
+    got = {}
+    for r in topics.accepted(d, la, names).where("doc_id >= 100").collect():
+        got.setdefault(r.doc_id, set()).add(r.subject)
+    assert got == {100: {"law", "food"}}
+
+
+def test_network_is_kept(spark):
+    rows = [(i, "en" if i % 2 else "de", [("The house is where we have been for years. " if i % 2 else "Das Haus ist der Ort, an dem wir seit Jahren sind. ") + str(i)]) for i in range(40)]
+    lines = spark.createDataFrame(rows, "page_id bigint, label string, lines array<string>")
+    t = language.Training(rounds=(5, 2), hidden=4)
+    first = language.fit(lines, t)
+    trained = []
+    original, language.train = language.train, lambda *a: trained.append(1) or original(*a)
+    try:
+        again = language.fit(lines, t)
+        assert not trained and all((first.p[k] == again.p[k]).all() for k in first.p)
+        language.fit(lines.where("page_id > 5"), t)
+        assert trained
+    finally:
+        language.train = original
+    assert language.load(spark, "/nonexistent/model") is None
+
+
+def test_defined_cases_of_empty_tables(spark):
+    docs = spark.createDataFrame([], "page_id bigint, title string, text string, main_text string, lang string, paragraphs array<string>, list_items array<string>")
+    urls = spark.createDataFrame([], "page_id bigint, registrable_domain string")
+    assert language.unnamed_languages(docs, urls).count() == 0 and repeats.without_chunks(docs.select("page_id", "paragraphs"), urls).count() == 0
+    assert leaks.leak_spans(spark.createDataFrame([], "doc_id bigint, text string"), spark.createDataFrame([], "item_id bigint, text string")).count() == 0
