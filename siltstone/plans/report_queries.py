@@ -396,10 +396,86 @@ _MEANING = "CASE " + " ".join(f"WHEN contains(lower(error_code), {_q(p)}) THEN {
 SQL["run_limitations"] = f"SELECT DISTINCT registrable_domain AS site, {_MEANING} AS limitation FROM fetch_results JOIN validated_urls USING (page_id) WHERE error_code IS NOT NULL"
 
 
+def liveness(spark: SparkSession, d: str) -> DataFrame:
+    """Per site, answers of a good, a broken and a redirecting sort, and the share of broken ones."""
+    f = table(spark, d, "fetch_results").where("status is not null").select("page_id", "status", F.coalesce(F.array_size("redirect_chain"), F.lit(0)).alias("hops")).join(table(spark, d, "validated_urls").select("page_id", F.col("registrable_domain").alias("site")), "page_id")
+    out = f.groupBy("site").agg(F.count(F.lit(1)).alias("checked"), F.count_if(F.col("status") >= 400).alias("broken"), F.count_if(F.col("hops") > 0).alias("redirecting"))
+    return out.withColumn("rate", F.round(F.col("broken") / F.col("checked"), 3))
+
+
+SQL["liveness"] = "SELECT registrable_domain AS site, count(*) AS checked, count(*) FILTER (WHERE status >= 400) AS broken, count(*) FILTER (WHERE len(redirect_chain) > 0) AS redirecting, round(count(*) FILTER (WHERE status >= 400) / count(*), 3) AS rate FROM fetch_results JOIN validated_urls USING (page_id) WHERE status IS NOT NULL GROUP BY 1"
+
+
+def sitemap_uniques(spark: SparkSession, d: str) -> DataFrame:
+    """Per site, the locs of its sitemaps once each, and how many more there are."""
+    each = table(spark, d, "sitemap_entries").where("loc is not null").groupBy(F.col("registrable_domain").alias("site"), "loc").agg(F.count(F.lit(1)).alias("n"))
+    return each.groupBy("site").agg(F.count(F.lit(1)).alias("locs"), (F.sum("n") - F.count(F.lit(1))).alias("repeated"), F.min("loc").alias("first"))
+
+
+SQL["sitemap_uniques"] = "SELECT registrable_domain AS site, count(DISTINCT loc) AS locs, count(*) - count(DISTINCT loc) AS repeated, min(loc) AS first FROM sitemap_entries WHERE loc IS NOT NULL GROUP BY 1"
+
+
+def snippets(spark: SparkSession, d: str) -> DataFrame:
+    """Each document's beginning, and whether it claims causes and hedges."""
+    t = spread(table(spark, d, "documents").select("doc_id", "text"))
+    low = F.coalesce("text", F.lit(""))
+    return t.select("doc_id", text.snippet(F.col("text"), 60).alias("snippet"), low.rlike(f"(?i){findings.CAUSAL}").alias("causal"), low.rlike(f"(?i){findings.HEDGED}").alias("hedged"))
+
+
+_FLAT = "trim(regexp_replace(coalesce(text, ''), '[\\s\\x{00a0}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{1680}\\x{0085}]+', ' ', 'g'), ' ')"
+SQL["snippets"] = f"SELECT doc_id, CASE WHEN length({_FLAT}) <= 60 THEN {_FLAT} ELSE rtrim(({_FLAT})[:59], ' ') || '…' END AS snippet, regexp_matches(coalesce(text, ''), {_q('(?i)' + findings.CAUSAL)}) AS causal, regexp_matches(coalesce(text, ''), {_q('(?i)' + findings.HEDGED)}) AS hedged FROM documents"
+
+_PLAIN = ("s", "thin_content", "Thin", "high", 1, "high", "5 of 9 pages have under 170 words, for example https://a.com/1", "5 of 9 pages", "", 9, ["https://a.com/1"], "Write more on these pages.", "", "high", "absorption")
+# A finding's changed fields, and what the gates must make of it: reason, severity, level, confidence, priority.
+REVIEWS = (
+    ({}, (None, "high", 1, "high", "high")),
+    ({"evidence": "short"}, ("evidence too short", "high", 1, "high", "high")),
+    ({"evidence": "Many pages of this site have next to no words on them.", "urls": []}, ("no URL", "high", 1, "high", "high")),
+    ({"evidence": "Many pages have next to no words, such as https://a.com/", "observed": ""}, ("no observed value", "high", 1, "high", "high")),
+    ({"action": "Write."}, ("action too vague", "high", 1, "high", "high")),
+    ({"observed": "2000 ms", "expected": "under 3000 ms", "evidence": "The median response of this site was 2000 ms at https://a.com/1"}, ("expectation is met", "high", 1, "high", "high")),
+    ({"check_id": "slow_response", "observed": "2500 ms", "expected": "", "evidence": "The median response of this site was 2500 ms at https://a.com/1"}, ("within the expectation", "high", 1, "high", "high")),
+    ({"check_id": "noindex_on_public_page", "urls": ["https://a.com/cart", "https://a.com/login"]}, ("noindex is right on these routes", "high", 1, "high", "high")),
+    ({"check_id": "sitemap_orphans", "observed": "1 of 2 pages"}, ("too few crawled pages", "high", 1, "high", "high")),
+    ({"claim_level": 4}, ("causal prescription", "info", 4, "high", "low")),
+    ({"sample_size": 2}, (None, "medium", 1, "low", "medium")),
+    ({"sample_size": 2, "observed": "two pages", "evidence": "Both pages of the site have under 170 words: https://a.com/1"}, ("sample too small", "medium", 1, "low", "medium")),
+    ({"evidence": "This will increase reach on 5 of 9 pages such as https://a.com/1"}, (None, "medium", 3, "high", "medium")),
+    ({"evidence": "This may well increase reach on 5 of 9 pages such as https://a.com/1"}, (None, "high", 1, "high", "high")),
+    ({"severity": "critical", "claim_level": 2}, (None, "high", 2, "high", "high")),
+    ({"severity": "low", "priority": "critical"}, (None, "low", 1, "high", "low")),
+)
+
+
+def _reviewed(spark: SparkSession, changes: list[dict]) -> DataFrame:
+    rows = [(i, *(c.get(n, v) for n, v in zip(reports.COLUMNS, _PLAIN, strict=True))) for i, c in enumerate(changes)]
+    kinds = {"claim_level": "int", "sample_size": "int", "urls": "array<string>"}
+    return spark.createDataFrame(rows, "finding_no bigint, " + ", ".join(f"{n} {kinds.get(n, 'string')}" for n in reports.COLUMNS))
+
+
+def review_gates(spark: SparkSession, d: str) -> DataFrame:
+    """What the review makes of findings that differ in one point."""
+    return findings.review(_reviewed(spark, [c for c, _ in REVIEWS])).select("finding_no", "drop_reason", "severity", "claim_level", "confidence", "priority")
+
+
+_V = lambda x: "NULL" if x is None else str(x) if isinstance(x, int) else _q(x)
+SQL["review_gates"] = "SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, {', '.join(map(_V, w))})" for i, (_, w) in enumerate(REVIEWS)) + ") t(finding_no, drop_reason, severity, claim_level, confidence, priority)"
+
+
+def merged_findings(spark: SparkSession, d: str) -> DataFrame:
+    """Symptoms that their cause absorbs: those whose pages all are among the cause's."""
+    both = ["https://a.com/1", "https://a.com/2"]
+    f = _reviewed(spark, [{"check_id": "empty_shell", "title": "Shell", "severity": "critical", "priority": "critical", "urls": both}, {}, {"urls": ["https://a.com/9"], "title": "Other"}, {"check_id": "no_evidence_genre", "title": "Bare", "urls": both}, {"site": "t"}])
+    return findings.numbered(findings.merged(f)).select("site", "id", "finding_no", F.array_join("consequences", ",").alias("consequences"))
+
+
+SQL["merged_findings"] = "SELECT * FROM (VALUES ('s', 'F-001', 0::BIGINT, 'Bare,Thin'), ('s', 'F-002', 2::BIGINT, NULL), ('t', 'F-001', 4::BIGINT, NULL)) t(site, id, finding_no, consequences)"
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         url_vectors, url_variants, saved_page_notes, latest_fetches, page_and_byte_budget, decoded_bodies, affordable_samples, sitemap_files, robots_reports, external_hosts, contextual_links, freshness, shared_days, fetch_inventory, render_summary,
-        threshold_provenance, exempt_pages, report_rows, report_summaries, report_errors, report_verdicts, report_repaired, report_charts, report_rejections, report_texts, report_sizes, evidence_texts, run_limitations,
+        threshold_provenance, exempt_pages, report_rows, report_summaries, report_errors, report_verdicts, report_repaired, report_charts, report_rejections, report_texts, report_sizes, evidence_texts, run_limitations, liveness, sitemap_uniques, snippets, review_gates, merged_findings,
     )
     return {f.__name__: f for f in own}
 

@@ -80,6 +80,22 @@ def test_reports(spark, tmp_path):
     assert reports.as_json(empty, reports.summaries(empty, F.lit("x"))).count() == 0
 
 
+def test_layers(spark, tmp_path):
+    import pytest
+
+    from siltstone.sources import layers
+
+    root = str(tmp_path / "run")
+    assert layers.available(spark, root) == []
+    layers.write_layer(spark.range(3), root, "pages")
+    (tmp_path / "run" / "broken").mkdir()
+    assert layers.available(spark, root) == ["pages"] and layers.require(spark, root, "pages")[0].count() == 3
+    with pytest.raises(FileNotFoundError, match="broken, other"):
+        layers.require(spark, root, "pages", "broken", "other")
+    rows = spark.createDataFrame([(200, "# Site"), (404, "# Site"), (200, "<html>"), (None, None)], "s int, t string")
+    assert [r.y for r in rows.select(layers.llms_present(F.col("s"), F.col("t")).alias("y")).collect()] == [True, False, False, False]
+
+
 def test_review_needs_a_key(spark):
     import pytest
 
