@@ -225,11 +225,16 @@ def pooled(network: Network, texts: list[str], cells: int = 40_000) -> np.ndarra
 
 def content_lines(html: DataFrame, urls: DataFrame) -> DataFrame:
     """(page_id, label, lines): the sentences' lines of each page's own main body."""
-    prose = lambda line: F.get(F.transform(F.array(quality.kind_features(line)), quality.line_kind), F.lit(0)) == "sentence"
+    # lines of fewer than four words have no sentence that is read
+    prose = lambda line: F.when(
+        line.rlike(r"\S\s+\S+\s+\S+\s+\S"), F.get(F.transform(F.array(quality.kind_features(line)), quality.line_kind), F.lit(0)) == "sentence",
+    ).otherwise(F.lit(False))
     html = html.withColumn("_main", F.transform(F.split("main_text", "\n"), lambda x: F.xxhash64(x)))
     rows = boilerplate.marked(boilerplate.pages(html, urls, ("lang", "_main"), prose))
     own = F.transform("lines", lambda x, i: F.struct(F.xxhash64(x).alias("hash"), (F.get("feats", i)["use"] & ~F.get("template", i)).alias("own")))
-    return rows.select("page_id", named(F.col("lang")).alias("label"), "lines", own.alias("own"), "_main").mapInArrow(_of_main, f"page_id {html.schema['page_id'].dataType.simpleString()}, label string, lines array<string>")
+    return rows.select("page_id", named(F.col("lang")).alias("label"), "lines", own.alias("own"), "_main").mapInArrow(
+        _of_main, f"page_id {html.schema['page_id'].dataType.simpleString()}, label string, lines array<string>",
+    )
 
 
 def _of_main(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,7 +247,10 @@ def _of_main(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             inside = np.isin(salted(flat.field("hash").to_numpy(), row), salted(main.flatten().to_numpy(), pc.list_parent_indices(main).to_numpy()))
             kept = np.flatnonzero(inside & flat.field("own").to_numpy(zero_copy_only=False))
             offsets = np.searchsorted(row[kept], np.arange(len(b) + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(offsets), lines.flatten().take(pa.array(kept)))], ["page_id", "label", "lines"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(offsets), lines.flatten().take(pa.array(kept)))],
+                ["page_id", "label", "lines"],
+            )
 
 
 def _sample(lines: DataFrame, t: Training) -> list[tuple[str, str]]:
@@ -327,10 +335,16 @@ def segments(lines: DataFrame, network: Network) -> DataFrame:
                     confidences.append(float(mean.max()))
                     cuts = np.flatnonzero(np.r_[True, best[u][1:] != best[u][:-1], True])
                     runs.append([{"first": int(a), "sentences": int(z - a), "lang": LANGUAGES[int(best[u[a]])], "confidence": _together(p[u[a:z], best[u[a]]])} for a, z in zip(cuts[:-1], cuts[1:], strict=True)])
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(docs, pa.string()), pa.array(confidences, pa.float64()), pa.array(runs, pa.list_(segment))], ["page_id", "label", "document_lang", "document_confidence", "segments"])
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0), b.column(1), pa.array(docs, pa.string()), pa.array(confidences, pa.float64()), pa.array(runs, pa.list_(segment))],
+                    ["page_id", "label", "document_lang", "document_confidence", "segments"],
+                )
 
     kind = lines.schema["page_id"].dataType.simpleString()
-    return lines.mapInArrow(batches, f"page_id {kind}, label string, document_lang string, document_confidence double, segments array<struct<first:int,sentences:int,lang:string,confidence:double>>")
+    return lines.mapInArrow(
+        batches,
+        f"page_id {kind}, label string, document_lang string, document_confidence double, segments array<struct<first:int,sentences:int,lang:string,confidence:double>>",
+    )
 
 
 def unnamed_languages(html: DataFrame, urls: DataFrame, least: float = 0.93, least_document: float = 0.6, t: Training = Training()) -> DataFrame:
