@@ -67,7 +67,11 @@ class Shares:
 def strip_markup(body: Column) -> Column:
     """Visible text of markup, one block a line; for sources that have no text column yet."""
     hidden = F.regexp_replace(body, r"(?is)<!--.*?-->|<(script|style|noscript|template|svg|title)\b.*?</\1\s*>", " ")
-    blocks = F.regexp_replace(F.regexp_replace(hidden, r"\s+", " "), r"(?i)</?(?:div|p|li|h[1-6]|[uo]l|section|article|main|header|footer|nav|aside|table|t[rdh]|pre|blockquote|d[tdl]|figure|figcaption|br|form|body|html|head)\b[^>]*>", "\n")
+    blocks = F.regexp_replace(
+        F.regexp_replace(hidden, r"\s+", " "),
+        r"(?i)</?(?:div|p|li|h[1-6]|[uo]l|section|article|main|header|footer|nav|aside|table|t[rdh]|pre|blockquote|d[tdl]|figure|figcaption|br|form|body|html|head)\b[^>]*>",
+        "\n",
+    )
     plain = F.regexp_replace(blocks, r"<[^>]*>", " ")
     for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "'"), ("&#39;", "'"), ("&amp;", "&")):
         plain = F.replace(plain, F.lit(entity), F.lit(char))
@@ -96,7 +100,11 @@ def pages(documents: DataFrame, sources: DataFrame, carry: tuple[str, ...] = (),
     p = Shares()
     joined = documents.select("page_id", "title", "text", *carry).join(named, "page_id", "left")
     lines = F.when(F.length("text") > 0, F.split("text", "\n"))
-    keyed = joined.select("page_id", F.xxhash64("_site").alias("_hash"), "_site", F.xxhash64("text", "title").alias("row"), F.xxhash64("text").alias("copy"), lines.alias("lines"), F.transform(lines, lambda x: line_key(x, name)).alias("_keys"), line_key(F.coalesce("title", F.lit("")), name).alias("_title_key"), *carry)
+    keyed = joined.select(
+        "page_id", F.xxhash64("_site").alias("_hash"), "_site", F.xxhash64("text", "title").alias("row"), F.xxhash64("text").alias("copy"),
+        lines.alias("lines"), F.transform(lines, lambda x: line_key(x, name)).alias("_keys"),
+        line_key(F.coalesce("title", F.lit("")), name).alias("_title_key"), *carry,
+    )
 
     def feat(line: Column, i: Column) -> Column:
         key = F.get("_keys", i)
@@ -108,7 +116,10 @@ def pages(documents: DataFrame, sources: DataFrame, carry: tuple[str, ...] = (),
         )
 
     feats = F.transform("lines", feat)
-    return bucketed(keyed.select("page_id", F.when(F.col("_site").isNotNull() & F.col("page_id").isNotNull(), F.col("_hash")).alias("site"), F.col("_site").alias("domain"), "row", "copy", "lines", feats.alias("feats"), *carry), "page_id")
+    return bucketed(
+        keyed.select("page_id", F.when(F.col("_site").isNotNull() & F.col("page_id").isNotNull(), F.col("_hash")).alias("site"), F.col("_site").alias("domain"), "row", "copy", "lines", feats.alias("feats"), *carry),
+        "page_id",
+    )
 
 
 def _counts(table: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -119,7 +130,10 @@ def _counts(table: DataFrame) -> tuple[DataFrame, DataFrame]:
     keys = F.transform("feats", lambda x, i: F.struct(x["key"].alias("key"), x["letters"].alias("size"), x["own"].alias("own"), i.alias("i"), x["title"].alias("title")))
     last = F.aggregate(F.transform("feats", lambda x, i: F.when(x["long"], i).otherwise(-1)), F.lit(-1), lambda a, x: F.greatest(a, x))
     line = once.select("site", "copy", last.alias("last"), F.explode(F.filter(keys, lambda x: x["size"] > 0)).alias("k")).select("site", "copy", "last", "k.*")
-    paged = line.groupBy("site", "key", "copy").agg(F.max("size").alias("size"), F.max("own").alias("own"), F.count(F.lit(1)).alias("lines"), F.min("i").alias("i"), F.max("i").alias("j"), F.max("title").alias("title"), F.max("last").alias("last"))
+    paged = line.groupBy("site", "key", "copy").agg(
+        F.max("size").alias("size"), F.max("own").alias("own"), F.count(F.lit(1)).alias("lines"), F.min("i").alias("i"), F.max("i").alias("j"),
+        F.max("title").alias("title"), F.max("last").alias("last"),
+    )
     each = paged.groupBy("site", "key").agg(
         F.max("size").alias("size"), F.max("own").alias("own"), F.count(F.lit(1)).alias("n"), F.sum("lines").alias("lines"), F.count_if(F.col("i") == 0).alias("first"),
         F.count_if(F.col("last") > F.col("j")).alias("after"), F.count_if("title").alias("title"), F.count_if(F.col("last") >= 0).alias("with_long"),
@@ -158,7 +172,10 @@ def _kinds(table: DataFrame, p: Shares) -> DataFrame:
 
 def _known(table: DataFrame, p: Shares) -> DataFrame:
     """(page_id, known): what the corpus knows of each page's lines, as (row, line number, kind)."""
-    keys = F.transform(F.filter(F.transform("feats", lambda x, i: F.struct(i.alias("i"), x["key"].alias("key"), x["letters"].alias("letters"))), lambda x: x["letters"] > 0), lambda x: F.struct(x["i"].alias("i"), x["key"].alias("key")))
+    keys = F.transform(
+        F.filter(F.transform("feats", lambda x, i: F.struct(i.alias("i"), x["key"].alias("key"), x["letters"].alias("letters"))), lambda x: x["letters"] > 0),
+        lambda x: F.struct(x["i"].alias("i"), x["key"].alias("key")),
+    )
     site = F.array(F.struct(F.lit(-1).alias("i"), F.lit(0).cast("bigint").alias("key")))
     each = table.where("site is not null and lines is not null").select("page_id", "row", "site", F.inline(F.concat(site, keys)))
     # the other side has one row a (site, key), so that Spark can split a key that is on all pages of a site

@@ -178,7 +178,10 @@ def leak_spans(documents: DataFrame, items: DataFrame, key: str = "doc_id", text
     """(key, item_id, first_word, n_words, first_char, end_char) of each longest run shared with an item."""
     kind = documents.schema[key].dataType.simpleString()
     names = [key, "item_id", "first_word", "n_words", "first_char", "end_char"]
-    return _by_block(documents, items, key, text, least, Automaton.spans, names, f"`{key}` {kind}, item_id bigint, first_word bigint, n_words bigint, first_char bigint, end_char bigint", block_words)
+    return _by_block(
+        documents, items, key, text, least, Automaton.spans, names,
+        f"`{key}` {kind}, item_id bigint, first_word bigint, n_words bigint, first_char bigint, end_char bigint", block_words,
+    )
 
 
 def leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:

@@ -153,7 +153,10 @@ def statistics(df: DataFrame, key: str = "page_id", text: str = "main_text", par
         one = lambda c: F.when(c, 1).otherwise(0)
         other = x["kind"] == "other"
         each = {n: k[n] for n in ("words", "letters", "visible")} | {n: m[n] for n in ("alphabetic", "symbols")}
-        each |= {"lines": F.lit(1), "stops": k["nominal"] + k["clausal"], "closed": one(k["closed"]), "bullet": one(m["bullet"]), "ellipsis": one(m["ellipsis"]), "short": one(m["size"] <= r.short_line)}
+        each |= {
+            "lines": F.lit(1), "stops": k["nominal"] + k["clausal"], "closed": one(k["closed"]), "bullet": one(m["bullet"]),
+            "ellipsis": one(m["ellipsis"]), "short": one(m["size"] <= r.short_line),
+        }
         each |= {"other_words": F.when(other, k["words"]).otherwise(0), "other_visible": F.when(other, k["visible"]).otherwise(0)}
         return F.struct(*((a[n] + each[n]).cast("bigint").alias(n) for n in SUMS))
 

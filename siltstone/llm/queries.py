@@ -86,4 +86,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_statistics, p2_found, p2_bodies, p2_from_markup, p3_found, p3_segments, p5_found, p7_found, p7_clean, p7_cut, p8_ids, p9_found, p9_spans, p9_clean, p10_found)}
+    return {f.__name__: f for f in (
+        p1_found, p1_statistics, p2_found, p2_bodies, p2_from_markup, p3_found, p3_segments, p5_found, p7_found, p7_clean, p7_cut, p8_ids, p9_found,
+        p9_spans, p9_clean, p10_found,
+    )}

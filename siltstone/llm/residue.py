@@ -168,8 +168,15 @@ def weak_labels(own: DataFrame, t: Training = Training()) -> DataFrame:
     share = F.length(letters) / F.greatest(F.lit(1), F.length(F.regexp_replace("line", r"\s+", "")))
     fill = F.regexp_count(F.lower("line"), F.lit(r"(?<!\p{L})(?:" + phrases.FILLER_WORDS.replace(" ", "|") + r"|sed|amet|dolor|nulla|elit)(?!\p{L})")) / words
     said, marked = F.lower("line").rlike(PHRASES), F.contains("line", F.lit("`"))
-    line = _lines(own).select("id", "is_title", "alone", "bad", F.xxhash64(F.lower(letters)).alias("form"), (words <= t.short_words).alias("short"), said.alias("said"), marked.alias("marked"), (share >= 0.4).alias("lettered"), (F.length("line") <= 30).alias("brief"), (fill >= 0.2).alias("filled"))
-    line = line.groupBy("id").agg(F.max("is_title").alias("is_title"), F.max("alone").alias("alone"), F.count(F.lit(1)).alias("n"), F.sum(F.col("bad").cast("int")).alias("bad"), *(F.first(c).alias(c) for c in ("form", "short", "said", "marked", "lettered", "brief", "filled")))
+    line = _lines(own).select(
+        "id", "is_title", "alone", "bad", F.xxhash64(F.lower(letters)).alias("form"), (words <= t.short_words).alias("short"), said.alias("said"),
+        marked.alias("marked"), (share >= 0.4).alias("lettered"), (F.length("line") <= 30).alias("brief"), (fill >= 0.2).alias("filled"),
+    )
+    line = line.groupBy("id").agg(
+        F.max("is_title").alias("is_title"), F.max("alone").alias("alone"), F.count(F.lit(1)).alias("n"),
+        F.sum(F.col("bad").cast("int")).alias("bad"),
+        *(F.first(c).alias(c) for c in ("form", "short", "said", "marked", "lettered", "brief", "filled")),
+    )
     line = written(line)
     rates = line.groupBy("form").agg(F.sum("n").alias("all"), F.sum("bad").alias("all_bad")).where("all_bad > 0")
     lifted = rates.where((F.col("all") > 1) & (F.col("all_bad") > F.col("all") * (base * t.status_lift))).select("form", F.lit(True).alias("lifted"))
@@ -253,6 +260,8 @@ def residue_pages(html: DataFrame, urls: DataFrame, fetches: DataFrame, t: Train
     empty = scored.where("empty").select("page_id").distinct()
     # the body's notices meet only the pages without content of their own
     notice = F.regexp_extract_all("body", F.lit(r"(?is)<noscript\b[^>]*>(.*?)(?:</noscript|\z)"), F.lit(1))
-    notices = fetches.where(F.contains(F.lower("body"), F.lit("<noscript"))).select("page_id", F.lit("").alias("title"), F.transform(notice, boilerplate.strip_markup).alias("lines"))
+    notices = fetches.where(F.contains(F.lower("body"), F.lit("<noscript"))).select(
+        "page_id", F.lit("").alias("title"), F.transform(notice, boilerplate.strip_markup).alias("lines"),
+    )
     said = _score(notices.join(empty, "page_id", "left_semi"), model)
     return scored.where("score > 0").select("page_id").unionByName(said.where("score > 0").select("page_id")).distinct()
