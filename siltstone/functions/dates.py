@@ -51,7 +51,9 @@ def parse_date(raw: Column) -> Column:
     text = F.trim(F.coalesce(raw, F.lit("")))
     iso = F.regexp_replace(F.regexp_replace(text, r"^(\S{10})[T ](\d{2}):?(\d{2})?:?(\d{2})?", "$1T$2:$3:$4"), r":(?=:|$|[Z+-])", ":00")
     iso = F.regexp_replace(F.replace(F.regexp_replace(iso, r"::", ":00:"), F.lit(","), F.lit(".")), r"([+-]\d{2})(?::?(\d{2}))?$", "$1:$2")
-    zoned = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.concat(text, F.lit("T00:00:00Z"))).when(iso.rlike("(?:Z|[+-]\\d{2}:\\d{2})$"), iso).when(iso.rlike("[+-]\\d{2}:$"), F.concat(iso, F.lit("00"))).otherwise(F.concat(iso, F.lit("Z")))
+    zoned = F.when(
+        text.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.concat(text, F.lit("T00:00:00Z")),
+    ).when(iso.rlike("(?:Z|[+-]\\d{2}:\\d{2})$"), iso).when(iso.rlike("[+-]\\d{2}:$"), F.concat(iso, F.lit("00"))).otherwise(F.concat(iso, F.lit("Z")))
     found = [F.when(text.rlike(ISO), zoned.try_cast("timestamp"))]
     for shape, year, month, day in SHAPES:
         part = lambda k, shape=shape: F.regexp_extract(text, shape, k)

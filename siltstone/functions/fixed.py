@@ -17,7 +17,10 @@ DATED = (
     r"(?:\d{1,2}\s+)?(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?\s+\d{1,2},?\s+\d{4}|\b(?:19|20)\d{2}[-/](?:0[1-9]|1[0-2])[-/](?:0[1-9]|[12]\d|3[01])\b|"
     r"(?:updated|published|revised|reviewed|as of|effective)\s+(?:19|20)\d{2}\b|\bq[1-4]\s+(?:19|20)\d{2}\b|\b(?:19|20)\d{2}\s+(?:edition|report|survey|study)\b)"
 )
-GENRES = {"definition": (DEFINITION, 2), "comparison": (COMPARISON, 2), "howto": (HOWTO, 3), "numeric": (NUMERIC, 3), "code": (CODE, 2), "qa": (QA, 3), "citation": (CITATION, 1), "price": (PRICE, 2), "dated": (DATED, 1)}
+GENRES = {
+    "definition": (DEFINITION, 2), "comparison": (COMPARISON, 2), "howto": (HOWTO, 3), "numeric": (NUMERIC, 3), "code": (CODE, 2), "qa": (QA, 3),
+    "citation": (CITATION, 1), "price": (PRICE, 2), "dated": (DATED, 1),
+}
 POSITIVE_GENRES, SURVEY_GENRES = ("definition", "comparison", "howto", "numeric", "code"), ("price", "dated")
 
 # Word bins (low, high, mean influence), quartile bounds, score weights and targets.
@@ -66,7 +69,10 @@ STATE_BLOBS = {
     "Next.js": r"__NEXT_DATA__|_next/static|self\.__next_f", "Nuxt": r"__NUXT__|window\.__NUXT|/_nuxt/", "Gatsby": r"___gatsby|window\.page-data|/page-data/", "Redux/Vuex": r"__INITIAL_STATE__|__PRELOADED_STATE__|__APOLLO_STATE__",
     "SvelteKit": r"__sveltekit_|/_app/immutable/", "Remix": r"__remixContext|__remixManifest", "Angular": r"ng-version=|<app-root|ngcontent", "Astro": r"astro-island|astro-slot",
 }
-FRAMEWORKS = {"React": r"react(?:-dom)?[.@\-/]|data-reactroot|__reactContainer", "Vue": r"\bvue(?:\.runtime)?[.@\-/]|data-v-[0-9a-f]{8}|v-cloak", "Angular": r"@angular|ng-version", "Svelte": r"\bsvelte[.@\-/]", "Ember": r"ember(?:-cli)?[.@\-/]"}
+FRAMEWORKS = {
+    "React": r"react(?:-dom)?[.@\-/]|data-reactroot|__reactContainer", "Vue": r"\bvue(?:\.runtime)?[.@\-/]|data-v-[0-9a-f]{8}|v-cloak",
+    "Angular": r"@angular|ng-version", "Svelte": r"\bsvelte[.@\-/]", "Ember": r"ember(?:-cli)?[.@\-/]",
+}
 EMPTY_MOUNT = r"<(?:div|main|section|app-root)[^>]*\b(?:id|class)\s*=\s*[\"'](root|app|__next|___gatsby|__nuxt|main-content|application)[\"'][^>]*>\s*</(?:div|main|section|app-root)>"
 CLOSED_MOUNT = r"<(?:div|app-root)[^>]*\b(?:id|class)\s*=\s*[\"'](root|app|__next|___gatsby)[\"'][^>]*/?>\s*<script"
 LAZY = r"\b(?:loading\s*=\s*[\"']lazy[\"']|data-src\s*=|data-lazy|data-defer|IntersectionObserver)"
@@ -76,15 +82,24 @@ HASH_ROUTE = r"href\s*=\s*[\"']#!?/"
 
 # Markup that carries no text, blocks, and words of chrome and content regions.
 SILENT_TAGS = ("script", "style", "template", "noscript", "svg", "canvas", "iframe")
-BLOCKS = ("p", "div", "section", "article", "main", "header", "footer", "nav", "aside", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "th", "tr", "blockquote", "pre", "figcaption", "dd", "dt", "br", "hr", "form", "ul", "ol", "table")
+BLOCKS = (
+    "p", "div", "section", "article", "main", "header", "footer", "nav", "aside", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "th", "tr",
+    "blockquote", "pre", "figcaption", "dd", "dt", "br", "hr", "form", "ul", "ol", "table",
+)
 CHROME_WORDS = r"\b(nav|menu|header|footer|sidebar|breadcrumb|cookie|consent|banner|newsletter|subscribe|social|share|advert|promo|modal|popup|skip-link)\b"
 CONTENT_WORDS = r"\b(main|content|article|post|entry|body|prose|documentation)\b"
 
 # Date properties, sitemap and date formats.
-PUBLISHED_META = ("article:published_time", "og:published_time", "publish_date", "pubdate", "date", "dc.date", "dcterms.date", "dcterms.created", "citation_publication_date", "sailthru.date", "parsely-pub-date", "article:published")
+PUBLISHED_META = (
+    "article:published_time", "og:published_time", "publish_date", "pubdate", "date", "dc.date", "dcterms.date", "dcterms.created",
+    "citation_publication_date", "sailthru.date", "parsely-pub-date", "article:published",
+)
 MODIFIED_META = ("article:modified_time", "og:updated_time", "last-modified", "dcterms.modified", "revised", "parsely-update-date")
 PUBLISHED_LD, MODIFIED_LD = ("datePublished", "dateCreated", "uploadDate", "startDate"), ("dateModified", "lastReviewed")
-DATE_FORMATS = ("%Y-%m-%d", "%Y/%m/%d", "%d %B %Y", "%d %b %Y", "%B %d, %Y", "%b %d, %Y", "%B %d %Y", "%m/%d/%Y", "%d/%m/%Y", "%Y-%m", "%Y", "%a, %d %b %Y %H:%M:%S %Z", "%a, %d %b %Y %H:%M:%S %z")
+DATE_FORMATS = (
+    "%Y-%m-%d", "%Y/%m/%d", "%d %B %Y", "%d %b %Y", "%B %d, %Y", "%b %d, %Y", "%B %d %Y", "%m/%d/%Y", "%d/%m/%Y", "%Y-%m", "%Y",
+    "%a, %d %b %Y %H:%M:%S %Z", "%a, %d %b %Y %H:%M:%S %z",
+)
 
 # Ranks, ceilings and thresholds.
 SEVERITIES = ("critical", "high", "medium", "low", "info")
@@ -141,7 +156,10 @@ REQUIRED_PROPERTIES = {
     "HowTo": {"name": ("name",), "step": ("step",)}, "FAQPage": {"mainEntity": ("mainEntity",)}, "BreadcrumbList": {"itemListElement": ("itemListElement",)},
     "Course": {"name": ("name",), "description": ("description",), "provider": ("provider",)},
 }
-ORGANIZATION_FIELDS = {"name": ("name", "legalName"), "url": ("url",), "logo": ("logo", "image"), "description": ("description",), "contact point": ("contactPoint", "telephone", "email", "address")}
+ORGANIZATION_FIELDS = {
+    "name": ("name", "legalName"), "url": ("url",), "logo": ("logo", "image"), "description": ("description",),
+    "contact point": ("contactPoint", "telephone", "email", "address"),
+}
 ADDRESS_KEYS = ("streetAddress", "addressLocality", "addressRegion", "postalCode", "addressCountry", "name")
 
 # What is expected of a page of each type (types of structured data, least words, a date),

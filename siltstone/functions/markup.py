@@ -48,7 +48,10 @@ def client_routing(html: Column) -> Column:
 def attributes(tag: Column) -> Column:
     """Map of a tag's key="value" attributes, the last of equal keys; bare attributes aren't seen."""
     pairs = F.regexp_extract_all(tag, F.lit(r"([\w:-]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+)"), F.lit(0))
-    entry = lambda p: F.struct(F.lower(F.trim(F.regexp_extract(p, r"^([\w:-]+)", 1))).alias("k"), F.regexp_replace(F.regexp_extract(p, r"=\s*([\s\S]*)$", 1), r"^[\"']|[\"']$", "").alias("v"))
+    entry = lambda p: F.struct(
+        F.lower(F.trim(F.regexp_extract(p, r"^([\w:-]+)", 1))).alias("k"),
+        F.regexp_replace(F.regexp_extract(p, r"=\s*([\s\S]*)$", 1), r"^[\"']|[\"']$", "").alias("v"),
+    )
     entries = F.transform(F.coalesce(pairs, F.array().cast("array<string>")), entry)
     keys = F.array_distinct(F.transform(entries, lambda e: e["k"]))
     value = lambda k: F.element_at(F.filter(entries, lambda e: e["k"] == k), -1)["v"]
@@ -67,7 +70,10 @@ def head_counts(html: Column) -> Column:
     all_ = F.coalesce(html, F.lit(""))
     end = F.locate("</head>", F.lower(all_))
     head = F.when(end > 0, F.substring(all_, F.lit(1), end - 1)).otherwise(F.substring(all_, 1, 8000))
-    scripts = F.filter(F.regexp_extract_all(head, F.lit(r"(?i)<script\b[^>]*>"), F.lit(0)), lambda t: t.rlike(r"(?i)\bsrc\s*=") & ~t.rlike(r"(?i)\b(?:async|defer)\s*=|type\s*=\s*[\"']module"))
+    scripts = F.filter(
+        F.regexp_extract_all(head, F.lit(r"(?i)<script\b[^>]*>"), F.lit(0)),
+        lambda t: t.rlike(r"(?i)\bsrc\s*=") & ~t.rlike(r"(?i)\b(?:async|defer)\s*=|type\s*=\s*[\"']module"),
+    )
     sheets = F.filter(F.regexp_extract_all(head, F.lit(r"(?i)<link\b[^>]*>"), F.lit(0)), lambda t: t.rlike(r"(?i)rel\s*=\s*[\"']?stylesheet"))
     return F.struct(F.size(scripts).alias("sync_scripts"), F.size(sheets).alias("stylesheets"))
 

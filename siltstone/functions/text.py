@@ -80,7 +80,10 @@ def update_language(text: Column) -> Column:
 
 def lead_signals(text: Column) -> Column:
     """(lead_words, marketing, evidence) of the first words."""
-    counts = lambda t: F.struct(word_count(t).alias("lead_words"), count_of(t, fixed.MARKETING).alias("marketing"), (count_of(t, fixed.DEFINITION) + count_of(t, fixed.NUMERIC) + count_of(t, fixed.COMPARISON)).alias("evidence"))
+    counts = lambda t: F.struct(
+        word_count(t).alias("lead_words"), count_of(t, fixed.MARKETING).alias("marketing"),
+        (count_of(t, fixed.DEFINITION) + count_of(t, fixed.NUMERIC) + count_of(t, fixed.COMPARISON)).alias("evidence"),
+    )
     return let(lead(text, fixed.LEAD_WORDS), counts)
 
 
@@ -120,4 +123,7 @@ def render_gap(words: Column, text_chars: Column, script_chars: Column, html_cha
 def score_notes(words: Column, qa: Column, genre_count: Column, hedges: Column) -> Column:
     """Names of the remarks on a score: questions without evidence, too short, asserted only."""
     least = fixed.GENRES["qa"][1]
-    return F.array_compact(F.array(F.when((qa >= least) & (genre_count == 0), "qa_without_evidence"), F.when(words < fixed.LEAST_ABSORBABLE_WORDS, "below_absorbable_length"), F.when((hedges >= fixed.HEDGES) & (genre_count <= 1), "asserted_not_substantiated")))
+    return F.array_compact(F.array(
+        F.when((qa >= least) & (genre_count == 0), "qa_without_evidence"), F.when(words < fixed.LEAST_ABSORBABLE_WORDS, "below_absorbable_length"),
+        F.when((hedges >= fixed.HEDGES) & (genre_count <= 1), "asserted_not_substantiated"),
+    ))

@@ -39,7 +39,10 @@ def urls_of() -> Column:
 
 def population() -> Column:
     """(k, n) of the first 'k of n' in observed or else in the evidence."""
-    pick = lambda t: F.when(t.rlike(r"\b\d+\s+of\s+\d+\b"), F.struct(F.regexp_extract(t, r"\b(\d+)\s+of\s+\d+\b", 1).cast("bigint").alias("k"), F.regexp_extract(t, r"\b\d+\s+of\s+(\d+)\b", 1).cast("bigint").alias("n")))
+    pick = lambda t: F.when(
+        t.rlike(r"\b\d+\s+of\s+\d+\b"),
+        F.struct(F.regexp_extract(t, r"\b(\d+)\s+of\s+\d+\b", 1).cast("bigint").alias("k"), F.regexp_extract(t, r"\b\d+\s+of\s+(\d+)\b", 1).cast("bigint").alias("n")),
+    )
     return F.coalesce(pick(_text("observed")), pick(_text("evidence")))
 
 
@@ -49,7 +52,9 @@ def _first_number(t: Column) -> Column:
 
 def insufficient() -> Column:
     e = F.trim(_text("evidence"))
-    return F.when(F.length(e) < 40, "evidence too short").when(F.size(urls_of()) == 0, "no URL").when(~e.rlike(r"\d") & (_text("observed") == ""), "no observed value").when(F.length(F.trim(_text("action"))) < 15, "action too vague")
+    return F.when(F.length(e) < 40, "evidence too short").when(F.size(urls_of()) == 0, "no URL").when(
+        ~e.rlike(r"\d") & (_text("observed") == ""), "no observed value",
+    ).when(F.length(F.trim(_text("action"))) < 15, "action too vague")
 
 
 def incoherent() -> Column:
@@ -85,18 +90,25 @@ def review(findings: DataFrame, page_types: DataFrame | None = None, least_sampl
         f = f.withColumn("_kinds", F.array_distinct(F.transform(urls_of(), lambda _: F.lit("other"))))
     else:
         each = f.select("_id", F.explode(F.array_distinct(urls_of())).alias("url")).join(page_types.select("url", "page_type").dropDuplicates(["url"]), "url", "left")
-        f = f.join(each.groupBy("_id").agg(F.collect_set(F.coalesce("page_type", F.lit("other"))).alias("_kinds")), "_id", "left").withColumn("_kinds", F.coalesce("_kinds", F.array().cast("array<string>")))
+        f = f.join(
+            each.groupBy("_id").agg(F.collect_set(F.coalesce("page_type", F.lit("other"))).alias("_kinds")), "_id", "left",
+        ).withColumn("_kinds", F.coalesce("_kinds", F.array().cast("array<string>")))
     p = population()
     sample = F.when(F.coalesce(F.col("sample_size"), F.lit(0)) > 0, F.col("sample_size").cast("bigint")).otherwise(F.coalesce(p["n"], F.lit(0)))
     small = (sample > 0) & (sample < least_sample)
     level = F.coalesce(F.col("claim_level"), F.lit(1))
-    reason = F.coalesce(insufficient(), incoherent(), trapped(F.col("_kinds")), F.when(small & F.coalesce(p["k"] < 1, F.lit(True)), "sample too small"), F.when(level == 4, "causal prescription"))
+    reason = F.coalesce(
+        insufficient(), incoherent(), trapped(F.col("_kinds")), F.when(small & F.coalesce(p["k"] < 1, F.lit(True)), "sample too small"),
+        F.when(level == 4, "causal prescription"),
+    )
     next_severity = F.get(F.array(*map(F.lit, fixed.SEVERITIES)), F.least(scores.rank(F.col("severity"), fixed.SEVERITIES) + 1, F.lit(len(fixed.SEVERITIES) - 1)))
     demoted = F.when(small, scores.capped(next_severity, F.least(level, F.lit(2)))).otherwise(F.col("severity"))
     claims = F.concat_ws(" ", _text("evidence"), _text("mechanism"))
     causal = claims.rlike(f"(?i){CAUSAL}") & ~claims.rlike(f"(?i){HEDGED}") & (level <= 2)
     f = f.withColumn("drop_reason", reason).withColumn("_s", demoted).withColumn("_l", F.when(causal, 3).otherwise(level))
-    f = f.withColumn("confidence", F.when(small, "low").otherwise(F.col("confidence"))).withColumn("claim_level", F.col("_l")).withColumn("severity", scores.capped(F.col("_s"), F.col("_l")))
+    f = f.withColumn(
+        "confidence", F.when(small, "low").otherwise(F.col("confidence")),
+    ).withColumn("claim_level", F.col("_l")).withColumn("severity", scores.capped(F.col("_s"), F.col("_l")))
     cap = F.when(F.col("severity") == "info", "low").otherwise(F.col("severity"))
     f = f.withColumn("priority", F.when(scores.rank(F.col("priority"), PRIORITIES) < scores.rank(cap, PRIORITIES), cap).otherwise(F.col("priority")))
     return f.drop("_id", "_kinds", "_s", "_l")
@@ -108,9 +120,13 @@ def merged(findings: DataFrame) -> DataFrame:
     spark = findings.sparkSession
     pairs = spark.createDataFrame([(i, root, s) for i, (root, symptoms) in enumerate(ROOT_CAUSES.items()) for s in symptoms], "rank int, root string, symptom string")
     f = findings.withColumn("_urls", urls_of())
-    roots = f.join(F.broadcast(pairs.select("rank", F.col("root").alias("check_id")).distinct()), "check_id").withColumn("_first", F.row_number().over(W.partitionBy("site", "check_id").orderBy("finding_no"))).where("_first = 1 and size(_urls) > 0")
+    roots = f.join(
+        F.broadcast(pairs.select("rank", F.col("root").alias("check_id")).distinct()), "check_id",
+    ).withColumn("_first", F.row_number().over(W.partitionBy("site", "check_id").orderBy("finding_no"))).where("_first = 1 and size(_urls) > 0")
     roots = roots.select("site", F.col("check_id").alias("root"), F.col("finding_no").alias("root_no"), F.col("_urls").alias("root_urls"))
-    held = f.where("size(_urls) > 0").join(F.broadcast(pairs), F.col("check_id") == F.col("symptom")).join(roots, ["site", "root"]).where(F.size(F.array_except("_urls", "root_urls")) == 0)
+    held = f.where("size(_urls) > 0").join(
+        F.broadcast(pairs), F.col("check_id") == F.col("symptom"),
+    ).join(roots, ["site", "root"]).where(F.size(F.array_except("_urls", "root_urls")) == 0)
     owner = held.groupBy("site", "finding_no").agg(F.min_by("root_no", "rank").alias("root_no"), F.first("title").alias("title"))
     gained = owner.groupBy("site", "root_no").agg(F.array_sort(F.collect_list("title")).alias("consequences")).withColumnRenamed("root_no", "finding_no")
     return findings.join(owner.select("site", "finding_no"), ["site", "finding_no"], "left_anti").join(gained, ["site", "finding_no"], "left")
@@ -118,7 +134,10 @@ def merged(findings: DataFrame) -> DataFrame:
 
 def numbered(findings: DataFrame) -> DataFrame:
     """findings in report order with ids F-001..., by site: severity, layer, confidence, title."""
-    w = W.partitionBy("site").orderBy(scores.rank(F.col("severity"), fixed.SEVERITIES), scores.rank(F.col("layer"), LAYERS), scores.rank(F.col("confidence"), CONFIDENCES), "title", "check_id")
+    w = W.partitionBy("site").orderBy(
+        scores.rank(F.col("severity"), fixed.SEVERITIES), scores.rank(F.col("layer"), LAYERS), scores.rank(F.col("confidence"), CONFIDENCES), "title",
+        "check_id",
+    )
     return findings.withColumn("position", F.row_number().over(w)).withColumn("id", F.format_string("F-%03d", "position"))
 
 

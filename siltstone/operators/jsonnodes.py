@@ -257,8 +257,14 @@ def _value_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             at = pa.array(np.r_[text, bare])
             values = pa.concat_arrays([t.text(tokens[text], 1), t.text(tokens[bare], 0)])
             first = pc.utf8_slice_codeunits(values, 0, 1)
-            kinds = pc.if_else(pa.array(np.arange(len(at)) < len(text)), "string", pc.if_else(pc.is_in(first, pa.array(["t", "f"])), "boolean", pc.if_else(pc.equal(first, "n"), "null", "number")))
-            yield _unique([ids.take(pa.array(t.doc[tokens]).take(at)), own.take(at), near.take(at), kinds, values], [batch.schema.names[0], "value_path", "node_path", "kind", "value"])
+            kinds = pc.if_else(
+                pa.array(np.arange(len(at)) < len(text)), "string",
+                pc.if_else(pc.is_in(first, pa.array(["t", "f"])), "boolean", pc.if_else(pc.equal(first, "n"), "null", "number")),
+            )
+            yield _unique(
+                [ids.take(pa.array(t.doc[tokens]).take(at)), own.take(at), near.take(at), kinds, values],
+                [batch.schema.names[0], "value_path", "node_path", "kind", "value"],
+            )
 
 
 def _id_type(df: DataFrame, key: str) -> str:

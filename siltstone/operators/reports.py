@@ -14,9 +14,15 @@ from siltstone.functions import fixed, scores
 from siltstone.operators import findings as review
 
 ISO_TIME = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}Z$"
-COLUMNS = ("site", "check_id", "title", "severity", "claim_level", "confidence", "evidence", "observed", "expected", "sample_size", "urls", "action", "mechanism", "priority", "layer")
+COLUMNS = (
+    "site", "check_id", "title", "severity", "claim_level", "confidence", "evidence", "observed", "expected", "sample_size", "urls", "action",
+    "mechanism", "priority", "layer",
+)
 #: What the notes of discovery mean to a reader, by a part of their text.
-LIMITATIONS = {"timeout": "Some pages did not answer in time.", "robots": "Pages that robots.txt closes were not read.", "budget": "The page budget ended the sample early.", "truncated": "Very large pages were read in part."}
+LIMITATIONS = {
+    "timeout": "Some pages did not answer in time.", "robots": "Pages that robots.txt closes were not read.",
+    "budget": "The page budget ended the sample early.", "truncated": "Very large pages were read in part.",
+}
 
 
 def concatenated(*layers: DataFrame) -> DataFrame:
@@ -63,7 +69,10 @@ def chart_series(findings: DataFrame, mix: DataFrame, genres: DataFrame, medians
         return every.join(n, ["site", "label"], "left").select("site", F.lit(chart).alias("chart"), "label", F.coalesce("n", F.lit(0)).cast("double").alias("value"))
 
     named = lambda df, chart: df.select("site", F.lit(chart).alias("chart"), "label", F.col("value").cast("double").alias("value"))
-    return concatenated(counted("severity", fixed.SEVERITIES, "severity"), counted("layer", review.LAYERS, "layer"), named(mix, "page_type"), named(genres, "genre"), named(medians, "median_score"))
+    return concatenated(
+        counted("severity", fixed.SEVERITIES, "severity"), counted("layer", review.LAYERS, "layer"), named(mix, "page_type"), named(genres, "genre"),
+        named(medians, "median_score"),
+    )
 
 
 def as_json(findings: DataFrame, summary: DataFrame) -> DataFrame:
@@ -84,9 +93,14 @@ def as_markdown(findings: DataFrame, summary: DataFrame) -> DataFrame:
         F.lit("### "), cell("id"), F.lit(" "), cell("title"), F.lit("\n\n**"), cell("severity"), F.lit("** (level "), cell("claim_level"), F.lit(", confidence "), cell("confidence"), F.lit(")\n\n"), cell("evidence"),
         F.lit("\n\nAction: "), cell("action"), F.lit("\n"),
     )
-    lists = review.numbered(findings).select("site", "position", text.alias("text")).groupBy("site").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "text"))), lambda r: r["text"]), "\n").alias("body"))
+    lists = review.numbered(findings).select(
+        "site", "position", text.alias("text"),
+    ).groupBy("site").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "text"))), lambda r: r["text"]), "\n").alias("body"))
     counts = F.concat_ws(", ", *(F.concat(F.col(s).cast("string"), F.lit(f" {s}")) for s in fixed.SEVERITIES))
-    head = F.concat(F.lit("# "), F.col("site"), F.lit("\n\n"), cell("audited_at"), F.lit(": "), F.col("total_findings").cast("string"), F.lit(" findings ("), counts, F.lit(")\n\n"))
+    head = F.concat(
+        F.lit("# "), F.col("site"), F.lit("\n\n"), cell("audited_at"), F.lit(": "), F.col("total_findings").cast("string"), F.lit(" findings ("),
+        counts, F.lit(")\n\n"),
+    )
     return summary.join(lists, "site", "left").select("site", F.concat(head, F.coalesce("body", F.lit(""))).alias("markdown"))
 
 
@@ -102,7 +116,10 @@ def as_html(findings: DataFrame, summary: DataFrame) -> DataFrame:
     rows = review.numbered(findings).select("site", "position", F.concat(F.lit("<tr>"), *cells, F.lit("</tr>")).alias("row"))
     lists = rows.groupBy("site").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "row"))), lambda r: r["row"]), "\n").alias("rows"))
     name = escaped(F.col("site"))
-    page = F.concat(F.lit("<!doctype html><html><head><meta charset=\"utf-8\"><title>"), name, F.lit("</title></head><body><h1>"), name, F.lit("</h1><p>"), F.col("total_findings").cast("string"), F.lit(" findings</p><table>\n"), F.coalesce("rows", F.lit("")), F.lit("\n</table></body></html>\n"))
+    page = F.concat(
+        F.lit("<!doctype html><html><head><meta charset=\"utf-8\"><title>"), name, F.lit("</title></head><body><h1>"), name, F.lit("</h1><p>"),
+        F.col("total_findings").cast("string"), F.lit(" findings</p><table>\n"), F.coalesce("rows", F.lit("")), F.lit("\n</table></body></html>\n"),
+    )
     return summary.join(lists, "site", "left").select("site", page.alias("html"))
 
 
@@ -116,7 +133,10 @@ def artefact_errors(files: DataFrame, needed: tuple[str, ...] = (), least_bytes:
     text that they should have, or, named .pdf, don't begin and end as one."""
     text = F.decode("content", "ISO-8859-1")
     pdf = F.endswith(F.lower("path"), F.lit(".pdf"))
-    checks = {"smaller than it should be": F.col("length") < least_bytes, "no PDF head": pdf & ~F.startswith(text, F.lit("%PDF-")), "no PDF end": pdf & ~F.contains(F.right(text, F.lit(1024)), F.lit("%%EOF"))}
+    checks = {
+        "smaller than it should be": F.col("length") < least_bytes, "no PDF head": pdf & ~F.startswith(text, F.lit("%PDF-")),
+        "no PDF end": pdf & ~F.contains(F.right(text, F.lit(1024)), F.lit("%%EOF")),
+    }
     checks |= {f"lacks {token!r}": ~pdf & ~F.contains(text, F.lit(token)) for token in needed}
     return files.select("path", F.explode(F.array_compact(F.array(*(F.when(c, F.lit(n)) for n, c in checks.items())))).alias("error"))
 
@@ -148,7 +168,10 @@ def summary_errors(findings: DataFrame, summary: DataFrame) -> DataFrame:
     actual = review.severity_counts(findings).select("site", F.col("total").alias("_total"), *(F.col(s).alias(f"_{s}") for s in fixed.SEVERITIES))
     both = summary.join(actual, "site", "left")
     differs = lambda given, real: ~F.col(given).eqNullSafe(F.coalesce(F.col(real), F.lit(0)))
-    checks = {"no site": F.coalesce("site", F.lit("")) == "", "time of wrong form": ~F.coalesce("audited_at", F.lit("")).rlike(ISO_TIME), "total differs": differs("total_findings", "_total")}
+    checks = {
+        "no site": F.coalesce("site", F.lit("")) == "", "time of wrong form": ~F.coalesce("audited_at", F.lit("")).rlike(ISO_TIME),
+        "total differs": differs("total_findings", "_total"),
+    }
     checks |= {f"count of {s} differs": differs(s, f"_{s}") for s in fixed.SEVERITIES}
     errors = F.array_compact(F.array(*(F.when(c, F.lit(n)) for n, c in checks.items())))
     return both.select("site", F.lit(None).cast("string").alias("id"), F.explode(errors).alias("error"))
@@ -162,7 +185,9 @@ def verdicts(findings: DataFrame, summary: DataFrame, dropped: DataFrame) -> Dat
     issues = concatenated(row_errors(findings), summary_errors(findings, summary), gone)
     repairable = ~F.col("error").isin("no title", "no evidence", "no action", "no site", "unknown severity")
     counted = issues.groupBy("site").agg(F.count(F.lit(1)).alias("issues"), F.count_if(repairable).alias("repairable"))
-    out = summary.select("site").join(counted, "site", "left").select("site", F.coalesce("issues", F.lit(0)).alias("issues"), F.coalesce("repairable", F.lit(0)).alias("repairable"))
+    out = summary.select("site").join(counted, "site", "left").select(
+        "site", F.coalesce("issues", F.lit(0)).alias("issues"), F.coalesce("repairable", F.lit(0)).alias("repairable"),
+    )
     return out.withColumn("verdict", F.when(F.col("issues") == 0, "ACCEPT").when(F.col("issues") == F.col("repairable"), "REPAIR").otherwise("REGENERATE"))
 
 

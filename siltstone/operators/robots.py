@@ -40,12 +40,16 @@ def errors(directives: DataFrame) -> DataFrame:
 
 def rules(directives: DataFrame) -> DataFrame:
     """(site, group_no, rule, is_allow)."""
-    return directives.where(F.col("field").isin("allow", "disallow") & (F.col("group_no") > 0)).select("site", "group_no", F.col("value").alias("rule"), (F.col("field") == "allow").alias("is_allow"))
+    return directives.where(F.col("field").isin("allow", "disallow") & (F.col("group_no") > 0)).select(
+        "site", "group_no", F.col("value").alias("rule"), (F.col("field") == "allow").alias("is_allow"),
+    )
 
 
 def delays(directives: DataFrame) -> DataFrame:
     """(site, group_no, delay) of the last delay that is a number."""
-    delay = directives.where(F.col("field").isin("crawl-delay", "crawldelay") & (F.col("group_no") > 0)).select("site", "group_no", "line", F.expr("try_cast(value as double)").alias("delay")).where("delay is not null")
+    delay = directives.where(F.col("field").isin("crawl-delay", "crawldelay") & (F.col("group_no") > 0)).select(
+        "site", "group_no", "line", F.expr("try_cast(value as double)").alias("delay"),
+    ).where("delay is not null")
     return delay.groupBy("site", "group_no").agg(F.max_by("delay", "line").alias("delay"))
 
 
@@ -86,7 +90,9 @@ def verdicts(rule_table: DataFrame, groups: DataFrame, paths: DataFrame) -> Data
     rule decides, its length counted as written; Allow wins ties; no matching rule allows."""
     asked = groups.join(paths.select("site", "path").distinct(), "site")
     found = asked.join(rule_table.where("rule <> ''"), ["site", "group_no"], "left").withColumn("matches", matches(F.col("rule"), F.col("path")))
-    decided = found.groupBy("site", "agent", "path").agg(F.max(F.when(F.col("matches"), F.struct(F.length("rule").alias("size"), F.col("is_allow").alias("is_allow")))).alias("best"))
+    decided = found.groupBy(
+        "site", "agent", "path",
+    ).agg(F.max(F.when(F.col("matches"), F.struct(F.length("rule").alias("size"), F.col("is_allow").alias("is_allow")))).alias("best"))
     return decided.select("site", "agent", "path", F.coalesce("best.is_allow", F.lit(True)).alias("allowed"))
 
 

@@ -35,7 +35,10 @@ def parse_files(files: DataFrame, url: str = "url", xml: str = "xml") -> DataFra
         F.when(namespace == "", "no xmlns declared").when(namespace != NAMESPACE, F.concat(F.lit("declares namespace "), namespace)),
         F.when(bare & ~is_index, "loc elements are not wrapped in url elements"), F.when(F.octet_length(text) > MOST_BYTES, "exceeds the size limit"), F.when(F.size(entries) > MOST_URLS, "contains too many URLs"),
     ))
-    return files.select("*", namespace.alias("namespace"), is_index.alias("is_index"), F.when(is_index, locs).otherwise(F.array().cast("array<string>")).alias("children"), entries.alias("entries"), errors.alias("errors"))
+    return files.select(
+        "*", namespace.alias("namespace"), is_index.alias("is_index"),
+        F.when(is_index, locs).otherwise(F.array().cast("array<string>")).alias("children"), entries.alias("entries"), errors.alias("errors"),
+    )
 
 
 def lastmod_stats(entries: DataFrame, now: Column, site: str = "registrable_domain") -> DataFrame:
@@ -54,8 +57,14 @@ def lastmod_stats(entries: DataFrame, now: Column, site: str = "registrable_doma
     )
     # the first age at which more than half of the dated entries have been passed
     half = F.floor(F.col("dated") / 2)
-    walk = F.aggregate("ages", F.struct(F.lit(0).cast("bigint").alias("seen"), F.lit(None).cast("bigint").alias("median")), lambda a, x: F.struct((a["seen"] + x["n"]).alias("seen"), F.when(a["median"].isNull() & (a["seen"] + x["n"] > half), x["age"]).otherwise(a["median"]).alias("median")))
-    return summary.select("site", "entries", "dated", F.round(F.col("dated") / F.col("entries"), 3).alias("coverage"), "invalid", "future", "stale", walk["median"].alias("median_age"), "newest_age", "oldest_age")
+    walk = F.aggregate(
+        "ages", F.struct(F.lit(0).cast("bigint").alias("seen"), F.lit(None).cast("bigint").alias("median")),
+        lambda a, x: F.struct((a["seen"] + x["n"]).alias("seen"), F.when(a["median"].isNull() & (a["seen"] + x["n"] > half), x["age"]).otherwise(a["median"]).alias("median")),
+    )
+    return summary.select(
+        "site", "entries", "dated", F.round(F.col("dated") / F.col("entries"), 3).alias("coverage"), "invalid", "future", "stale",
+        walk["median"].alias("median_age"), "newest_age", "oldest_age",
+    )
 
 
 def problems(entries: DataFrame, now: Column, site: str = "registrable_domain", scheme: str = "https") -> DataFrame:
@@ -63,12 +72,20 @@ def problems(entries: DataFrame, now: Column, site: str = "registrable_domain",
     loc, domain = F.col("loc"), F.col(site)
     host = urls.host_of(loc)
     outside = (host == "") | ~urls.same_scope(host, domain)
-    flags = entries.where("loc is not null").select(domain.alias("site"), loc, outside.alias("off_scope"), (~outside & (urls.scheme_of(loc) != scheme)).alias("scheme_mismatch"), F.contains(loc, F.lit("#")).alias("fragments"), "lastmod")
-    counts = flags.groupBy("site").agg(F.count_if("off_scope").alias("sitemap_off_scope"), F.count_if("scheme_mismatch").alias("sitemap_scheme_mismatch"), F.count_if("fragments").alias("sitemap_fragments"))
+    flags = entries.where("loc is not null").select(
+        domain.alias("site"), loc, outside.alias("off_scope"), (~outside & (urls.scheme_of(loc) != scheme)).alias("scheme_mismatch"),
+        F.contains(loc, F.lit("#")).alias("fragments"), "lastmod",
+    )
+    counts = flags.groupBy("site").agg(
+        F.count_if("off_scope").alias("sitemap_off_scope"), F.count_if("scheme_mismatch").alias("sitemap_scheme_mismatch"),
+        F.count_if("fragments").alias("sitemap_fragments"),
+    )
     # distinct locs by a first sum over (site, loc), so that one site's locs are spread over tasks
     distinct = flags.groupBy("site", "loc").agg(F.count(F.lit(1)).alias("n")).groupBy("site").agg((F.sum("n") - F.count(F.lit(1))).alias("sitemap_duplicates"))
     stats = lastmod_stats(entries.where("loc is not null"), now, site)
-    uniform = flags.where("lastmod is not null").groupBy("site", "lastmod").agg(F.count(F.lit(1)).alias("n")).groupBy("site").agg(F.count(F.lit(1)).alias("values"), F.sum("n").alias("rows"))
+    uniform = flags.where("lastmod is not null").groupBy("site", "lastmod").agg(F.count(F.lit(1)).alias("n")).groupBy("site").agg(
+        F.count(F.lit(1)).alias("values"), F.sum("n").alias("rows"),
+    )
     all_ = counts.join(distinct, "site").join(stats, "site").join(uniform, "site", "left")
     c = F.col
     found = {

@@ -51,7 +51,10 @@ def score_rollup(scored: DataFrame, site: str = "site", score: str = "score") ->
     """Per site: pages, mean, upper median, extremes and the number in each rating."""
     s = F.col(score)
     bands = [F.count_if(scores.rating(s) == name).alias(name) for name in (*(n for n, _ in fixed.RATINGS), "very_weak")]
-    totals = scored.groupBy(site).agg(F.count(s).alias("pages"), F.round(F.avg(s), 4).alias("mean"), F.min(s).alias("lowest"), F.max(s).alias("highest"), F.count_if(s < 0.45).alias("weak_or_worse"), *bands)
+    totals = scored.groupBy(site).agg(
+        F.count(s).alias("pages"), F.round(F.avg(s), 4).alias("mean"), F.min(s).alias("lowest"), F.max(s).alias("highest"),
+        F.count_if(s < 0.45).alias("weak_or_worse"), *bands,
+    )
     return totals.join(upper_median(scored, site, score), site, "left")
 
 
@@ -68,7 +71,10 @@ def calibration(pages: DataFrame, site: str = "site", words: str = "words", head
     stats = stats.select(site, "pages", "median_words", "p25_words", "min_words", "max_words", "median_headings")
     thin = F.greatest(F.lit(float(THIN_WORDS)), F.least(F.col("median_words") * 0.5, F.lit(float(MOST_THIN))))
     thin = F.least(thin, F.lit(float(THIN_WORDS))) if strictness == "lenient" else F.greatest(thin, F.col("median_words") * 0.6) if strictness == "strict" else thin
-    return stats.where(F.col("pages") >= LEAST_SAMPLE).select("*", F.round(F.col("max_words") / F.greatest(F.lit(1), F.col("min_words")), 2).alias("spread"), F.bround(thin).cast("int").alias("thin_words"), F.when(F.col("median_headings") >= 4, 2).otherwise(1).alias("min_headings"))
+    return stats.where(F.col("pages") >= LEAST_SAMPLE).select(
+        "*", F.round(F.col("max_words") / F.greatest(F.lit(1), F.col("min_words")), 2).alias("spread"),
+        F.bround(thin).cast("int").alias("thin_words"), F.when(F.col("median_headings") >= 4, 2).otherwise(1).alias("min_headings"),
+    )
 
 
 def round_robin(candidates: DataFrame, limit: int, site: str = "site", kind: str = "page_type", order: str = "ordinal") -> DataFrame:

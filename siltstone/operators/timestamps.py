@@ -36,7 +36,11 @@ MONTH_NAMES = {
     "it": "gennaio febbraio marzo aprile maggio giugno luglio agosto settembre ottobre novembre dicembre",
 }
 # Short forms that are no prefix of exactly one month's names in all languages.
-SHORT_MONTHS = {"jan": 1, "feb": 2, "mar": 3, "apr": 4, "may": 5, "jun": 6, "jul": 7, "aug": 8, "sep": 9, "sept": 9, "oct": 10, "nov": 11, "dec": 12, "mär": 3, "mrt": 3, "mai": 5, "mei": 5, "okt": 10, "dez": 12, "fév": 2, "févr": 2, "avr": 4, "juil": 7, "déc": 12, "ene": 1, "abr": 4, "ago": 8, "dic": 12, "fev": 2, "set": 9, "out": 10, "gen": 1, "mag": 5, "giu": 6, "lug": 7, "ott": 10}
+SHORT_MONTHS = {
+    "jan": 1, "feb": 2, "mar": 3, "apr": 4, "may": 5, "jun": 6, "jul": 7, "aug": 8, "sep": 9, "sept": 9, "oct": 10, "nov": 11, "dec": 12, "mär": 3,
+    "mrt": 3, "mai": 5, "mei": 5, "okt": 10, "dez": 12, "fév": 2, "févr": 2, "avr": 4, "juil": 7, "déc": 12, "ene": 1, "abr": 4, "ago": 8, "dic": 12,
+    "fev": 2, "set": 9, "out": 10, "gen": 1, "mag": 5, "giu": 6, "lug": 7, "ott": 10,
+}
 WEEKDAYS = ("mon", "tue", "wed", "thu", "fri", "sat", "sun")
 MONTHS = SHORT_MONTHS | {n: i for names in MONTH_NAMES.values() for i, n in enumerate(names.split(), 1)}
 
@@ -180,14 +184,20 @@ def parse(raw: str | None, tz: str | None, locale: str | None) -> tuple[int | No
     return next(iter(found.items())) if len(found) == 1 else (None, "")
 
 
-DICTIONARY = T.StructType([T.StructField("raw", T.StringType()), T.StructField("tz", T.StringType()), T.StructField("locale", T.StringType()), T.StructField("instant", T.TimestampType()), T.StructField("form", T.StringType())])
+DICTIONARY = T.StructType([
+    T.StructField("raw", T.StringType()), T.StructField("tz", T.StringType()), T.StructField("locale", T.StringType()),
+    T.StructField("instant", T.TimestampType()), T.StructField("form", T.StringType()),
+])
 
 
 def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         keys = [b.column(i).to_pylist() for i in range(3)]
         parsed = [parse(*k) for k in zip(*keys, strict=True)]
-        yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([p[0] for p in parsed], pa.timestamp("us", "UTC")), pa.array([p[1] for p in parsed], pa.string())], ["raw", "tz", "locale", "instant", "form"])
+        yield pa.RecordBatch.from_arrays(
+            [*b.columns[:3], pa.array([p[0] for p in parsed], pa.timestamp("us", "UTC")), pa.array([p[1] for p in parsed], pa.string())],
+            ["raw", "tz", "locale", "instant", "form"],
+        )
 
 
 class StampDictionary:

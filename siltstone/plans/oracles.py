@@ -38,7 +38,9 @@ def _graded(c: str, floor: int, full: int) -> str:
 
 
 _W = fixed.SCORE_WEIGHTS
-SCORE = f"round({_W['words']}::DOUBLE * least(1.0, greatest(0.0, words / {fixed.WORD_TARGET}::DOUBLE)) + {_W['headings']}::DOUBLE * least(1.0, greatest(0.0, headings / {fixed.HEADING_TARGET}::DOUBLE)) + " + " + ".join(f"{_W[g]}::DOUBLE * ({_graded('n_' + g, *fixed.GRADES[g])})" for g in ("definition", "numeric", "comparison")) + ", 4)"
+SCORE = f"round({_W['words']}::DOUBLE * least(1.0, greatest(0.0, words / {fixed.WORD_TARGET}::DOUBLE)) + {_W['headings']}::DOUBLE * least(1.0, greatest(0.0, headings / {fixed.HEADING_TARGET}::DOUBLE)) + " + " + ".join(f"{_W[g]}::DOUBLE * ({_graded('n_' + g, *fixed.GRADES[g])})" for g in (
+    "definition", "numeric", "comparison",
+)) + ", 4)"
 RATING = "CASE " + " ".join(f"WHEN score >= {least} THEN '{name}'" for name, least in fixed.RATINGS) + " ELSE 'very_weak' END"
 BAND = "CASE " + " ".join(f"WHEN words BETWEEN {a} AND {b} THEN '{a}-{b}'" if b < 10**9 else f"WHEN words >= {a} THEN '>3000'" for a, b, _ in fixed.WORD_BINS) + " ELSE 'unknown' END"
 SCORED = f"""

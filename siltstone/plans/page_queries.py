@@ -66,7 +66,10 @@ def markup_coverage(spark: SparkSession, d: str) -> DataFrame:
     some = lambda n: F.coalesce(F.array_size(n), F.lit(0)) > 0
     ld, other = some("json_ld"), some("microdata_types") | some("rdfa_types")
     h = table(spark, d, "html_docs").select("page_id", ld.alias("ld"), other.alias("other")).join(_sites(spark, d), "page_id")
-    out = h.groupBy("site").agg(F.count(F.lit(1)).alias("pages"), F.count_if("ld").alias("json_ld"), F.count_if("other").alias("microdata_or_rdfa"), F.count_if(F.col("ld") | F.col("other")).alias("any_markup"))
+    out = h.groupBy("site").agg(
+        F.count(F.lit(1)).alias("pages"), F.count_if("ld").alias("json_ld"), F.count_if("other").alias("microdata_or_rdfa"),
+        F.count_if(F.col("ld") | F.col("other")).alias("any_markup"),
+    )
     return out.withColumn("coverage", F.round(F.col("json_ld") / F.col("pages"), 3))
 
 
@@ -132,7 +135,10 @@ def type_expectations(spark: SparkSession, d: str) -> DataFrame:
     v = table(spark, d, "validated_urls").select("page_id", urls.page_type(F.col("url")).alias("page_type"))
     p = entities.with_expectations(v).join(entities.page_types(_nodes(spark, d)), "page_id", "left").withColumn("types", F.coalesce("types", F.array().cast("array<string>")))
     r = p.select("page_type", entities.type_report(F.col("types"), F.col("schema_types")).alias("r"))
-    return r.groupBy("page_type").agg(F.count(F.lit(1)).alias("pages"), F.count_if(F.size("r.specific") > 0).alias("specific"), F.count_if("r.matches").alias("expected"), F.count_if(F.size("r.groups") > 1).alias("mixed"))
+    return r.groupBy("page_type").agg(
+        F.count(F.lit(1)).alias("pages"), F.count_if(F.size("r.specific") > 0).alias("specific"), F.count_if("r.matches").alias("expected"),
+        F.count_if(F.size("r.groups") > 1).alias("mixed"),
+    )
 
 
 _EXPECTED = "CASE page_type " + " ".join(f"WHEN {_q(n)} THEN {_LISTED(e[0]) if e[0] else '[]::VARCHAR[]'}" for n, e in fixed.PAGE_EXPECTATIONS.items()) + " END"
@@ -150,7 +156,10 @@ def lead_signals(spark: SparkSession, d: str) -> DataFrame:
     whether its site's name is in it."""
     t = spread(table(spark, d, "documents").select("doc_id", "text", "source"))
     token = F.get(F.split("source", r"\."), F.lit(0))
-    return t.select("doc_id", F.inline(F.array(text.lead_signals(F.col("text")))), text.update_language(F.col("text")).alias("update_language"), text.brand_named(token, F.col("text"), F.lit(None).cast("string")).alias("brand_named"), text.ambiguous_brand(token).alias("ambiguous"))
+    return t.select(
+        "doc_id", F.inline(F.array(text.lead_signals(F.col("text")))), text.update_language(F.col("text")).alias("update_language"),
+        text.brand_named(token, F.col("text"), F.lit(None).cast("string")).alias("brand_named"), text.ambiguous_brand(token).alias("ambiguous"),
+    )
 
 
 _W = "list_filter(regexp_split_to_array(coalesce(text, ''), '[\\s\\x{00a0}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{1680}\\x{0085}]+'), lambda w: w <> '')"
@@ -180,7 +189,9 @@ def canonical_elsewhere(spark: SparkSession, d: str) -> DataFrame:
     f = table(spark, d, "fetch_results").where("final_url is not null")
     # the pages' own are right; every seventh is moved
     moved = F.when(F.col("page_id") % 7 == 0, F.concat("canonical", F.lit("/moved"))).otherwise(F.col("canonical"))
-    h = table(spark, d, "html_docs").where("canonical <> ''").withColumn("canonical", moved).select("page_id", bare("canonical").alias("canonical")).join(f.select("page_id", bare("url").alias("url")), "page_id")
+    h = table(spark, d, "html_docs").where("canonical <> ''").withColumn("canonical", moved).select("page_id", bare("canonical").alias("canonical")).join(
+        f.select("page_id", bare("url").alias("url")), "page_id",
+    )
     known = f.select(bare("final_url").alias("canonical")).distinct()
     return h.where("canonical <> url").join(known, "canonical", "left_anti").select("page_id", "canonical")
 
@@ -215,7 +226,9 @@ SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY k) - 1 AS
 def layers_before(spark: SparkSession, d: str) -> DataFrame:
     """Signs that something stands before the page, and whether there is a breadcrumb in the markup."""
     b = F.col("body")
-    f = spread(table(spark, d, "fetch_results").where("body is not null").select("page_id", "body")).select("page_id", F.inline(F.array(markup.layers_before(b))), markup.breadcrumb(b).alias("breadcrumb"))
+    f = spread(table(spark, d, "fetch_results").where("body is not null").select("page_id", "body")).select(
+        "page_id", F.inline(F.array(markup.layers_before(b))), markup.breadcrumb(b).alias("breadcrumb"),
+    )
     return f.select("page_id", F.array_join("strong", ",").alias("strong"), F.array_join("weak", ",").alias("weak"), "breadcrumb")
 
 
@@ -254,10 +267,15 @@ SELECT page_id, text_to_html, script_to_text, words < {fixed.GAP_WORDS} AND (tex
 
 def score_notes(spark: SparkSession, d: str) -> DataFrame:
     """Remarks on each page's score and the genres it lacks."""
-    h = spread(table(spark, d, "html_docs").select("page_id", "main_text")).select("page_id", text.word_count(F.col("main_text")).alias("words"), *text.genre_counts(F.col("main_text")))
+    h = spread(table(spark, d, "html_docs").select("page_id", "main_text")).select(
+        "page_id", text.word_count(F.col("main_text")).alias("words"), *text.genre_counts(F.col("main_text")),
+    )
     h = h.withColumn("g", text.genres(fixed.POSITIVE_GENRES)).withColumn("survey", text.genres(fixed.SURVEY_GENRES))
     lacking = F.array_except(F.array(*map(F.lit, ("definition", "numeric", "comparison", "howto"))), F.col("g"))
-    return h.select("page_id", F.array_join(text.score_notes(F.col("words"), F.col("n_qa"), F.size("g"), F.col("n_hedge")), ",").alias("notes"), F.array_join(lacking, ",").alias("missing"), F.array_join("survey", ",").alias("survey"))
+    return h.select(
+        "page_id", F.array_join(text.score_notes(F.col("words"), F.col("n_qa"), F.size("g"), F.col("n_hedge")), ",").alias("notes"),
+        F.array_join(lacking, ",").alias("missing"), F.array_join("survey", ",").alias("survey"),
+    )
 
 
 _IF = lambda g: f"n_{g} >= {fixed.GENRES[g][1]}"
@@ -269,7 +287,10 @@ SELECT page_id, concat_ws(',', CASE WHEN {_IF('qa')} AND genres = 0 THEN 'qa_wit
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (jsonld_top_nodes, jsonld_top_types, markup_coverage, name_variants, best_organisation, identity_links, missing_properties, type_expectations, lead_signals, soft_404, canonical_elsewhere, form_fields, layers_before, breadcrumbs, render_gaps, score_notes)
+    own = (
+        jsonld_top_nodes, jsonld_top_types, markup_coverage, name_variants, best_organisation, identity_links, missing_properties, type_expectations,
+        lead_signals, soft_404, canonical_elsewhere, form_fields, layers_before, breadcrumbs, render_gaps, score_notes,
+    )
     return {f.__name__: f for f in own}
 
 

@@ -37,13 +37,19 @@ SQL["url_vectors"] = "SELECT * FROM (VALUES " + ", ".join(f"({_q(u)}, {_q(c)})"
 
 def url_variants(spark: SparkSession, d: str) -> DataFrame:
     u = F.col("url")
-    return table(spark, d, "validated_urls").select("page_id", urls.robots_url(u).alias("robots"), urls.other_scheme(u).alias("other_scheme"), urls.other_host(urls.host_of(u)).alias("other_host"))
+    return table(spark, d, "validated_urls").select(
+        "page_id", urls.robots_url(u).alias("robots"), urls.other_scheme(u).alias("other_scheme"),
+        urls.other_host(urls.host_of(u)).alias("other_host"),
+    )
 
 
 SQL["url_variants"] = f"""
 SELECT page_id, {oracles.SCHEME} || '://' || lower({oracles.AUTHORITY}) || '/robots.txt' AS robots, CASE WHEN {oracles.SCHEME} = 'https' THEN 'http' || url[6:] ELSE 'https' || url[5:] END AS other_scheme, CASE WHEN starts_with({oracles.HOST}, 'www.') THEN ({oracles.HOST})[5:] ELSE 'www.' || {oracles.HOST} END AS other_host FROM validated_urls
 """
-_CODES = ("ok", "ok", "ok", "ok", "bad_scheme", "embedded_credentials", "bad_port", "blocked_host", "private_ip", "obfuscated_ip_hex", "obfuscated_ip_decimal", "bad_label", "reserved_suffix", "not_fqdn", "empty")
+_CODES = (
+    "ok", "ok", "ok", "ok", "bad_scheme", "embedded_credentials", "bad_port", "blocked_host", "private_ip", "obfuscated_ip_hex",
+    "obfuscated_ip_decimal", "bad_label", "reserved_suffix", "not_fqdn", "empty",
+)
 SQL["url_reject_codes"] = f"SELECT page_id, CAST(i AS INTEGER) AS variant, {list(_CODES)}[i + 1] AS code FROM validated_urls, (SELECT unnest(range({len(_CODES)})) AS i)"
 
 
@@ -72,7 +78,9 @@ SELECT url, page_id, substr(trim(regexp_replace(lower({oracles.HOST}), '[^a-z0-9
 
 
 def page_and_byte_budget(spark: SparkSession, d: str) -> DataFrame:
-    f = table(spark, d, "fetch_results").where("raw_bytes is not null").select("page_id", "raw_bytes").join(table(spark, d, "validated_urls").select("page_id", F.col("registrable_domain").alias("site")), "page_id")
+    f = table(spark, d, "fetch_results").where("raw_bytes is not null").select("page_id", "raw_bytes").join(
+        table(spark, d, "validated_urls").select("page_id", F.col("registrable_domain").alias("site")), "page_id",
+    )
     return pages.budgeted(f, 12, 60_000, F.col("raw_bytes")).select("site", "page_id", "used_before")
 
 
@@ -107,9 +115,15 @@ SQL["affordable_samples"] = "SELECT site, delay, CAST(CASE WHEN delay <= 0 THEN
 
 def sitemap_files(spark: SparkSession, d: str) -> DataFrame:
     """Entries written as files and parsed again; every fourth has its loc bare."""
-    e = table(spark, d, "sitemap_entries").where("loc is not null").select("entry_id", "loc", F.coalesce("lastmod", F.lit("")).alias("lastmod")).where(~F.col("loc").rlike(r"[<&]|^\s|\s$") & ~F.col("lastmod").rlike(r"[<&]|^\s|\s$"))
+    e = table(spark, d, "sitemap_entries").where("loc is not null").select(
+        "entry_id", "loc", F.coalesce("lastmod", F.lit("")).alias("lastmod"),
+    ).where(~F.col("loc").rlike(r"[<&]|^\s|\s$") & ~F.col("lastmod").rlike(r"[<&]|^\s|\s$"))
     loc = F.concat(F.lit("<loc> "), "loc", F.lit(" </loc>"))
-    xml = F.concat(F.lit(f'<urlset xmlns="{sitemaps.NAMESPACE}">'), F.when(F.col("entry_id") % 4 == 0, loc).otherwise(F.concat(F.lit("<url>"), loc, F.lit("<lastmod>"), "lastmod", F.lit("</lastmod></url>"))), F.lit("</urlset>"))
+    xml = F.concat(
+        F.lit(f'<urlset xmlns="{sitemaps.NAMESPACE}">'),
+        F.when(F.col("entry_id") % 4 == 0, loc).otherwise(F.concat(F.lit("<url>"), loc, F.lit("<lastmod>"), "lastmod", F.lit("</lastmod></url>"))),
+        F.lit("</urlset>"),
+    )
     p = sitemaps.parse_files(e.select("entry_id", xml.alias("xml"), F.lit("u").alias("url")))
     return p.select("entry_id", F.explode("entries").alias("e"), F.size("errors").alias("errors")).select("entry_id", "e.loc", "e.lastmod", "errors")
 
@@ -124,7 +138,10 @@ def robots_reports(spark: SparkSession, d: str) -> DataFrame:
     rules differ by the length of the site's name."""
     v = table(spark, d, "validated_urls").where("registrable_domain is not null").select(F.col("registrable_domain").alias("site")).distinct()
     some = F.length("site") % 3
-    file = F.concat(F.lit("User-agent: GPTBot\nCrawl-delay: "), some.cast("string"), F.lit("\nDisallow: /"), F.when(some == 1, "\nAllow: /a").otherwise(""), F.when(some == 2, "").otherwise("\nUser-agent: *\nDisallow: /x\n"))
+    file = F.concat(
+        F.lit("User-agent: GPTBot\nCrawl-delay: "), some.cast("string"), F.lit("\nDisallow: /"), F.when(some == 1, "\nAllow: /a").otherwise(""),
+        F.when(some == 2, "").otherwise("\nUser-agent: *\nDisallow: /x\n"),
+    )
     lines = robots.lines(v.select("site", file.alias("text")))
     agents = spark.createDataFrame([("GPTBot",), ("Other",)], "agent string")
     groups = robots.agent_groups(lines, agents).join(robots.blocks_everything(robots.rules(lines)), ["site", "group_no"], "left")
@@ -142,10 +159,14 @@ def external_hosts(spark: SparkSession, d: str) -> DataFrame:
     """Per site, distinct hosts outside it, their families, and those that corroborate or amplify. Every
     fifth link leads to a known host."""
     known = [s for _, suffixes in fixed.HOST_FAMILIES for s in suffixes]
-    links = table(spark, d, "html_docs").select("page_id", F.posexplode("links.href").alias("i", "href")).join(table(spark, d, "validated_urls").select("page_id", F.col("registrable_domain").alias("site")), "page_id")
+    links = table(spark, d, "html_docs").select("page_id", F.posexplode("links.href").alias("i", "href")).join(
+        table(spark, d, "validated_urls").select("page_id", F.col("registrable_domain").alias("site")), "page_id",
+    )
     pick = ((F.col("page_id") + F.col("i")) % len(known)).cast("int")
     host = F.when((F.col("page_id") + F.col("i")) % 5 == 0, F.ltrim(F.get(F.array(*map(F.lit, known)), pick), F.lit("."))).otherwise(urls.host_of(F.col("href")))
-    each = links.select("site", host.alias("host")).where((F.col("host") != "") & ~urls.same_scope(F.col("host"), F.col("site"))).distinct().withColumn("family", hosts.host_family(F.col("host")))
+    each = links.select("site", host.alias("host")).where((F.col("host") != "") & ~urls.same_scope(F.col("host"), F.col("site"))).distinct().withColumn(
+        "family", hosts.host_family(F.col("host")),
+    )
     of = each.groupBy("site").agg(F.count(F.lit(1)).alias("hosts"), F.collect_set("family").alias("f"))
     both = lambda names: F.array_join(F.array_sort(F.array_intersect("f", F.array(*map(F.lit, names)))), ",")
     return of.select("site", "hosts", both(fixed.CORROBORATING).alias("corroborating"), both(fixed.AMPLIFYING).alias("amplifying"))
@@ -220,7 +241,9 @@ SELECT page_id, CASE WHEN NOT coalesce(allowed, true) THEN 'skipped' WHEN status
 def render_summary(spark: SparkSession, d: str) -> DataFrame:
     """Per site: pages with faults, with blocking ones, and their share."""
     f = site_queries.render_faults(spark, d).groupBy("page_id").agg(F.collect_list(F.struct("code", "severity")).alias("faults"))
-    h = table(spark, d, "fetch_results").where("body is not null").select("page_id").join(table(spark, d, "validated_urls").select("page_id", F.col("registrable_domain").alias("site")), "page_id").join(f, "page_id", "left")
+    h = table(spark, d, "fetch_results").where("body is not null").select("page_id").join(
+        table(spark, d, "validated_urls").select("page_id", F.col("registrable_domain").alias("site")), "page_id",
+    ).join(f, "page_id", "left")
     s = render.summary(h.withColumn("faults", F.coalesce("faults", F.array().cast("array<struct<code:string,severity:string>>"))))
     return s.select("site", "pages", "faulted", "blocking", "fault_rate", F.coalesce(F.to_json("by_code"), F.lit("{}")).alias("by_code"))
 
@@ -265,7 +288,9 @@ def _made(spark: SparkSession, d: str) -> DataFrame:
 
 _TYPES_SQL = f"SELECT registrable_domain AS site, {oracles.TYPE} AS check_id, count(*) AS n FROM validated_urls GROUP BY 1, 2"
 _RANK = lambda c, names: f"coalesce(list_position([{', '.join(map(_q, names))}], {c}), 99)"
-_CAP = lambda s, lv: f"CASE WHEN {_RANK(s, fixed.SEVERITIES)} < CASE {lv} WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 3 ELSE 5 END THEN CASE {lv} WHEN 2 THEN 'high' WHEN 3 THEN 'medium' ELSE 'info' END ELSE {s} END"
+_CAP = lambda s, lv: f"CASE WHEN {_RANK(
+    s, fixed.SEVERITIES,
+)} < CASE {lv} WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 3 ELSE 5 END THEN CASE {lv} WHEN 2 THEN 'high' WHEN 3 THEN 'medium' ELSE 'info' END ELSE {s} END"
 MADE = f"""
 n AS ({_TYPES_SQL}),
 r AS (SELECT site, check_id, 'Pages of type ' || check_id AS title, ['critical', 'high', 'medium', 'low', 'info', 'odd'][n % 6 + 1] AS raw, CAST(n % 4 + 1 AS INTEGER) AS claim_level, ['high', 'medium', 'low'][n % 3 + 1] AS confidence, CASE WHEN n % 7 = 0 THEN '' ELSE n || ' pages' END AS evidence,
@@ -297,7 +322,10 @@ def report_errors(spark: SparkSession, d: str) -> DataFrame:
 
 
 _PRI = _RANK("priority", findings.PRIORITIES)
-_ERRORS = {"no evidence": "evidence = ''", "no action": "action = ''", "unknown severity": "severity = 'odd'", "unknown priority": "priority = 'none'", "causal claim": "claim_level = 4", "priority above severity": f"least({_PRI}, 5) < least({_RANK('severity', fixed.SEVERITIES)}, 6)"}
+_ERRORS = {
+    "no evidence": "evidence = ''", "no action": "action = ''", "unknown severity": "severity = 'odd'", "unknown priority": "priority = 'none'",
+    "causal claim": "claim_level = 4", "priority above severity": f"least({_PRI}, 5) < least({_RANK('severity', fixed.SEVERITIES)}, 6)",
+}
 SQL["report_errors"] = f"""
 WITH {MADE} SELECT site, id, error FROM (SELECT site, id, unnest(list_filter([{', '.join(f'CASE WHEN {c} THEN {_q(n)} END' for n, c in _ERRORS.items())}], lambda e: e IS NOT NULL)) AS error FROM made)
 UNION ALL SELECT DISTINCT site, NULL, 'count of high differs' FROM made WHERE length(site) % 2 = 0
@@ -371,7 +399,10 @@ def report_texts(spark: SparkSession, d: str) -> DataFrame:
 def report_sizes(spark: SparkSession, d: str) -> DataFrame:
     """What is in the reports' texts: findings in the JSON, headings in the Markdown, rows in the HTML."""
     t = report_texts(spark, d)
-    return t.select("site", F.size(F.try_variant_get(F.try_parse_json("json"), "$.findings", "array<variant>")).alias("in_json"), F.regexp_count("markdown", F.lit("(?m)^### F-[0-9]{3} ")).alias("in_markdown"), F.regexp_count("html", F.lit("<tr><td>F-")).alias("in_html"))
+    return t.select(
+        "site", F.size(F.try_variant_get(F.try_parse_json("json"), "$.findings", "array<variant>")).alias("in_json"),
+        F.regexp_count("markdown", F.lit("(?m)^### F-[0-9]{3} ")).alias("in_markdown"), F.regexp_count("html", F.lit("<tr><td>F-")).alias("in_html"),
+    )
 
 
 SQL["report_sizes"] = f"WITH {MADE} SELECT site, count(*)::INTEGER AS in_json, count(*)::INTEGER AS in_markdown, count(*)::INTEGER AS in_html FROM made GROUP BY site"
@@ -398,7 +429,9 @@ SQL["run_limitations"] = f"SELECT DISTINCT registrable_domain AS site, {_MEANING
 
 def liveness(spark: SparkSession, d: str) -> DataFrame:
     """Per site, answers of a good, a broken and a redirecting sort, and the share of broken ones."""
-    f = table(spark, d, "fetch_results").where("status is not null").select("page_id", "status", F.coalesce(F.array_size("redirect_chain"), F.lit(0)).alias("hops")).join(table(spark, d, "validated_urls").select("page_id", F.col("registrable_domain").alias("site")), "page_id")
+    f = table(spark, d, "fetch_results").where("status is not null").select("page_id", "status", F.coalesce(F.array_size("redirect_chain"), F.lit(0)).alias("hops")).join(
+        table(spark, d, "validated_urls").select("page_id", F.col("registrable_domain").alias("site")), "page_id",
+    )
     out = f.groupBy("site").agg(F.count(F.lit(1)).alias("checked"), F.count_if(F.col("status") >= 400).alias("broken"), F.count_if(F.col("hops") > 0).alias("redirecting"))
     return out.withColumn("rate", F.round(F.col("broken") / F.col("checked"), 3))
 
@@ -419,13 +452,19 @@ def snippets(spark: SparkSession, d: str) -> DataFrame:
     """Each document's beginning, and whether it claims causes and hedges."""
     t = spread(table(spark, d, "documents").select("doc_id", "text"))
     low = F.coalesce("text", F.lit(""))
-    return t.select("doc_id", text.snippet(F.col("text"), 60).alias("snippet"), low.rlike(f"(?i){findings.CAUSAL}").alias("causal"), low.rlike(f"(?i){findings.HEDGED}").alias("hedged"))
+    return t.select(
+        "doc_id", text.snippet(F.col("text"), 60).alias("snippet"), low.rlike(f"(?i){findings.CAUSAL}").alias("causal"),
+        low.rlike(f"(?i){findings.HEDGED}").alias("hedged"),
+    )
 
 
 _FLAT = "trim(regexp_replace(coalesce(text, ''), '[\\s\\x{00a0}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{1680}\\x{0085}]+', ' ', 'g'), ' ')"
 SQL["snippets"] = f"SELECT doc_id, CASE WHEN length({_FLAT}) <= 60 THEN {_FLAT} ELSE rtrim(({_FLAT})[:59], ' ') || '…' END AS snippet, regexp_matches(coalesce(text, ''), {_q('(?i)' + findings.CAUSAL)}) AS causal, regexp_matches(coalesce(text, ''), {_q('(?i)' + findings.HEDGED)}) AS hedged FROM documents"
 
-_PLAIN = ("s", "thin_content", "Thin", "high", 1, "high", "5 of 9 pages have under 170 words, for example https://a.com/1", "5 of 9 pages", "", 9, ["https://a.com/1"], "Write more on these pages.", "", "high", "absorption")
+_PLAIN = (
+    "s", "thin_content", "Thin", "high", 1, "high", "5 of 9 pages have under 170 words, for example https://a.com/1", "5 of 9 pages", "", 9,
+    ["https://a.com/1"], "Write more on these pages.", "", "high", "absorption",
+)
 # A finding's changed fields, and what the gates must make of it: reason, severity, level, confidence, priority.
 REVIEWS = (
     ({}, (None, "high", 1, "high", "high")),
@@ -465,7 +504,10 @@ SQL["review_gates"] = "SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, {', '
 def merged_findings(spark: SparkSession, d: str) -> DataFrame:
     """Symptoms that their cause absorbs: those whose pages all are among the cause's."""
     both = ["https://a.com/1", "https://a.com/2"]
-    f = _reviewed(spark, [{"check_id": "empty_shell", "title": "Shell", "severity": "critical", "priority": "critical", "urls": both}, {}, {"urls": ["https://a.com/9"], "title": "Other"}, {"check_id": "no_evidence_genre", "title": "Bare", "urls": both}, {"site": "t"}])
+    f = _reviewed(
+        spark,
+        [{"check_id": "empty_shell", "title": "Shell", "severity": "critical", "priority": "critical", "urls": both}, {}, {"urls": ["https://a.com/9"], "title": "Other"}, {"check_id": "no_evidence_genre", "title": "Bare", "urls": both}, {"site": "t"}],
+    )
     return findings.numbered(findings.merged(f)).select("site", "id", "finding_no", F.array_join("consequences", ",").alias("consequences"))
 
 
