@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from collections.abc import Iterator
 from datetime import date, datetime, timedelta, timezone
 from functools import lru_cache
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.session import scratch_dir, shared_folder
+from siltstone.session import discard, scratch_dir, shared_folder, written
 
 # Month names by language.
 MONTH_NAMES = {
@@ -47,7 +48,7 @@ MONTHS = SHORT_MONTHS | {n: i for names in MONTH_NAMES.values() for i, n in enum
 EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
 MICRO = 1_000_000
 #: raised when what a form means changes
-VERSION = 1
+VERSION = 2
 
 DATE = r"(?P<Y>\d{4})(?P<sep>[-/.])(?P<m>\d{1,2})(?P=sep)(?P<d>\d{1,2})"
 CLOCK = r"(?P<H>\d{1,2}):(?P<M>\d{2})(?::(?P<S>\d{2})(?:[.,](?P<f>\d{1,9}))?)?(?:\s*(?P<ap>[ap]\.?m\.?))?(?:\s*(?:uhr|h))?"
@@ -214,19 +215,30 @@ class StampDictionary:
         rules = repr(([(n, p.pattern) for n, p in FORMS], sorted(MONTHS.items()), WEEKDAYS, tzdata_version(), VERSION))
         return cls(spark, f"{shared_folder(spark)}/siltstone-stamps-{hashlib.blake2b(rules.encode(), digest_size=8).hexdigest()}")
 
+    def _folders(self) -> list[str]:
+        """The updates that are whole; an interrupted one counts for nothing."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        at = path(self.path)
+        files = at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not files.exists(at):
+            return []
+        every = [f"{self.path}/{x.getPath().getName()}" for x in files.listStatus(at) if x.isDirectory()]
+        return sorted(x for x in every if files.exists(path(f"{x}/_SUCCESS")))
+
     def known(self) -> DataFrame | None:
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        at = jvm.org.apache.hadoop.fs.Path(self.path)
-        if not at.getFileSystem(conf).exists(at):
-            return None
-        return self.spark.read.schema(DICTIONARY).parquet(self.path)
+        folders = self._folders()
+        return self.spark.read.schema(DICTIONARY).parquet(*folders) if folders else None
 
     def update(self, keys: DataFrame) -> DataFrame:
-        """Parses the keys (raw, tz, locale) not known yet, adds them, and returns one row a key."""
+        """Parses the keys (raw, tz, locale) not known yet, adds them, and returns one row a key. Each update
+        writes a folder of its own, so that none disturbs another."""
         new = stamp_keys(keys).distinct()
-        if (known := self.known()) is not None:
+        known = self.known()
+        if known is not None:
             new = new.join(known, ["raw", "tz", "locale"], "left_anti")
-        new.mapInArrow(_parse_batches, DICTIONARY).write.mode("append").parquet(self.path)
+        added = written(new.mapInArrow(_parse_batches, DICTIONARY), f"{self.path}/{uuid.uuid4().hex}")
+        if known is not None and added.isEmpty():
+            discard(added)
         return self.known().groupBy("raw", "tz", "locale").agg(F.first("instant").alias("instant"), F.first("form").alias("form"))
 
 

@@ -86,7 +86,8 @@ def test_null_and_empty_zones_do_not_multiply_rows(spark):
     d = ts.StampDictionary(spark)
     assert sorted(r.id for r in ts.normalise(df, "raw", "tz", "locale", d).collect()) == [1, 2, 3] and d.known().count() == 1
     # a key that two runs added at the same time
-    spark.createDataFrame(d.known().collect(), ts.DICTIONARY).write.mode("append").parquet(d.path)
+    spark.createDataFrame(d.known().collect(), ts.DICTIONARY).write.parquet(f"{d.path}/copy")
+    (__import__("pathlib").Path(d.path.removeprefix("file:")) / "interrupted").mkdir()
     assert d.known().count() == 2 and ts.normalise(df, "raw", "tz", "locale", d).count() == 3
 
 
