@@ -14,6 +14,7 @@ sentences are read whole, in windows of at most LONGEST bytes whose positions ar
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -285,8 +286,14 @@ def fit(lines: DataFrame, t: Training = Training()) -> Network:
 
 
 def save(spark: SparkSession, path: str, network: Network) -> None:
+    """Written beside its place and then moved there, so that two runs at a time don't disturb each other."""
     rows = [(k, list(v.shape), v.astype("<f4").tobytes()) for k, v in network.p.items()]
-    spark.createDataFrame(rows, "name string, shape array<int>, data binary").coalesce(1).write.mode("overwrite").parquet(path)
+    beside = f"{path}-{uuid.uuid4().hex}"
+    spark.createDataFrame(rows, "name string, shape array<int>, data binary").coalesce(1).write.parquet(beside)
+    new, at = (spark._jvm.org.apache.hadoop.fs.Path(x) for x in (beside, path))
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.exists(at) or not files.rename(new, at):
+        files.delete(new, True)
 
 
 def load(spark: SparkSession, path: str, t: Training = Training()) -> Network | None:
