@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.language import LANGUAGES, named
-from siltstone.session import discard, written
+from siltstone.session import discard, small, written
 
 #: where a sentence ends; a line end is put behind it, since looking behind each white space takes far longer
 SENTENCE_END = r"([.!?…][\"'”’»)]*)\s+"
@@ -348,7 +348,8 @@ def fit(texts: DataFrame, labels: DataFrame, names: list[str], t: Training = Tra
     models = word_models(texts, t)
     given = labels.where(F.col("subject").isin(names)).groupBy("doc_id").agg(F.array_sort(F.collect_set("subject")).alias("subjects"))
     fold = F.pmod(F.xxhash64(F.xxhash64("doc_id")), F.lit(t.folds)).cast("int")
-    labelled = written(texts.join(given, "doc_id").groupBy(F.col("doc_id").alias("key")).agg(
+    # where there are few labels, only texts that have one move
+    labelled = written(texts.join(small(given), "doc_id").groupBy(F.col("doc_id").alias("key")).agg(
         F.first("sentences").alias("sentences"), F.first("subjects").alias("subjects"), F.first(fold).alias("fold"),
     ))
     grams = written(gram_counts(labelled, models, names).where(F.col("n") >= t.least_count))
